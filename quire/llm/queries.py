@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import html, mixing, neardup, packing, pii, quality, search, urls
+from . import html, mixing, neardup, ngram_join, packing, pii, quality, search, urls
 from ._base import table
 
 
@@ -30,6 +30,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
@@ -46,7 +50,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_top_k, op2_mix_sources, op3_html_extract, op4_quality_classifier, op6_embedding_near_dup, op7_url_filter, op9_best_fit_packing, op10_pii_spans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_top_k, op2_mix_sources, op3_html_extract, op4_quality_classifier, op5_ngram_jaccard_join, op6_embedding_near_dup, op7_url_filter, op9_best_fit_packing, op10_pii_spans)}
 
 _OP2 = r"""
 WITH sized AS (
