@@ -1,5 +1,50 @@
-"""A corpus pipeline of five stages."""
-STAGES = []
+"""A corpus pipeline of five stages: quality, near copies, personal data, mixture, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet and reads it as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.llm import mixing, ngram_join, packing, pii, quality
+from quire.llm._base import cut, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier, learned from the labels of those among them, accepts."""
+    return quality.classified(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one with the least doc_id."""
+    return ngram_join.deduplicated(docs).select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their spans of personal data replaced."""
+    return pii.redacted(docs).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, each as often as it is taken."""
+    return mixing.mixed(docs).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their places in the sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [("quality", quality_filter), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixture", mixture), ("packing", packing_stage)]
+#: The classifier and the tokenizer can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

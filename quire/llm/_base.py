@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # where workers on this machine find the package
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import html, mixing, neardup, ngram_join, packing, pii, quality, search, urls
+from . import html, mixing, neardup, ngram_join, packing, pii, quality, search, token_counts, urls
 from ._base import table
 
 
@@ -42,6 +42,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -50,7 +54,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_top_k, op2_mix_sources, op3_html_extract, op4_quality_classifier, op5_ngram_jaccard_join, op6_embedding_near_dup, op7_url_filter, op9_best_fit_packing, op10_pii_spans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_top_k, op2_mix_sources, op3_html_extract, op4_quality_classifier, op5_ngram_jaccard_join, op6_embedding_near_dup, op7_url_filter, op8_token_counts, op9_best_fit_packing, op10_pii_spans)}
 
 _OP2 = r"""
 WITH sized AS (
