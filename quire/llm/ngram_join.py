@@ -2,9 +2,10 @@
 
 Documents with equal sets are one class. A set's least hashes deal it to cells: sets at the threshold share one of their
 PREFIX least hashes (always, if the sets are small; else but for a chance below 0.2 ** PREFIX), so a cell's R-tree sees every
-link. Over all sets at once the tree alone would visit a fixed share of its leaves for each query. First each set is joined
-to its best partner nearby, which connects groups of near copies along few pairs; then the trees return, of the sets that are
-still in different components, all pairs whose bound passes. Every pair is verified on whole shingle sets.
+link. Over all sets at once the tree alone would visit a fixed share of its leaves for each query. In some rounds each set
+first asks its cells' trees for its best partners in other components only, which connects groups of near copies along few
+pairs; then the trees return all pairs that are left between components and not yet tried. Every pair is verified on whole
+shingle sets. So all links count, but pairs within a component that is connected already are never made.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from .components import components
 
 #: Words of a shingle; a link has intersection * SHARE[1] >= union * SHARE[0].
 WORDS, SHARE = 5, (4, 5)
-#: Least hashes that deal a set to cells; groups of hashes (times 4 for large sets, and again); sets from which there are more.
-PREFIX, GROUPS, LARGE = 24, 64, (1024, 8192)
-#: Neighbours in a cell among which a set's best partner is sought; cells that are split by size; rows of a block of a split cell; ratio of sizes in a band (above 5 / 4).
-NEAR, HOT, BLOCK, BAND = 6, 512, 16_384, 1.26
-#: Entries of a tree's node.
-FAN = 16
+#: Least hashes that deal a set to cells; groups of hashes, at least and at most: half the set's size and more within that.
+PREFIX, GROUPS = 24, (64, 1024)
+#: Partners that a set asks for in a round; rounds at most; links per tried pair below which rounds end.
+PARTNERS, ROUNDS, YIELD = 2, 6, 0.05
+#: Rows from which a cell is split by size; rows of a block of a split cell; ratio of sizes in a band (above 5 / 4).
+HOT, BLOCK, BAND = 512, 4096, 1.26
+#: Entries of a tree's node; bytes of a hash when sets are compared.
+FAN, HASH_BYTES = 16, 5
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -51,9 +54,19 @@ def prefix_size(n: int) -> int:
     return min(PREFIX, n - -(-n * SHARE[0] // SHARE[1]) + 1) if n else 0
 
 
+def groups_of(n: int) -> int:
+    return min(max(GROUPS[0], 1 << max(0, (n // 2 - 1).bit_length())), GROUPS[1])
+
+
 def counts(hashes: np.ndarray) -> np.ndarray:
-    groups = GROUPS * 4 ** int(np.searchsorted(LARGE, len(hashes), "right"))
-    return np.minimum(np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535).astype(np.uint16)
+    """Hashes by group; bytes if all counts fit, else two bytes each (no set of 2 ** 26 shingles and more is exact)."""
+    groups = groups_of(len(hashes))
+    found = np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return found.astype(np.uint8) if found.max(initial=0) < 256 else np.minimum(found, 65535).astype(np.uint16)
+
+
+def point_of(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == groups_of(n) else np.uint16)
 
 
 def folded(points: np.ndarray, groups: int) -> np.ndarray:
@@ -77,33 +90,48 @@ class CountTree:
             at = np.arange(0, len(high), FAN)
             self.levels.append((np.maximum.reduceat(high, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
 
-    def query(self, size: int, point: np.ndarray) -> np.ndarray:
-        """Positions of the points that may link with this one: the sum of coordinate minima bounds the overlap in every node and point."""
-        at = np.arange(len(self.levels[-1][0]))
+    def query(self, size: int, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the points that may link with this one, and the most that each can overlap: in every node and point the sum of coordinate minima bounds it."""
+        at, bound = np.arange(len(self.levels[-1][0])), np.zeros(0, np.int64)
         for depth, (high, least, most) in enumerate(reversed(self.levels)):
             at = at[(most[at] * SHARE[1] >= size * SHARE[0]) & (least[at] * SHARE[0] <= size * SHARE[1])]
-            at = at[may_link(np.minimum(high[at], point).sum(axis=1), np.maximum(least[at], -(-size * SHARE[0] // SHARE[1])), size)]
+            bound = np.minimum(high[at], point).sum(axis=1)
+            ok = may_link(bound, np.maximum(least[at], -(-size * SHARE[0] // SHARE[1])), size)
+            at, bound = at[ok], bound[ok]
             if depth + 1 < len(self.levels):
                 at = (at[:, None] * FAN + np.arange(FAN)).ravel()
                 at = at[at < len(self.levels[-2 - depth][0])]
-        return self.order[at]
-
-
-def pairs_of(sizes: np.ndarray, points: list[np.ndarray], part: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (i, j) of sets in different parts that may link."""
-    out, widths = [], np.array([len(p) for p in points])
-    if len(sizes) <= 2 * FAN:
-        stacked = folded(np.stack(points), GROUPS) if (widths == GROUPS).all() else np.concatenate([folded(p[None], GROUPS) for p in points])
-        i, j = np.nonzero(np.triu(part[:, None] != part[None, :], 1))
-        ok = may_link(np.minimum(stacked[i], stacked[j]).sum(axis=1), sizes[i], sizes[j])
-        return list(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
+        return self.order[at], bound
+
+
+def pairs_of(sizes: np.ndarray, points: list[np.ndarray], part: np.ndarray, partners: int = 0, tried: list | None = None) -> list[tuple[int, int, float]]:
+    """(i, j, most similarity) of sets in different parts that may link; all once, or each set's best partners, without those in its list of tried positions."""
+    out: list[tuple[int, int, float]] = []
+    widths = np.array([len(p) for p in points])
+    if len(sizes) == 2:  # most cells
+        if part[0] != part[1]:
+            w = int(widths.min())
+            bound = int(np.minimum(folded(points[0][None], w), folded(points[1][None], w)).sum())
+            if bound * (SHARE[0] + SHARE[1]) >= SHARE[0] * (sizes[0] + sizes[1]) and not (tried and 1 in tried[0]):
+                out.append((0, 1, bound / (sizes[0] + sizes[1] - bound)))
+        return out
     for width in np.unique(widths):
         own = np.flatnonzero(widths == width)
         tree = CountTree(sizes[own], np.stack([points[i] for i in own]))
         for i in np.flatnonzero(widths >= width).tolist():  # a set of more groups asks the trees of fewer, folded
-            hit = own[tree.query(int(sizes[i]), folded(points[i][None], int(width))[0])]
-            hit = hit[(part[hit] != part[i]) & ((widths[i] > width) | (hit > i))]
-            out += [(i, j) for j in hit.tolist()]
+            hit, bound = tree.query(int(sizes[i]), folded(points[i][None], int(width))[0])
+            hit = own[hit]
+            ok = part[hit] != part[i]
+            if not partners:
+                ok &= (widths[i] > width) | (hit > i)
+            elif tried and tried[i]:
+                ok &= ~np.isin(hit, tried[i])
+            hit, bound = hit[ok], bound[ok]
+            share = bound / (sizes[i] + sizes[hit] - bound)
+            if partners and len(hit) > partners:
+                top = np.argpartition(-share, partners)[:partners]
+                hit, share = hit[top], share[top]
+            out += [(i, j, x) for j, x in zip(hit.tolist(), share.tolist(), strict=True)]
     return out
 
 
@@ -127,49 +155,44 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SETS)
 
 
-def _best_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, rep, s1, n, counts) by h and n: for each, the one among the NEAR rows before it in its cell whose bound is highest, if it passes."""
-    tail: list[np.ndarray] | None = None
-    for batch in batches:
-        now = [batch.column(i).to_numpy() for i in range(4)]
-        now.append(np.concatenate([folded(np.frombuffer(x.as_py(), np.uint16)[None], GROUPS) for x in batch.column(4)]) if batch.num_rows else np.zeros((0, GROUPS), np.int32))
-        have = 0 if tail is None else len(tail[0])
-        h, rep, s1, n, points = (np.concatenate([a, b]) for a, b in zip(tail, now, strict=True)) if tail else now
-        best, partner = np.zeros(len(h)), np.full(len(h), -1)
-        for k in range(1, NEAR + 1):
-            i = np.arange(max(have, k), len(h))
-            i = i[(h[i] == h[i - k]) & (rep[i] != rep[i - k])]
-            overlap = np.minimum(points[i], points[i - k]).sum(axis=1)
-            share = overlap / np.maximum(1, n[i] + n[i - k] - overlap)
-            ok = may_link(overlap, n[i], n[i - k]) & (share > best[i])
-            best[i[ok]], partner[i[ok]] = share[ok], i[ok] - k
-        b = np.flatnonzero(partner >= 0)
-        a = partner[b]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rep[a], s1[a], rep[b], s1[b], best[b])], ["a", "sa", "b", "sb", "share"])
-        tail = [x[-NEAR:] for x in (h, rep, s1, n, points)]
-
-
-def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, band, block, rep, s1, n, counts, part) by h, band and block: the pairs of each cell whose parts differ and whose bound passes."""
-    names = ["a", "sa", "b", "sb"]
-    held: list[tuple] = []
-
-    def run() -> Iterator[pa.RecordBatch]:
-        rows = list({(x[3], x[4]): x for x in held}.values())
+def _tree_pairs(partners: int):
+    """Rows (h, band, block, rep, s1, n, counts, part, tried) by h, band and block: pairs of each cell whose parts differ and whose bound passes, all or each set's best."""
+    names = ["a", "sa", "b", "sb", "share"]
+
+    def run(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = list({(x[3], x[4]): x for x in held}.values()) if len(held) > 1 else []
         part = np.array([x[7] for x in rows])
         if len(rows) > 1 and (part != part[0]).any():
-            found = pairs_of(np.array([x[5] for x in rows]), [np.frombuffer(x[6], np.uint16) for x in rows], part)
-            ends = [sorted((rows[i][3:5], rows[j][3:5])) for i, j in found if rows[i][3] != rows[j][3]]
-            if ends:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*((*a, *b) for a, b in ends), strict=True)], names)
+            place = {x[3]: i for i, x in enumerate(rows)} if partners else {}
+            tried = [[place[r] for r in x[8] or () if r in place] for x in rows] if partners else None
+            found = pairs_of(np.array([x[5] for x in rows]), [point_of(x[6], x[5]) for x in rows], part, partners, tried)
+            ends = [(*rows[i][3:5], *rows[j][3:5], x) for i, j, x in found if rows[i][3] != rows[j][3]]
+            for k in range(0, len(ends), 100_000):
+                columns = zip(*ends[k : k + 100_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.float64()], strict=True)], names)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:3] != held[-1][:3]:
+                    yield from run(held)
+                    held.clear()
+                held.append(row)
+        yield from run(held)
+
+    return cells
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes by their first bytes."""
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and row[:3] != held[-1][:3]:
-                yield from run()
-                held.clear()
-            held.append(row)
-    yield from run()
+
+def _unpacked(data: bytes | None) -> np.ndarray:
+    out = np.zeros((len(data or b"") // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(data or b"", np.uint8).reshape(-1, HASH_BYTES)
+    return out.view(">u8").ravel()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -184,7 +207,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for text, s in zip(batch.column(3), own, strict=True):
                 if not last == (text := text.as_py() or ""):
                     last, found = text, next(shingle_sets(*text_bytes(pa.array([text]))))
-                out.append(found.tobytes() if int(mix64(found).sum(dtype=np.uint64).view(np.int64)) == s else None)
+                out.append(_packed(found) if int(mix64(found).sum(dtype=np.uint64).view(np.int64)) == s else None)
             yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(side, pa.int32()), pa.array(out, pa.binary())], ["pair", "side", "set"])
 
     texts = join_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ends, "doc_id", "inner").select("pair", "side", "s1", "text")
@@ -195,13 +218,45 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(1), batch.column(2), strict=True):
-                a, b = np.frombuffer(x.as_py() or b"", np.uint64), np.frombuffer(y.as_py() or b"", np.uint64)
+                a, b = _unpacked(x.as_py()), _unpacked(y.as_py())
                 ok.append(bool(may_link(np.int64(len(np.intersect1d(a, b, assume_unique=True))), len(a), len(b))))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok))], ["pair"])
 
     return cut(pairs.join(cut(both.mapInArrow(check, "pair long"), "linked"), "pair", "left_semi").select("a", "b"), "links")
 
 
+def _asked(cells: DataFrame, links: DataFrame | None, tried: DataFrame | None, partners: int) -> DataFrame:
+    """(a, sa, b, sb): the pairs of sets that the cells' trees return, between components of links only and without those tried."""
+    rows = cells.withColumns({"part": F.col("rep"), "tried": F.lit(None).cast("array<long>")})
+    if links is not None:
+        known = components(links).select(F.col("node").alias("rep"), F.col("component").alias("_part"))
+        rows = join_small(rows, known, "rep", "left").withColumn("part", F.coalesce("_part", "rep")).drop("_part")
+        mixed = cut(rows.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("h"), "mixed")
+        rows = cut(rows, "parts").join(mixed, "h", "left_semi")
+        if partners:
+            asked = tried.groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("_tried"))  # a few for each asking set
+            rows = join_small(rows, asked, "rep", "left").withColumn("tried", F.col("_tried"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND)))
+    blocks = F.ceil(F.col("m") / BLOCK)
+    mine = F.pmod(F.xxhash64("rep", "s1"), blocks)
+    others = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    place = lambda x, y: F.struct(x.cast("long").alias("band"), y.cast("long").alias("block"))
+    keys = F.when(F.col("m") <= HOT, F.array(place(F.lit(0), F.lit(0)))).otherwise(F.flatten(F.transform(F.array(band, band + 1), lambda x: F.transform(others, lambda y: place(x, F.least(mine, y) * blocks + F.greatest(mine, y))))))
+    # a hot cell's rows go to their band of sizes and the next, and there to each pair of blocks with their own
+    spread = rows.withColumn("key", F.explode(keys)).select("h", "key.band", "key.block", "rep", "s1", "n", "counts", "part", "tried")
+    dealt = spread.repartition(max(12, cells.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // 30_000)), "h", "band", "block").sortWithinPartitions("h", "band", "block")
+    found = dealt.mapInArrow(_tree_pairs(partners), "a long, sa long, b long, sb long, share double")
+    if partners:  # of all cells' answers the best, per asking set
+        best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("share")).alias("less"), "b", "sb"))), 1, partners)
+        found = found.groupBy("a", "sa").agg(best.alias("x")).select("a", "sa", F.explode("x").alias("x")).select("a", "sa", "x.b", "x.sb")
+    else:
+        found = found.select("a", "sa", "b", "sb").distinct()
+    if tried is not None:
+        both = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        found = cut(found, "found").join(cut(both, "tried"), ["a", "b"], "left_anti").select("a", "sa", "b", "sb")
+    return cut(found, "asked")
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_shingles and component_id, a row for each row.
 
@@ -217,26 +272,18 @@ def joined(docs: DataFrame) -> DataFrame:
     cells = cut(posted.join(shared, "h"), "shared-cells").join(reps.select("rep", "s1", "counts"), ["rep", "s1"])
     cells = cut(cells.select("h", "rep", "s1", "n", "counts", "m"), "cells")
 
-    parts = max(8, docs.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // 50_000))
-    dealt = cells.drop("m").repartitionByRange(parts, "h", "n", "rep").sortWithinPartitions("h", "n", "rep")
-    first = dealt.mapInArrow(_best_partners, "a long, sa long, b long, sb long, share double")
-    first = cut(first.groupBy("b", "sb").agg(F.max(F.struct("share", "a", "sa")).alias("x")).select("x.a", "x.sa", "b", "sb"), "first-pairs")
-    links = _verified(docs, first)
-
-    known = components(links).select(F.col("node").alias("rep"), F.col("component").alias("part"))
-    cells = cut(join_small(cells, known, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "parts")
-    mixed = cut(cells.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("h"), "mixed")
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND)))
-    blocks = F.ceil(F.col("m") / BLOCK)
-    mine = F.pmod(F.xxhash64("rep", "s1"), blocks)
-    other = F.sequence(F.lit(0).cast("long"), blocks - 1)
-    keys = F.when(F.col("m") <= HOT, F.array(F.struct(F.lit(0).cast("long").alias("band"), F.lit(0).cast("long").alias("block")))).otherwise(
-        F.flatten(F.transform(F.array(band, band + 1), lambda x: F.transform(other, lambda y: F.struct(x.cast("long").alias("band"), (F.least(mine, y) * blocks + F.greatest(mine, y)).cast("long").alias("block")))))
-    )  # a hot cell's rows go to their band of sizes and the next, and there to each pair of blocks with their own
-    spread = cells.join(mixed, "h", "left_semi").withColumn("key", F.explode(keys)).select("h", "key.band", "key.block", "rep", "s1", "n", "counts", "part")
-    second = spread.repartition(parts, "h", "band", "block").sortWithinPartitions("h", "band", "block").mapInArrow(_tree_pairs, "a long, sa long, b long, sb long").distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.unionByName(_verified(docs, cut(second, "second-pairs").join(tried, ["a", "b"], "left_anti")))
+    links, tried = None, None
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
+        pairs = _asked(cells, links, tried, 0 if last else PARTNERS)
+        good = _verified(docs, pairs)
+        links = good if links is None else links.unionByName(good)
+        if last:
+            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if good.count() < YIELD * pairs.count():  # too few links for the pairs: the rest at once
+            links = links.unionByName(_verified(docs, _asked(cells, links, tried, 0)))
+            break
 
     member = rows.filter("n > 0 and doc_id is not null").select("doc_id", "n", "s1", "s2")
     again = member.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
