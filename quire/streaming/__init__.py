@@ -1,0 +1 @@
+"""Continuous use of the batch operators over folders that grow."""
