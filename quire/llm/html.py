@@ -31,7 +31,7 @@ NOT_CONTENT = frozenset(
     "subscribe newsletter signup login search comment comments disqus respond replies pagination pager skip toolbar complementary contentinfo".split()
 )
 ARTICLE_HINTS = frozenset("articlebody article-body post-content entry-content post-body main-content article-content main".split())
-_WORDS = re.compile(r"[a-z]+")
+_WORDS, _MARKED = re.compile(r"[a-z]+"), re.compile(r"<!\[[^>]*(?:>|$)")
 
 
 class _Events(HTMLParser):
@@ -118,8 +118,10 @@ def main_text(html: str | None) -> str:
     """The article's blocks, joined by empty lines; empty if there is none. Broken markup is read as far as it makes sense."""
     if not html:
         return ""
+    if (open_ := html.rfind("<!--")) >= 0 and html.find("-->", open_) < 0:
+        html = html[:open_]  # a comment that isn't closed is all comment
     events = _Events()
-    events.feed(html.replace("<![", "<!"))
+    events.feed(_MARKED.sub("", html))
     events.close()
     events.end_block()
     blocks = events.blocks
