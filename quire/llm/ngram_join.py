@@ -3,9 +3,10 @@
 Documents with equal sets are one class. A set's least hashes deal it to cells: sets at the threshold share one of their
 PREFIX least hashes (always, if the sets are small; else but for a chance below 0.2 ** PREFIX), so a cell's R-tree sees every
 link. Over all sets at once the tree alone would visit a fixed share of its leaves for each query. In some rounds each set
-first asks its cells' trees for its best partners in other components only, which connects groups of near copies along few
-pairs; then the trees return all pairs that are left between components and not yet tried. Every pair is verified on whole
-shingle sets. So all links count, but pairs within a component that is connected already are never made.
+first asks the trees of its first few cells for its best partners in other components, which connects groups of near copies
+along few pairs; then the trees of all cells return all pairs that are left between components and not yet tried, each in
+one cell. Every pair is verified on whole shingle sets. So all links count, but pairs within a component that is connected
+already are never made.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .components import components
 WORDS, SHARE = 5, (4, 5)
 #: Least hashes that deal a set to cells; groups of hashes, at least and at most: half the set's size and more within that.
 PREFIX, GROUPS = 24, (64, 1024)
-#: Partners that a set asks for in a round; rounds at most; links per tried pair below which rounds end.
-PARTNERS, ROUNDS, YIELD = 2, 6, 0.05
+#: Partners that a set asks for in a round, in so many cells; rounds at most; links per tried pair below which rounds end.
+PARTNERS, FIRST, ROUNDS, YIELD = 2, 4, 6, 0.05
 #: Rows from which a cell is split by size; rows of a block of a split cell; ratio of sizes in a band (above 5 / 4).
 HOT, BLOCK, BAND = 512, 4096, 1.26
 #: Entries of a tree's node; bytes of a hash when sets are compared.
@@ -156,7 +157,10 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _tree_pairs(partners: int):
-    """Rows (h, band, block, rep, s1, n, counts, part, tried) by h, band and block: pairs of each cell whose parts differ and whose bound passes, all or each set's best."""
+    """Rows (h, band, block, rep, s1, n, counts, part, more) by h, band and block: pairs of each cell whose parts differ and whose bound passes.
+
+    With partners, each set's best without those in more. Else all, where h is the least that both have in more, their hashes.
+    """
     names = ["a", "sa", "b", "sb", "share"]
 
     def run(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +170,9 @@ def _tree_pairs(partners: int):
             place = {x[3]: i for i, x in enumerate(rows)} if partners else {}
             tried = [[place[r] for r in x[8] or () if r in place] for x in rows] if partners else None
             found = pairs_of(np.array([x[5] for x in rows]), [point_of(x[6], x[5]) for x in rows], part, partners, tried)
+            if not partners:
+                least = [set(x[8]) for x in rows]
+                found = [x for x in found if min(least[x[0]] & least[x[1]]) == rows[0][0]]
             ends = [(*rows[i][3:5], *rows[j][3:5], x) for i, j, x in found if rows[i][3] != rows[j][3]]
             for k in range(0, len(ends), 100_000):
                 columns = zip(*ends[k : k + 100_000], strict=True)
@@ -227,7 +234,8 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _asked(cells: DataFrame, links: DataFrame | None, tried: DataFrame | None, partners: int) -> DataFrame:
     """(a, sa, b, sb): the pairs of sets that the cells' trees return, between components of links only and without those tried."""
-    rows = cells.withColumns({"part": F.col("rep"), "tried": F.lit(None).cast("array<long>")})
+    rows = cells.filter(F.col("pos") < FIRST) if partners else cells
+    rows = rows.select("h", "rep", "s1", "n", "counts", "m", F.col("rep").alias("part"), (F.lit(None).cast("array<long>") if partners else F.col("least")).alias("more"))
     if links is not None:
         known = components(links).select(F.col("node").alias("rep"), F.col("component").alias("_part"))
         rows = join_small(rows, known, "rep", "left").withColumn("part", F.coalesce("_part", "rep")).drop("_part")
@@ -235,7 +243,7 @@ def _asked(cells: DataFrame, links: DataFrame | None, tried: DataFrame | None, p
         rows = cut(rows, "parts").join(mixed, "h", "left_semi")
         if partners:
             asked = tried.groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("_tried"))  # a few for each asking set
-            rows = join_small(rows, asked, "rep", "left").withColumn("tried", F.col("_tried"))
+            rows = join_small(rows, asked, "rep", "left").withColumn("more", F.col("_tried"))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND)))
     blocks = F.ceil(F.col("m") / BLOCK)
     mine = F.pmod(F.xxhash64("rep", "s1"), blocks)
@@ -243,7 +251,7 @@ def _asked(cells: DataFrame, links: DataFrame | None, tried: DataFrame | None, p
     place = lambda x, y: F.struct(x.cast("long").alias("band"), y.cast("long").alias("block"))
     keys = F.when(F.col("m") <= HOT, F.array(place(F.lit(0), F.lit(0)))).otherwise(F.flatten(F.transform(F.array(band, band + 1), lambda x: F.transform(others, lambda y: place(x, F.least(mine, y) * blocks + F.greatest(mine, y))))))
     # a hot cell's rows go to their band of sizes and the next, and there to each pair of blocks with their own
-    spread = rows.withColumn("key", F.explode(keys)).select("h", "key.band", "key.block", "rep", "s1", "n", "counts", "part", "tried")
+    spread = rows.withColumn("key", F.explode(keys)).select("h", "key.band", "key.block", "rep", "s1", "n", "counts", "part", "more")
     dealt = spread.repartition(max(12, cells.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // 30_000)), "h", "band", "block").sortWithinPartitions("h", "band", "block")
     found = dealt.mapInArrow(_tree_pairs(partners), "a long, sa long, b long, sb long, share double")
     if partners:  # of all cells' answers the best, per asking set
@@ -267,10 +275,10 @@ def joined(docs: DataFrame) -> DataFrame:
     rows = cut(_sets(docs), "sets")
     classes = cut(rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = join_small(rows.filter("n > 0").withColumnRenamed("doc_id", "rep"), classes, ["rep", "n", "s1", "s2"], "inner")
-    posted = cut(reps.select("rep", "s1", "n", F.explode("least").alias("h")), "posted")
+    posted = cut(reps.select("rep", "s1", "n", F.posexplode("least").alias("pos", "h")), "posted")
     shared = cut(posted.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
-    cells = cut(posted.join(shared, "h"), "shared-cells").join(reps.select("rep", "s1", "counts"), ["rep", "s1"])
-    cells = cut(cells.select("h", "rep", "s1", "n", "counts", "m"), "cells")
+    cells = cut(posted.join(shared, "h"), "shared-cells").join(reps.select("rep", "s1", "counts", "least"), ["rep", "s1"])
+    cells = cut(cells.select("h", "pos", "rep", "s1", "n", "counts", "least", "m"), "cells")
 
     links, tried = None, None
     for turn in range(ROUNDS + 1):
