@@ -94,8 +94,8 @@ def front_matter(lines: DataFrame) -> DataFrame:
     """(doc_id, kind, start, length): contents, labels or an index among the first lines; the longest run, of equal ones the first; contents before labels before index."""
     order = Window.partitionBy("doc_id").orderBy("page", "idx")
     first = lines.withColumns({"_at": F.row_number().over(order), "_all": F.count("*").over(Window.partitionBy("doc_id"))}).filter((F.col("_at") <= FRONT_LINES) & (F.col("_all") >= 8))
-    label = F.col("text").rlike(r"^(?:[A-Z]|[IVXLC]+|[0-9]{1,3})\.\s") & (F.length("text") <= 90) & ~F.col("text").rlike("[.;:,!?]$")
-    index = F.regexp_count("text", F.lit(r"\s[-–—]\s")) >= 2
+    label = F.col("text").rlike(r"^(?:[A-Z]{1,3}|[IVXLCDM]{1,6}|[0-9]{1,3})\.\s+\S") & (F.length("text") <= 90) & ~F.col("text").rlike(r"[.,;:!?]\s*$")
+    index = F.regexp_count("text", F.lit(r"\s[–—]\s")) >= 2
     kinds = [(0, "contents", t.is_contents_entry("text"), 4), (1, "labels", label, 4), (2, "index", index, 6)]
     found = None
     for rank, kind, hit, least in kinds:

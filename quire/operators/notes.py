@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from . import match
 
 FIELDS = ("author", "title", "text", "source")
 SIMILAR, SAME_RUN, SAME_CHARS = 0.55, 0.9, 60
@@ -122,6 +123,19 @@ def same_text(pairs: DataFrame, a: str, b: str, fuzzy: bool = True) -> DataFrame
     return rows.withColumns({"same": same, "score": F.col("_s.score")}).drop("_x", "_y", "_s")
 
 
+def without_near_repeats(notes: DataFrame, order: str, least_chars: int = 40) -> DataFrame:
+    """notes without those of more than so many folded characters that are the same text as an earlier one of the document, by order and idx.
+
+    Pairs are found by shared rare words; a note goes if any earlier one is the same, whether that one stays or not.
+    """
+    rows = notes.withColumns({"_at": F.struct(order, "idx", "para"), "norm": t.folded("text")})
+    long = rows.filter(F.length("norm") > least_chars).select("doc_id", "_at", "norm")
+    early = long.select("doc_id", F.col("_at").alias("_first"), F.col("norm").alias("norm2"))
+    pairs = match.overlapping(long.withColumn("_late", F.to_json("_at")), early.withColumn("_early", F.to_json("_first")), ["_late"], ["_early"], 0.6).filter(F.col("_first") < F.col("_at"))
+    gone = same_text(pairs.select("doc_id", "_late", "norm", "norm2"), "norm", "norm2").filter("same").select("doc_id", "_late").distinct()
+    return rows.withColumn("_late", F.to_json("_at")).join(gone, ["doc_id", "_late"], "left_anti").select(*notes.columns)
+
+
 def merge_plan(store: DataFrame, incoming: DataFrame, fuzzy: bool = True) -> DataFrame:
     """incoming (doc_id, para, idx, fields) with kind new, duplicate, conflict or repeated, and the idx of the stored note that it repeats or clashes with.
 

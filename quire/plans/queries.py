@@ -109,10 +109,10 @@ def q_quote_balance(spark: SparkSession, d: str) -> DataFrame:
     return tab.table(spark, d, "documents").select("doc_id", t.quote_balance(text).cast("long").alias("balance"))
 
 
-@query("""SELECT doc_id, CAST(len(w) AS BIGINT) AS n, coalesce(list_min(w), '') AS first, coalesce(list_max(w), '') AS last FROM
- (SELECT doc_id, list_distinct(regexp_extract_all(lower(replace(text, ' of ', '-of-')), '[a-zA-ZÀ-ɏ]+(?:-[a-zA-ZÀ-ɏ]+)+')) AS w FROM documents) WHERE len(w) > 0""")
+@query(rf"""WITH {_LINES}, w AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(lower(replace(text, ' of ', '-')), '([^\w\-À-ɏ])', '\1\1', 'g'), '(?:^|[^\w\-À-ɏ])([a-z]{{2,}}-[a-z]{{2,}})[^\w\-À-ɏ]', 1)) AS w FROM lines)
+SELECT doc_id, count(DISTINCT w) AS n, min(w) AS first, max(w) AS last FROM w GROUP BY doc_id""")
 def q_hyphen_terms(spark: SparkSession, d: str) -> DataFrame:
-    found = layout.compounds(tab.table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(" of "), F.lit("-of-")).alias("text")))
+    found = layout.compounds(tab.lines(spark, d, "replace(text, ' of ', '-')"))
     return found.select("doc_id", F.size("compounds").cast("long").alias("n"), F.array_min("compounds").alias("first"), F.array_max("compounds").alias("last"))
 
 
@@ -483,6 +483,13 @@ def q_exact_dup_notes(spark: SparkSession, d: str) -> DataFrame:
     return notes.without_exact_repeats(tab.notes(spark, d)).select("doc_id", "para", "idx")
 
 
+@query()
+def q_near_dup_notes(spark: SparkSession, d: str) -> DataFrame:
+    rows = tab.notes(spark, d)
+    again = rows.filter("para_ord % 4 = 0").withColumns({"text": F.concat("text", F.lit(" again")), "para_ord": F.col("para_ord") + 1_000_000})
+    return notes.without_near_repeats(rows.unionByName(again), "para_ord").select("doc_id", "para", "para_ord", "idx")
+
+
 @query(f"WITH {_NOTES} SELECT doc_id, para, row_number() OVER (PARTITION BY doc_id, para ORDER BY idx) - 1 AS idx, text FROM notes WHERE idx % 3 <> 1")
 def q_delete_notes(spark: SparkSession, d: str) -> DataFrame:
     rows = tab.notes(spark, d)
