@@ -1,60 +1,28 @@
-"""What the operators share: the shared folder, cutting lineage, checked broadcasts and vectorised word hashes."""
+"""What the operators share: checked broadcasts and vectorised word hashes, beside the shared folder of the library."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import cut, release, shared_dir
+
+__all__ = ["cut", "join_small", "release", "shared_dir", "table", "unit_hash"]
+
 #: A side of a join is broadcast only if it has at most so many rows (a row of these tables takes below 200 bytes).
 BROADCAST_ROWS = 200_000
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # where workers on this machine find the package
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/quire-{spark.sparkContext.applicationId}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: nothing before it runs twice, and a lost executor costs only what it was doing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Delete all that cut() wrote; results that were not read by then are gone."""
-    while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-atexit.register(release)
-
-
 def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """left join right, which is small as a rule: broadcast if its rows are counted and few, else a shuffled join, whose hot keys AQE splits."""
     return left.join(F.broadcast(right) if right.count() <= limit else right, on, how)
