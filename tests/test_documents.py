@@ -212,3 +212,15 @@ def test_stream(spark, tmp_path):
     run = folders.keyed_paragraphs(folders.documents(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state", once=True)
     run.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+
+
+def test_near_repeats(spark):
+    long = "This provision was discussed at length by the committee in its second session of that year, and then adopted."
+    rows = [(0, "a", 0, "A", "", long, "", 1), (0, "b", 0, "B", "", "Also: " + long, "", 2), (0, "c", 0, "C", "", "Quite another note on the same provision of the committee.", "", 3), (1, "d", 0, "A", "", long, "", 4), (0, "e", 0, "A", "", "Short.", "", 5), (0, "f", 0, "A", "", "Short.", "", 6)]
+    kept = notes.without_near_repeats(spark.createDataFrame(rows, NOTE + ", ord int"), "ord")
+    assert sorted(r["para"] for r in kept.collect()) == ["a", "c", "d", "e", "f"]
+
+
+def test_compounds(spark):
+    rows = lines(spark, "The self-determination of peoples and a well-known-fact end-", "self-", "x-ray co-operation, of Self-Determination.")
+    assert layout.compounds(rows).first()["compounds"] == ["co-operation", "self-determination"]
