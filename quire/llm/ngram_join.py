@@ -26,7 +26,7 @@ WORDS, SHARE = 5, (4, 5)
 #: Least hashes that deal a set to cells; groups of hashes, at least and at most: half the set's size and more within that.
 PREFIX, GROUPS = 24, (64, 1024)
 #: Partners that a set asks for in a round, in so many cells; rounds at most; links per tried pair below which rounds end.
-PARTNERS, FIRST, ROUNDS, YIELD = 2, 4, 6, 0.05
+PARTNERS, FIRST, ROUNDS, YIELD = 2, 4, 4, 0.2
 #: Rows from which a cell is split by size; rows of a block of a split cell; ratio of sizes in a band (above 5 / 4).
 HOT, BLOCK, BAND = 512, 4096, 1.26
 #: Entries of a tree's node; bytes of a hash when sets are compared.
@@ -274,7 +274,9 @@ def joined(docs: DataFrame) -> DataFrame:
     """
     rows = cut(_sets(docs), "sets")
     classes = cut(rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = join_small(rows.filter("n > 0").withColumnRenamed("doc_id", "rep"), classes, ["rep", "n", "s1", "s2"], "inner")
+    member = rows.filter("n > 0 and doc_id is not null").select("doc_id", "n", "s1", "s2")
+    copies = cut(member.join(classes, ["n", "s1", "s2"]).filter("doc_id <> rep").select("doc_id", "n", "s1", "s2").distinct(), "copies")
+    reps = join_small(rows.filter("n > 0 and doc_id is not null"), copies, ["doc_id", "n", "s1", "s2"], "left_anti").withColumnRenamed("doc_id", "rep")
     posted = cut(reps.select("rep", "s1", "n", F.posexplode("least").alias("pos", "h")), "posted")
     shared = cut(posted.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
     cells = cut(posted.join(shared, "h"), "shared-cells").join(reps.select("rep", "s1", "counts", "least"), ["rep", "s1"])
@@ -293,7 +295,6 @@ def joined(docs: DataFrame) -> DataFrame:
             links = links.unionByName(_verified(docs, _asked(cells, links, tried, 0)))
             break
 
-    member = rows.filter("n > 0 and doc_id is not null").select("doc_id", "n", "s1", "s2")
     again = member.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
     if not again.isEmpty():  # ids with several texts tie their classes together
         several = member.join(cut(again, "again"), "doc_id").join(classes, ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
