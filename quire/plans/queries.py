@@ -346,25 +346,18 @@ def q_quote_status(spark: SparkSession, d: str) -> DataFrame:
     return all_.select(F.col("quote_id").alias("item_id"), F.coalesce("status", F.lit("no_match")).alias("status"), F.col("id").alias("doc_id"))
 
 
-def _short_quotes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    lines = tab.lines(spark, d).withColumn("id", F.concat_ws("-", "doc_id", "idx")).filter(F.length("text").between(60, 400))
-    paras = lines.select("source", "doc_id", F.col("idx").alias("ord"), "id", "text")
-    cut = paras.filter(F.col("ord") == 1).select("doc_id", F.col("id").alias("quote_id"), F.regexp_replace(F.substring("text", 5, 300), "(?<=[a-z]{3}) ", "  , ").alias("quote"))
-    return cut, paras.drop("source")
-
-
 @query()
 def q_quote_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    return match.matched(*_short_quotes(spark, d)).select("doc_id", "quote_id", "status", "id", "score")
+    return match.matched(tab.quotes(spark, d), tab.all_lines(spark, d)).select("doc_id", "quote_id", "status", "id", "score")
 
 
 @query()
 def q_across_pairs(spark: SparkSession, d: str) -> DataFrame:
-    quotes, paras = _short_quotes(spark, d)
-    follow = F.lead("text").over(Window.partitionBy("doc_id").orderBy("ord"))
-    made = paras.withColumn("b", follow).filter("b is not null and ord % 4 = 1")
-    over = made.select("doc_id", F.col("id").alias("quote_id"), F.concat(F.right("text", F.lit(150)), F.lit(" "), F.left("b", F.lit(150))).alias("quote"))
-    return match.across(over, paras)
+    paras = tab.all_lines(spark, d)
+    follow = F.lead("text").over(Window.partitionBy("part").orderBy("ord"))
+    made = paras.withColumn("quote", F.concat("text", F.lit(" "), follow)).filter("quote is not null").select("doc_id", F.col("id").alias("quote_id"), "quote")
+    asked = tab.quotes(spark, d).withColumn("quote_id", F.concat(F.lit("item-"), F.col("quote_id").cast("string")))
+    return match.across(made.unionByName(asked), paras, "part")
 
 
 @query(f"""WITH {_LINES}, f AS (SELECT doc_id, idx, text, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM lines) SELECT a.doc_id, CAST(b.idx AS BIGINT) AS idx FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.n = 1 AND b.n = 2 WHERE {norm('a.text')} <> ''""")
@@ -377,12 +370,15 @@ def q_after_heading(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_attach_notes(spark: SparkSession, d: str) -> DataFrame:
-    quotes, paras = _short_quotes(spark, d)
-    made = blocks.keyed(paras.withColumn("kind", F.lit("para")).drop("id"))
-    asked = quotes.withColumns({"para": F.lit(""), "text": F.lit("note"), "position": F.lit(0.1)})
-    named = made.filter(F.col("ord") % 5 == 2).select("doc_id", F.concat(F.lit("n"), "id").alias("quote_id"), F.lit("").alias("quote"), F.col("key").alias("para"), F.lit("note").alias("text"), F.lit(-1.0).alias("position"))
-    none = blocks.positional_aliases(made)
-    return match.attached(asked.unionByName(named), made, none).select("doc_id", "quote_id", "target", "reason")
+    rows = tab.lines(spark, d).select("doc_id", F.col("idx").alias("ord"), F.lit("para").alias("kind"), "text")
+    keyed = blocks.keyed(rows)
+    whole = lambda name: F.concat_ws("-", "doc_id", name)
+    old = F.concat(F.lit("para-"), F.col("doc_id").cast("string"), F.lit("-"), F.regexp_replace("old_id", "^para-", ""))
+    olds = blocks.positional_aliases(keyed).select(F.lit(0).alias("doc_id"), old.alias("old_id"), whole("key").alias("key"))
+    made = keyed.select(F.lit(0).alias("doc_id"), F.col("doc_id").alias("part"), tab.place("ord").alias("ord"), "kind", "text", whole("key").alias("key"), F.concat(F.lit("para-"), whole("key")).alias("id"))
+    asked = tab.quotes(spark, d).select("doc_id", F.concat(F.lit("item-"), F.col("quote_id").cast("string")).alias("quote_id"), "quote", F.lit("").alias("para"), F.lit("note").alias("text"), F.lit(0.1).alias("position"))
+    named = made.select("doc_id", F.concat(F.lit("n"), "id").alias("quote_id"), F.lit("").alias("quote"), F.col("key").alias("para"), F.lit("note").alias("text"), F.lit(-1.0).alias("position"))
+    return match.attached(asked.unionByName(named), made, olds, "part").select("doc_id", "quote_id", "target", "reason")
 
 
 @query(f"""WITH d AS (SELECT source, doc_id, {norm('text')} AS n FROM documents) SELECT o.source AS doc_id, concat('para-', CAST(o.doc_id AS STRING)) AS old_id, concat('k', CAST(min(w.doc_id) AS STRING)) AS key

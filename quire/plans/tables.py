@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,10 +60,20 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.lit(0).alias("doc_id"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("id"), "text")
 
 
+def place(idx: str) -> Column:
+    """The place of a document's line among those of all documents."""
+    return F.col("doc_id") * 2**32 + F.col(idx)
+
+
+def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents as the paragraphs of one; part is the document each is from."""
+    return lines(spark, sf_dir).select(F.lit(0).alias("doc_id"), F.col("doc_id").alias("part"), place("idx").alias("ord"), F.concat_ws("-", "doc_id", "idx").alias("id"), "text")
+
+
 def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Old and new paragraphs of each source: documents with an even and an odd number."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("para-"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), "text")
     return docs.filter(F.col("ord") % 2 == 0), docs.filter(F.col("ord") % 2 == 1)
 
 
-__all__ = ["BROKEN", "DECORATED", "corpus", "labelled", "lines", "notes", "positioned", "quotes", "table", "versions"]
+__all__ = ["BROKEN", "DECORATED", "all_lines", "corpus", "labelled", "lines", "notes", "place", "positioned", "quotes", "table", "versions"]
