@@ -389,8 +389,7 @@ def q_alias_carry(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_alias_migrate(spark: SparkSession, d: str) -> DataFrame:
-    old, new = tab.versions(spark, d)
-    return migrate.migrated(old, new, fuzzy=False)
+    return migrate.migrated(*tab.versions(spark, d))
 
 
 @query(f"""WITH b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({', '.join(repr(w) for w in t.STOP_WORDS)}))) AS w FROM benchmark),
@@ -470,7 +469,7 @@ def q_merge_apply(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_merge_conflict(spark: SparkSession, d: str) -> DataFrame:
     store, incoming = _halves(spark, d)
-    edited = incoming.withColumn("text", F.concat(F.substring("text", 1, 400), F.lit(" and so on"))).withColumn("idx", F.col("idx") + 100)
+    edited = incoming.withColumn("text", F.concat("text", F.lit(" and so on"))).withColumn("idx", F.col("idx") + 100)
     return notes.merge_plan(store, edited).select("doc_id", "para", "idx", "kind", "existing", "similarity")
 
 
