@@ -88,6 +88,12 @@ def q_marker_label(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "m.label", t.strip("m.rest").alias("rest"))
 
 
+@query()
+def q_marker_label_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = tab.lines(spark, d, tab.DECORATED).withColumn("m", t.marker("text"))
+    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "m.label", t.strip("m.rest").alias("rest"))
+
+
 @query(rf"""WITH {_MARKED} SELECT doc_id, CAST(idx AS BIGINT) AS idx,
  length(trim(text)) <= 24 AND regexp_matches(trim(text), '(?i)^([-–—]?\s*[0-9]{{1,4}}\s*[-–—]?|page\s+[0-9]{{1,4}}(\s+of\s+[0-9]{{1,4}})?|[0-9]{{1,4}}\s*/\s*[0-9]{{1,4}}|[ivxlcdm]{{1,7}})$') AS page_number,
  length(trim(text)) <= 160 AND regexp_matches(trim(text), '(\.{{2,}}|\s{{2,}})\s*[0-9]{{1,4}}\s*$') AS contents, regexp_matches(trim(text), '(?i)^(https?://|www\.)\S+$') AS browser FROM marked""")
@@ -299,6 +305,11 @@ def q_page_meta(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", web.title("html").alias("title"), web.notes_file("html").alias("notes"))
 
 
+@query()
+def q_page_meta_all(spark: SparkSession, d: str) -> DataFrame:
+    return tab.table(spark, d, "pages").select("page_id", web.title("html").alias("title"), web.notes_file("html").alias("notes"))
+
+
 _STRIPPED = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(body, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
 
 
