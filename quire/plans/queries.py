@@ -283,19 +283,19 @@ def q_parse_source(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_NOTES} SELECT para, text, author FROM notes WHERE trim(text) <> ''")
 def q_notes_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    rows = tab.notes(spark, d)
+    rows = tab.notes_by_paragraph(spark, d)
     made = rows.groupBy("doc_id").agg(F.to_json(F.collect_list(F.struct("para", "author", F.col("text").alias("comment_text")))).alias("text"))
     return annotation_files.from_json(made).select("para", "text", "author")
 
 
 @query(rf"WITH {_NOTES} SELECT para, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, author FROM notes WHERE trim(text) <> ''")
 def q_notes_js_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    return annotation_files.from_notes_js(annotation_files.render_notes_js(tab.notes(spark, d))).select("para", "text", "author")
+    return annotation_files.from_notes_js(annotation_files.render_notes_js(tab.notes_by_paragraph(spark, d))).select("para", "text", "author")
 
 
 @query(rf"WITH {_NOTES} SELECT para, trim(regexp_replace(text, '\s*\n\s*', ' ', 'g')) AS text, author FROM notes WHERE trim(text) <> ''")
 def q_notes_text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    return annotation_files.from_text(annotation_files.render_text(tab.notes(spark, d))).select("para", "text", "author")
+    return annotation_files.from_text(annotation_files.render_text(tab.notes_by_paragraph(spark, d))).select("para", "text", "author")
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS title, regexp_extract(html, '(?i)<script[^>]+src=["'']([^"''?]*notes[^"''?]*)', 1) AS notes FROM pages
@@ -321,7 +321,7 @@ def q_html_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_render_page(spark: SparkSession, d: str) -> DataFrame:
     made = source_text.from_documents(tab.table(spark, d, "documents").select("doc_id", "text"))
-    return web.rendered_pages(made, annotation_files.render_notes_js(tab.notes(spark, d).withColumn("doc_id", F.col("para_ord"))))
+    return web.rendered_pages(made, annotation_files.render_notes_js(tab.notes_by_paragraph(spark, d)))
 
 
 # Matching.

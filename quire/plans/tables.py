@@ -44,6 +44,11 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("conv_id") % 16).alias("doc_id"), F.concat(F.lit("para-"), F.col("conv_id").cast("string")).alias("para"), F.col("turn").alias("idx"), F.col("role").alias("author"), F.lit("").alias("title"), "text", F.lit("").alias("source"), F.col("conv_id").alias("para_ord"))
 
 
+def notes_by_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """notes with a document for each conversation, so that their number grows with the input and a document's text doesn't."""
+    return notes(spark, sf_dir).withColumn("doc_id", F.col("para_ord"))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels as the paragraphs that exist."""
     rows = table(spark, sf_dir, "labels")
@@ -76,4 +81,4 @@ def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return docs.filter(F.col("ord") % 2 == 0), docs.filter(F.col("ord") % 2 == 1)
 
 
-__all__ = ["BROKEN", "DECORATED", "all_lines", "corpus", "labelled", "lines", "notes", "place", "positioned", "quotes", "table", "versions"]
+__all__ = ["BROKEN", "DECORATED", "all_lines", "corpus", "labelled", "lines", "notes", "notes_by_paragraph", "place", "positioned", "quotes", "table", "versions"]
