@@ -7,13 +7,14 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..store import cut, release, shared_dir
 
 __all__ = ["cut", "join_small", "release", "shared_dir", "table", "unit_hash"]
 
-#: A side of a join is broadcast only if it has at most so many rows (a row of these tables takes below 200 bytes).
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if its measured size is at most so many bytes.
+BROADCAST_BYTES = 16 << 20
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,9 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """left join right, which is small as a rule: broadcast if its rows are counted and few, else a shuffled join, whose hot keys AQE splits."""
-    return left.join(F.broadcast(right) if right.count() <= limit else right, on, how)
+def width(kind: T.DataType, value: Column) -> Column:
+    """About the bytes that a value takes in memory."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)) * (16 * len(kind.elementType) if isinstance(kind.elementType, T.StructType) else 24 if isinstance(kind.elementType, T.StringType) else 8) + 24
+    return F.lit(16 * len(kind) if isinstance(kind, T.StructType) else 8)
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of df, which are counted and measured, take at most `limit` bytes."""
+    row = F.lit(16).cast("long")
+    for field in df.schema:
+        row = row + width(field.dataType, F.col(field.name))
+    return (df.agg(F.sum(row)).first()[0] or 0) <= limit
+
+
+def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """left join right, which is small as a rule: broadcast if it was measured and is, else a shuffled join, whose hot keys AQE splits."""
+    return left.join(F.broadcast(right) if is_small(right, limit) else right, on, how)
 
 
 def unit_hash(*cols: Column | str) -> Column:

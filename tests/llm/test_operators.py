@@ -217,13 +217,43 @@ def test_join_near_copies(spark):
     check_join(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def truth_of(sets):
+    return {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 5 * (k := len(np.intersect1d(x, y))) >= 4 * (len(x) + len(y) - k)}
+
+
 def test_tree_finds_all():
     random = np.random.default_rng(2)
     base = [random.integers(0, 1 << 62, random.integers(20, 600), dtype=np.int64).astype(np.uint64) for _ in range(30)]
     sets = [np.unique(np.where(random.random(len(b)) < 0.08, random.integers(0, 1 << 62, len(b), dtype=np.int64).astype(np.uint64), b)) for b in base for _ in range(5)]
-    truth = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 5 * (k := len(np.intersect1d(x, y))) >= 4 * (len(x) + len(y) - k)}
-    found = {(max(i, j), min(i, j)) for i, j, _ in ngram_join.pairs_of(np.array([len(s) for s in sets]), [ngram_join.counts(s) for s in sets], np.arange(len(sets)))}
+    truth = truth_of(sets)
+    found = {(max(i, j), min(i, j)) for i, hit in ngram_join.candidates(np.array([len(s) for s in sets]), [ngram_join.counts(s) for s in sets]) for j in hit.tolist()}
     assert truth and truth <= found and len(found) < len(sets) ** 2 / 10
+    up = dict(components.merged([(j, i) for i, j in truth]))
+    got = dict(components.merged(ngram_join.links_among(sets, np.arange(len(sets)))))
+    assert [up.get(i, i) for i in range(len(sets))] == [got.get(i, i) for i in range(len(sets))]
+
+
+def test_join_hot_cells(spark, monkeypatch):
+    """Families within and below the threshold, a passage that most texts share, with cells split into small blocks."""
+    random = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(20_000)])
+    base, template, passage = random.choice(words, 200), random.choice(words, 300), random.choice(words, 50)
+    rows = []
+    for _ in range(150):
+        near, low = base.copy(), template.copy()
+        near[random.integers(0, 200, 2)] = random.choice(words, 2)
+        low[10 + 40 * np.arange(7)] = random.choice(words, 7)  # in pairs about 0.78
+        rows += [" ".join(near), " ".join(low), " ".join([*random.choice(words, random.integers(5, 80)), *passage, *random.choice(words, random.integers(5, 80))])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for block in (1024, 64):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        check_join(docs)
+    check_join(docs.limit(300))
+
+
+def test_join_exact_prefix(spark):
+    docs = _base.table(spark, SF, "documents")
+    assert sorted(ngram_join.joined(docs, prefix=None).collect()) == sorted(ngram_join.joined(docs).collect())
 
 
 # 6
