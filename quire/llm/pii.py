@@ -1,19 +1,19 @@
 """Personal data: labelers vote on candidate spans, expectation-maximisation weighs them, and a trained span classifier decides.
 
-Everything is column expressions and aggregates. Each pattern's pieces and matches give positions; labelers (form,
-checksum, gazetteer, context, borders) vote yes, no or not at all; the counts of vote patterns over the corpus give each
-labeler's reliability by expectation-maximisation; its posteriors train a naive Bayes span classifier over span features.
-Spans of the base patterns always stay; the classifier decides on the wider forms.
+Everything is column expressions, windows and aggregates. Each pattern's pieces and matches become rows, whose running
+lengths give positions; labelers (form, checksum, gazetteer, context, borders) vote yes, no or not at all; the counts of
+vote patterns over the corpus give each labeler's reliability by expectation-maximisation; its posteriors train a naive
+Bayes span classifier over span features. Spans of the base patterns always stay; the classifier decides on the wider forms.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import cut
+from ._base import cut, join_small
 
 KINDS = ("email", "ip", "card", "phone")
 # Java patterns that match what the plain ones match, in linear time: a match begins where the last one ended or a run begins.
@@ -28,8 +28,10 @@ WIDE = (
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     ("phone", r"(?<![0-9+(.-])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])"),
 )
-#: What a text must hold for a pattern to be tried.
-HINTS = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]{2}|[0-9][\x20-][0-9]", "phone": r"\+[0-9]|[0-9]{3}\)?[\x20.-]"}
+#: What a text must hold for a pattern to be tried: of the base patterns, then of the wider ones.
+HINTS = ("@", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", r"[0-9](?:[\x20-]?[0-9]){13}", r"\+[0-9]", r"[\[(]at[\])]", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]", r"[0-9]{3}[.-][0-9]{4}")
+#: (kind, pattern, whether it is a wider form).
+PATTERNS = tuple(zip(KINDS, (EMAIL, IP, CARD, PHONE), (False,) * 4, strict=True)) + tuple((kind, pattern, True) for kind, pattern in WIDE)
 # Gazetteer and context words (fixed values).
 DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|info|biz|io|eu|de|fr|es|it|nl|uk|us|ch|at|be|ca|au|mil|int)$"
 CUES = r"(?i)(?:e-?mail|mail|contact|correo|courriel|phone|tel|mobile|call|fax|telefon|numero|ip|address|host|server|card|visa|master|amex|kart|carte|tarjeta)[\x20:.=#-]{0,3}$"
@@ -37,21 +39,6 @@ NO_CUES = r"(?i)(?:order|invoice|isbn|issn|serial|version|build|token|sku|part|r
 LABELERS, ROUNDS = ("form", "check", "gazetteer", "context", "borders"), 12
 
 
-def _lengths(strings: Column) -> Column:
-    return F.transform(strings, lambda x: F.length(x).cast("long"))
-
-
-def _sum(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
-
-
-def _running(numbers: Column, step: int = 256) -> Column:
-    """Sum of the numbers before each: blocks of `step` are summed first, so that long lists don't take quadratic time."""
-    n = F.size(numbers)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(n / step).cast("int")), lambda b: _sum(F.slice(numbers, b * step + 1, F.lit(step))))
-    return F.transform(numbers, lambda _, i: _sum(F.slice(blocks, F.lit(1), F.floor(i / step).cast("int"))) + _sum(F.slice(numbers, (F.floor(i / step) * step + 1).cast("int"), (i % step).cast("int"))))
-
-
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -92,80 +79,115 @@ def _votes(kind: str, wide: bool, hit: Column, left: Column, right: Column) -> l
     return [form, check, gazetteer, context, borders]
 
 
-def _candidates(text: Column, kind: str, pattern: str, wide: bool) -> Column:
-    """array<struct<start, kind, end, base, votes, features>> of a pattern's matches; start and end in code points."""
-    gate = text.rlike(HINTS[kind])
-    pieces = F.when(gate, F.split(text, pattern, -1)).otherwise(F.array(text))
-    hits = F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _pieces(text: Column) -> Column:
+    """array<struct<pattern, n, l, r, hit>> of a text: by pattern, each piece between matches (its length and ends) and the match after it; the last has none."""
+    none = F.array().cast("array<struct<pattern:int,n:int,l:string,r:string,hit:string>>")
 
-    def each(found: Column) -> Column:
-        hit, left, right, start = found["hit"], found["left"], found["right"], found["start"]
-        digits = F.length(_digits(hit))
-        marks = [("length", F.least(F.length(hit), F.lit(40)) - F.least(F.length(hit), F.lit(40)) % 4), ("digits", F.least(digits, F.lit(20))), ("left", F.regexp_extract(left, r"(\p{P}|\p{L}|\p{N}|\s|\p{S}|^)$", 1).rlike(r"^[\p{L}\p{N}]").cast("int")), ("right", right.rlike(r"^[\p{L}\p{N}]").cast("int"))]
-        votes = F.concat(*[v.cast("string") for v in _votes(kind, wide, hit, left, right)])
-        features = F.array(*[F.concat(F.lit(f"{kind}.{name}."), value.cast("string")) for name, value in marks], F.concat(F.lit(f"{kind}.form.{int(wide)}."), votes))
-        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(hit)).cast("long").alias("end"), (F.lit(False) if wide else _passes(kind, hit)).alias("base"), votes.alias("votes"), features.alias("features"))
+    def parts(k: int, pattern: str, hint: str) -> Column:
+        pieces = F.transform(F.split(text, pattern, -1), lambda x: F.struct(F.length(x).alias("n"), F.right(x, F.lit(24)).alias("l"), F.left(x, F.lit(2)).alias("r")))
+        both = F.zip_with(pieces, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x, hit: F.struct(F.lit(k).alias("pattern"), x["n"].alias("n"), x["l"].alias("l"), x["r"].alias("r"), hit.alias("hit")))
+        return F.when(text.contains(hint) if len(hint) == 1 else text.rlike(hint), both).otherwise(none)
 
-    steps = F.zip_with(_lengths(F.slice(pieces, F.lit(1), F.size(hits))), _lengths(hits), lambda p, h: p + h)
-    placed = F.zip_with(hits, _running(steps), lambda h, s: F.struct(h.alias("hit"), s.alias("before")))
-    found = F.transform(placed, lambda x, i: F.struct(x["hit"].alias("hit"), F.right(pieces[i], F.lit(24)).alias("left"), F.left(pieces[i + 1], F.lit(2)).alias("right"), (x["before"] + F.length(pieces[i])).cast("long").alias("start")))
-    return F.transform(found, each)
+    return F.concat(*[parts(k, pattern, hint) for k, ((_, pattern, _), hint) in enumerate(zip(PATTERNS, HINTS, strict=True))])
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs with `found`: the candidate spans of every text, by start and kind."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lists = [_candidates(text, kind, pattern, False) for kind, pattern in zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True)] + [_candidates(text, kind, pattern, True) for kind, pattern in WIDE]
-    return docs.withColumn("found", F.array_sort(F.concat(*lists)))
+def _by_pattern(of) -> Column:
+    """of(kind, wide), for the row's pattern."""
+    out = F.lit(None)
+    for k, (kind, _, wide) in enumerate(PATTERNS):
+        out = F.when(F.col("pattern") == k, of(kind, wide)).otherwise(out)
+    return out
+
 
+def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (text; null: empty) with a row number, `__row`, and `__raw`, empty where there is no candidate; and the candidate spans.
 
-def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> Column:
+    The spans' columns: __row, start, kind, end (code points, end exclusive), base, votes, features.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__raw", _pieces(text)), "pieces")
+    order = Window.partitionBy("__row", "pattern").orderBy("pos")
+    before = F.sum(F.col("n") + F.coalesce(F.length("hit"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = numbered.select("__row", F.posexplode("__raw").alias("pos", "x")).select("__row", "pos", "x.*")
+    rows = rows.withColumns({"start": (F.coalesce(before, F.lit(0)) + F.col("n")).cast("long"), "right": F.coalesce(F.lead("r").over(order), F.lit(""))}).filter(F.col("hit").isNotNull())
+    hit, left, right = F.col("hit"), F.col("l"), F.col("right")
+    kind = _by_pattern(lambda kind, _: F.lit(KINDS.index(kind)))
+    name = _by_pattern(lambda kind, _: F.lit(kind))
+    votes = _by_pattern(lambda kind, wide: F.concat(*[v.cast("string") for v in _votes(kind, wide, hit, left, right)]))
+    base = _by_pattern(lambda kind, wide: F.lit(False) if wide else _passes(kind, hit))
+    rows = rows.select("__row", "start", kind.alias("kind"), (F.col("start") + F.length("hit")).cast("long").alias("end"), base.alias("base"), votes.alias("votes"), name.alias("name"), "hit", F.col("l").alias("left"), "right", (F.col("pattern") >= len(KINDS)).cast("int").alias("wide"))
+    rows = rows.withColumn("digits", F.length(_digits(hit)))
+    size = F.least(F.length(hit), F.lit(40))
+    marks = [("length", size - size % 4), ("digits", F.least("digits", F.lit(20))), ("left", F.right("left", F.lit(1)).rlike(r"^[\p{L}\p{N}]").cast("int")), ("right", F.col("right").rlike(r"^[\p{L}\p{N}]").cast("int"))]
+    features = F.array(*[F.concat("name", F.lit(f".{m}."), value.cast("string")) for m, value in marks], F.concat("name", F.lit(".form."), F.col("wide").cast("string"), F.lit("."), "votes"))
+    return numbered, cut(rows.select("__row", "start", "kind", "end", "base", "votes", features.alias("features")), "candidates")
+
+
+def numbers(values: list[float]) -> Column:
+    """The values as one constant array; code that reads it is the same for all values, and so compiled once."""
+    return F.transform(F.split(F.lit(",".join(map(repr, values))), ","), lambda x: x.cast("double"))
+
+
+def reliabilities(patterns: list[tuple[int, str, int]], rounds: int = ROUNDS) -> Column:
     """The chance that a span with these votes is personal data, as an expression over kind and votes.
 
-    patterns (kind, votes, n): a few rows, whatever the corpus. Each round is one aggregate over them.
+    patterns (kind, votes, spans with them): len(KINDS) * 3 ** len(LABELERS) at most, whatever the corpus.
     """
-    prior = dict.fromkeys(range(len(KINDS)), 0.8)
+    prior = [0.8] * len(KINDS)
     rate = [{"1": (0.8, 0.3), "0": (0.1, 0.6), "2": (0.1, 0.1)} for _ in LABELERS]  # chance of each vote for a true and a false span
-
-    def posterior() -> Column:
-        odds = F.element_at(F.create_map(*[F.lit(x) for k, p in prior.items() for x in (k, math.log(p / (1 - p)))]), F.col("kind"))
-        for i, votes in enumerate(rate):
-            vote = F.substring("votes", i + 1, 1)
-            odds = odds + F.when(vote == "1", math.log(votes["1"][0] / votes["1"][1])).when(vote == "0", math.log(votes["0"][0] / votes["0"][1])).otherwise(math.log(votes["2"][0] / votes["2"][1]))
-        return 1 / (1 + F.exp(-odds))
-
     for _ in range(rounds):
-        p = posterior()
-        sums = [F.sum(F.when(F.col("kind") == k, F.col("n") * x)).alias(f"k{k}{y}") for k in prior for y, x in ((1, p), (0, 1 - p))]
-        sums += [F.sum(F.when(F.substring("votes", i + 1, 1) == v, F.col("n") * x)).alias(f"v{i}{v}{y}") for i in range(len(rate)) for v in "012" for y, x in ((1, p), (0, 1 - p))]
-        row = patterns.agg(*sums).first()
-        got = lambda name: (row[name] or 0.0) + 1.0
-        prior = {k: min(max(got(f"k{k}1") / (got(f"k{k}1") + got(f"k{k}0")), 0.01), 0.99) for k in prior}
-        rate = [{v: tuple(got(f"v{i}{v}{y}") / sum(got(f"v{i}{w}{y}") for w in "012") for y in (1, 0)) for v in "012"} for i in range(len(rate))]
-    return posterior()
+        kinds = [[1.0, 1.0] for _ in KINDS]
+        seen = [{v: [1.0, 1.0] for v in "012"} for _ in LABELERS]
+        for kind, votes, n in patterns:
+            odds = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(r[v][0] / r[v][1]) for r, v in zip(rate, votes, strict=True))
+            p = 1 / (1 + math.exp(-odds))
+            for side, share in enumerate((p, 1 - p)):
+                kinds[kind][side] += n * share
+                for labeler, vote in zip(seen, votes, strict=True):
+                    labeler[vote][side] += n * share
+        prior = [min(max(yes / (yes + no), 0.01), 0.99) for yes, no in kinds]
+        rate = [{v: tuple(x[v][side] / sum(x[w][side] for w in "012") for side in (0, 1)) for v in "012"} for x in seen]
+    weights = numbers([math.log(p / (1 - p)) for p in prior] + [math.log(r[v][0] / r[v][1]) for r in rate for v in "012"])
+    odds = F.get(weights, F.col("kind"))
+    for i in range(len(LABELERS)):
+        odds = odds + F.get(weights, len(KINDS) + 3 * i + F.substring("votes", i + 1, 1).cast("int"))
+    return 1 / (1 + F.exp(-odds))
 
 
 def _classifier(found: DataFrame) -> dict[str, float]:
     """Log odds of each span feature, and of no feature under the name "", from the spans' posteriors."""
-    patterns = cut(found.groupBy("kind", "votes").agg(F.count("*").alias("n")), "votes")
+    patterns = sorted(tuple(r) for r in found.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect())
     weighed = found.withColumn("p", reliabilities(patterns)).select(F.explode(F.concat(F.array(F.lit("")), "features")).alias("feature"), "p")
     rows = weighed.groupBy("feature").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()  # lengths, digits, votes: some hundreds at most
     yes, no = next(((r["yes"], r["no"]) for r in rows if not r["feature"]), (0.0, 0.0))
     base = math.log((yes + 1) / (no + 1))
+    if not rows:
+        return {"": 0.0}
     return {r["feature"]: base if not r["feature"] else round(math.log((r["yes"] + 1) / (r["no"] + 1)) - base, 6) for r in rows}
 
 
+def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with __row and __raw; and the spans that are base or that the classifier accepts: __row, start, kind, end, base."""
+    numbered, found = candidates(docs)
+    weights = _classifier(found)
+    known = F.map_from_arrays(F.split(F.lit("\n".join(weights)), "\n"), numbers(list(weights.values())))  # some hundred entries
+    score = F.aggregate("features", F.lit(weights.get("", 0.0)), lambda a, f: a + F.coalesce(F.try_element_at(known, f), F.lit(0.0)))
+    kept = found.filter(F.col("base") | (score > 0)).groupBy("__row", "start", "kind", "end").agg(F.max("base").alias("base"))
+    return numbered, cut(kept, "spans")
+
+
 def marked(docs: DataFrame) -> DataFrame:
-    """docs (text; null: empty; any more columns are kept) with base and spans: arrays of struct<start, kind, end>, kind an index into KINDS.
+    """docs (text; null: empty; any more columns are kept, but text, base and spans) with base and spans: arrays of struct<start, kind, end>, kind an index into KINDS.
 
-    start and end are code points, end exclusive; both lists are in the order of start, kind and end. spans holds all of base.
+    start and end are code points, end exclusive; both lists are in the order of start, kind and end. spans holds all of
+    base. Rows are marked each by itself: null or repeated ids don't matter.
     """
-    table = cut(candidates(docs.drop("found", "base", "spans")).drop("text"), "candidates")
-    weights = _classifier(table.select(F.explode("found").alias("x")).select("x.*"))
-    known = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair]) if weights else F.create_map(F.lit(""), F.lit(0.0))
-    score = lambda x: F.aggregate(x["features"], F.lit(weights.get("", 0.0)), lambda a, f: a + F.coalesce(F.try_element_at(known, f), F.lit(0.0)))
-    slim = lambda xs: F.array_distinct(F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    return table.withColumns({"base": slim(F.filter("found", lambda x: x["base"])), "spans": slim(F.filter("found", lambda x: x["base"] | (score(x) > 0)))}).drop("found")
+    numbered, found = _spans(docs.drop("base", "spans"))
+    span = F.struct("start", "kind", "end")
+    lists = found.groupBy("__row").agg(F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans"))
+    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    out = join_small(numbered.drop("__raw", "text"), cut(lists, "lists"), "__row", "left")
+    return out.withColumns({c: F.coalesce(c, empty) for c in ("base", "spans")}).drop("__row")
 
 
 def digest(spans: Column) -> Column:
@@ -175,22 +197,29 @@ def digest(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per document of docs (doc_id, text): counts of base spans by kind, the hash of their list, and all spans."""
+    """Per row of docs (doc_id, text): counts of base spans by kind, the hash of their list, and all spans. A null text is empty; null and repeated ids are reported as they are."""
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
-    return marked(docs.select("doc_id", "text")).select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+    slim = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = marked(docs.select("doc_id", slim.alias("text")))
+    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with every span, overlapping ones as one, replaced by its first kind in brackets; the columns of docs, n_chars renewed."""
-    rest = [c for c in docs.columns if c != "text"]
-    kept = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    spans = marked(kept.select("*"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """docs with every span, overlapping ones as one, replaced by its first kind in brackets; the columns of docs, n_chars renewed. A null text becomes empty."""
+    numbered, found = _spans(docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    order = Window.partitionBy("__row").orderBy("start", "kind", "end")
+    high = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = found.withColumn("head", (F.col("start") >= high).cast("int")).withColumn("run", F.sum("head").over(order))
+    runs = runs.groupBy("__row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "kind", "end")).alias("kind"))
+    at = F.coalesce(F.lag("end").over(Window.partitionBy("__row").orderBy("start")), F.lit(0))
+    steps = runs.withColumn("at", at).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "at", "kind"))).alias("__steps"), F.max("end").alias("__end"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    step = lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("_text"), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.get(names, x["kind"]))).otherwise(a["out"]).alias("out"))
-    folded = spans.withColumn("_fold", F.aggregate("spans", start, step))
-    text = F.concat(F.col("_fold.out"), F.substring(F.col("_text"), (F.col("_fold.at") + 1).cast("int"), F.length("_text")))
-    out = folded.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("_text")))
-    if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    some = join_small(numbered.filter(F.size("__raw") > 0), cut(steps, "steps"), "__row", "left")
+
+    def replaced(chars: Column) -> Column:  # of the text's characters, as one value, so that each step copies its own part only
+        part = lambda a, n: F.array_join(F.slice(chars, (a + 1).cast("int"), n.cast("int")), "")
+        return F.concat(F.array_join(F.transform("__steps", lambda x: F.concat(part(x["at"], x["start"] - x["at"]), F.get(names, x["kind"]))), ""), part(F.col("__end"), F.size(chars)))
+
+    text = F.when(F.col("__steps").isNotNull(), F.transform(F.array(F.split("text", "")), replaced)[0]).otherwise(F.col("text"))
+    out = some.withColumn("text", text).select(*docs.columns).unionByName(numbered.filter(F.size("__raw") == 0).select(*docs.columns))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out

@@ -41,6 +41,7 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> Iterato
         shapes, at_shapes = word_hashes(shape[keep], np.concatenate([[0], np.cumsum(keep)])[local])
         again = np.zeros(len(words), bool)
         again[1:] = words[1:] == words[:-1]
+        again[at[:-1][at[:-1] < len(words)]] = False  # a row's first word follows none
         shapes = np.where(again, shapes ^ np.uint64(0x5DEECE66D), shapes) if len(shapes) == len(words) else shapes
         shift = np.uint64(64 - bits)
         for i in range(b - a):

@@ -4,6 +4,7 @@ import hashlib
 import html as html_lib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -155,6 +156,13 @@ def test_quality_awkward(spark, awkward):
     assert quality.classified(awkward.filter("false"), labels).count() == 0
 
 
+def test_quality_rows_stand_alone():
+    texts = ["a b", "b c c", "", "c Dd dd", None, "x", "x x 12!", " lead", LONG, "É é é"]
+    whole = list(quality.features(*_base.text_bytes(pa.array(texts))))
+    for text, found in zip(texts, whole, strict=True):
+        assert sorted(found) == sorted(next(quality.features(*_base.text_bytes(pa.array([text], pa.string())))))
+
+
 # 5
 
 
@@ -439,6 +447,20 @@ def test_redaction(spark, awkward):
     assert rows[11] == "ünï 漢字 😀 mail me at [EMAIL] or [PHONE]" and rows[1] == "one two three four five six" and rows[2] == ""
 
 
+def test_pii_many_matches(spark):
+    """Time in proportion to the matches of one text, and all of them found."""
+    took = []
+    for n in (2_000, 100_000):
+        text = " ".join(f"a{i}@b.de" for i in range(n))
+        docs = spark.createDataFrame([(1, text), (None, "a@b.de"), (1, text[:20])], "doc_id long, text string")
+        began = time.time()
+        rows = pii.report(docs).collect()
+        took.append(time.time() - began)
+        assert sorted(r["n_email"] for r in rows)[-1] == n
+    assert took[1] < 60 + 5 * took[0]
+    assert max(len(r["text"]) for r in pii.redacted(docs).collect()) == 100_000 * 8 - 1
+
+
 def test_wider_spans(spark):
     rows = [(i, f"some text {i} mail: user{i}@site{i % 7}.com and tel: (555) 555-{1000 + i} or order no: {10**15 + i} here") for i in range(300)] + [(1000, "write to jane.doe [at] example.org please")]
     found = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
