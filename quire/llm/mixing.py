@@ -85,11 +85,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0,
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: str = "") -> DataFrame:
-    """The documents of the mix, with the columns of docs: each as often as it is taken, the last of a source cut to the words taken of it."""
+    """The documents of the mix, with the columns of docs: each as often as it is taken, the last of a source cut after the words taken of it.
+
+    What stands between and before the words of a cut text stays as it is. Documents without words (null, empty or blank
+    texts) take no part in a mix of words and are left out. Rows with null or repeated ids are rows like others.
+    """
     taken = mix(docs, weights, cap, seed).filter("taken > 0")
     rest = (F.col("taken") - F.col("copies") * F.col("size")).cast("int")
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    texts = F.concat(F.array_repeat(F.col("text"), F.col("copies").cast("int")), F.when(rest > 0, F.array(F.array_join(F.slice(words, F.lit(1), rest), " "))).otherwise(F.array().cast("array<string>")))
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    texts = F.concat(F.array_repeat(F.col("text"), F.col("copies").cast("int")), F.when(rest > 0, F.array(F.array_join(F.slice(words, F.lit(1), rest), ""))).otherwise(F.array().cast("array<string>")))
     out = taken.withColumn("text", F.explode(texts))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
