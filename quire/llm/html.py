@@ -2,13 +2,16 @@
 
 A page is read once by the standard library's streaming parser. Its visible text falls into blocks at block-level tags;
 each block is a line, whose ratio is its characters outside links for each tag in it. Ratios are smoothed over neighbouring
-lines, and runs of lines above a share of their standard deviation are the content clusters. The text is that of one
-region: of the elements that could hold the article, the one with most of the clusters' characters.
+lines, and runs of lines above a share of their standard deviation are the content clusters. What the clusters' characters
+lie in is the content region: article elements if they hold most of them, else the innermost section that does; in a
+section, the text runs from the first to the last cluster, and on through content lines right around it. Elements hold a number, their parent's and a weight, which is
+summed up the tree once, so that memory and time grow with the page and not with its depth.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -17,67 +20,94 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIGMA, THRESHOLD, REGION_SHARE = 1.0, 0.5, 0.6
+#: Width of the smoothing, in lines; share of the deviation above which a line is content.
+SIGMA, THRESHOLD = 1.0, 0.5
+#: Share of the content's characters that article elements must hold to be the region, and that a section must; the least article beside a larger one; share of link text that makes a line a list of links.
+EXPLICIT, SECTION, BESIDE, LINKS = 0.5, 0.75, 0.25, 0.6
 # Fixed values of HTML: elements by what they do to the text around or in them.
-HIDDEN = frozenset("head script style noscript template iframe object svg math canvas audio video select option textarea button datalist".split())
-ASIDE = frozenset("nav footer aside form dialog menu".split())
-CONTAINERS = frozenset("body main article section div header ul ol dl table tbody thead tfoot tr figure details fieldset blockquote center".split())
-BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption pre address hr summary legend title".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role that mark what is not the article.
-NOT_CONTENT = frozenset(
-    "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "nav navbar navigation menu breadcrumb breadcrumbs topbar masthead sidebar sidebars aside widget related recommended footer share sharing social "
-    "subscribe newsletter signup login search comment comments disqus respond replies pagination pager skip toolbar complementary contentinfo".split()
-)
-ARTICLE_HINTS = frozenset("articlebody article-body post-content entry-content post-body main-content article-content main".split())
+HIDDEN = frozenset(("head", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "audio", "video", "select", "option", "textarea", "button", "datalist"))
+ASIDE = frozenset(("nav", "footer", "aside", "form", "dialog", "menu"))
+CONTAINERS = frozenset(("body", "main", "article", "section", "div", "header", "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "figure", "details", "fieldset", "blockquote", "center"))
+SECTIONS = frozenset(("body", "main", "article", "section", "div", "td", "center"))
+BREAKS = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "caption", "figcaption", "pre", "address", "hr", "summary", "legend", "title"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+#: Words for what is not the article, and words that say only where or how it stands. A class, id or role marks an element if all its words are among these, one of the first at least.
+NOT_CONTENT = frozenset((
+    "ad", "ads", "advert", "adverts", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay",
+    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "topbar", "masthead", "sidebar", "sidebars", "aside", "widget", "related", "recommended", "footer", "share", "sharing", "social",
+    "subscribe", "newsletter", "signup", "login", "search", "comment", "comments", "disqus", "respond", "replies", "pagination", "pager", "skip", "toolbar", "complementary", "contentinfo",
+))
+NEUTRAL = frozenset((
+    "site", "page", "main", "global", "top", "bottom", "left", "right", "header", "head", "container", "wrapper", "wrap", "box", "block", "area", "section", "list", "links", "link", "bar", "buttons", "button", "inner", "outer",
+    "primary", "secondary", "item", "items", "panel", "banner", "slot", "unit", "text", "form", "body", "row", "col", "reader", "user", "and", "the", "js",
+))
+ARTICLE_HINTS = frozenset(("articlebody", "article-body", "post-content", "entry-content", "post-body", "main-content", "article-content", "main"))
 _WORDS, _MARKED = re.compile(r"[a-z]+"), re.compile(r"<!\[[^>]*(?:>|$)")
 
 
+def is_marked(names: str) -> bool:
+    """Whether one of the names, in lower case, says that the element isn't the article."""
+    for name in names.split():
+        words = set(_WORDS.findall(name))
+        if words and words <= NOT_CONTENT | NEUTRAL and not words.isdisjoint(NOT_CONTENT):
+            return True
+    return False
+
+
 class _Events(HTMLParser):
-    """Collects blocks: [text, tags, link characters, ids of the elements around it]."""
+    """Collects blocks: (text, tags, link characters, number of the element around it)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, int, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, int, bool]] = []  # tag, id, whether its text is skipped
-        self.explicit: dict[int, bool] = {}
-        self.made = self.skipped = self.tags = self.links = self.in_link = 0
+        self.blocks: list[tuple[str, int, int, int]] = []
+        self.tag, self.parent = [""], [0]  # of each element; 0 is the page
+        self.stack: list[tuple[str, int, bool]] = []  # tag, number, whether its text is skipped
+        self.open: Counter[str] = Counter()
+        self.explicit: set[int] = set()
+        self.skipped = self.tags = self.links = self.in_link = 0
         self.parts: list[str] = []
 
     def end_block(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.blocks.append((text, self.tags, self.links, tuple(x[1] for x in self.stack)))
+                self.blocks.append((text, self.tags, self.links, self.stack[-1][1] if self.stack else 0))
             self.parts.clear()
-        self.tags = self.links = 0
+        self.tags = self.links = self.in_link = 0  # a link that was left open ends with its block
 
-    def push(self, tag: str, skip: bool) -> None:
-        self.made += 1
-        self.stack.append((tag, self.made, skip))
+    def push(self, tag: str, skip: bool) -> int:
+        self.parent.append(self.stack[-1][1] if self.stack else 0)
+        self.tag.append(tag)
+        self.stack.append((tag, len(self.tag) - 1, skip))
+        self.open[tag] += 1
         self.skipped += skip
+        return len(self.tag) - 1
 
     def pop(self) -> None:
-        self.skipped -= self.stack.pop()[2]
+        tag, _, skip = self.stack.pop()
+        self.open[tag] -= 1
+        self.skipped -= skip
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br" or tag == "wbr":
             self.parts.append(" " if tag == "br" else "")
-        elif tag in HIDDEN or tag in ASIDE or tag in CONTAINERS:
+            self.tags += 1
+            return
+        named = dict(attrs)
+        marks = " ".join(filter(None, (named.get(k) for k in ("class", "id", "role")))).lower()
+        in_article = self.open["article"] + self.open["main"] > 0
+        marked = bool(marks) and tag not in ("html", "body", "main") and not (tag == "article" and "comment" not in marks) and is_marked(marks)
+        block = tag in ASIDE or tag in CONTAINERS
+        if block or tag in BREAKS:
             self.end_block()
-            if tag in ("article", "main", "body"):  # whatever was left open before it isn't around it
-                while self.stack and self.stack[-1][2]:
-                    self.pop()
-            named = dict(attrs)
-            marks = " ".join(filter(None, (named.get(k) for k in ("class", "id", "role")))).lower()
-            in_article = any(x[0] in ("article", "main") for x in self.stack)
-            skip = tag in HIDDEN or tag in ASIDE or (tag == "header" and not in_article) or "hidden" in named
-            skip = skip or bool(marks) and tag not in ("body", "main") and not NOT_CONTENT.isdisjoint(_WORDS.findall(marks)) and not (tag == "article" and "comment" not in marks)
-            self.push(tag, skip)
+            while self.stack and self.stack[-1][0] in BREAKS and (self.stack[-1][0] == tag or self.stack[-1][0] not in ("li", "dd", "dt")):  # a marked paragraph ends where the next block begins
+                self.pop()
+        if tag in ("article", "main", "body"):  # whatever was left open before it isn't around it
+            while self.stack and self.stack[-1][2]:
+                self.pop()
+        if tag in HIDDEN or block or (marked or "hidden" in named) and tag not in VOID:
+            element = self.push(tag, tag in HIDDEN or tag in ASIDE or (tag == "header" and not in_article) or "hidden" in named or marked)
             if tag in ("article", "main") or not ARTICLE_HINTS.isdisjoint(marks.split()) or (named.get("itemprop") or "").lower() == "articlebody":
-                self.explicit[self.made] = True
-        elif tag in BREAKS:
-            self.end_block()
+                self.explicit.add(element)
         elif tag == "a":
             self.in_link = 1
         self.tags += 1
@@ -90,14 +120,12 @@ class _Events(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
             self.in_link = 0
-        elif tag in BREAKS:
-            self.end_block()
-        elif tag in HIDDEN or tag in ASIDE or tag in CONTAINERS:
+        if tag in BREAKS or tag in ASIDE or tag in CONTAINERS:
             self.end_block()
-            if any(x[0] == tag for x in self.stack):
-                while self.stack[-1][0] != tag:
-                    self.pop()
+        if self.open[tag]:
+            while self.stack[-1][0] != tag:
                 self.pop()
+            self.pop()
 
     def handle_data(self, data: str) -> None:
         if not self.skipped:
@@ -114,14 +142,52 @@ def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return total / np.convolve(np.ones(len(values)), kernel)[reach : reach + len(values)]
 
 
+def region_of(tag: list[str], parent: list[int], explicit: set[int], at: list[int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Whether each line (in element at[i], with its content characters weight[i]) is in the content region; if that is a section and not article elements, also which lines stand in the elements around it."""
+    held = np.zeros(len(tag))
+    np.add.at(held, at, weight)
+    for x in range(len(tag) - 1, 0, -1):  # elements come after those around them
+        held[parent[x]] += held[x]
+    best = max((held[x] for x in explicit), default=0.0)
+    chosen: set[int] = set()
+    if best > 0 and best >= EXPLICIT * held[0]:
+        inside = np.zeros(len(tag), bool)
+        for x in range(1, len(tag)):
+            inside[x] = inside[parent[x]]
+            if x in explicit:
+                if not inside[x] and held[x] >= BESIDE * best:
+                    chosen.add(x)
+                inside[x] = inside[x] or x in chosen
+        for x in sorted(explicit):  # an inner one instead, if all content of the outer one is in it
+            up = parent[x]
+            while up and up not in explicit:
+                up = parent[up]
+            if up in chosen and held[x] >= held[up] > 0:
+                chosen.remove(up)
+                chosen.add(x)
+    else:
+        fits = [x for x in range(1, len(tag)) if tag[x] in SECTIONS and held[x] >= SECTION * held[0] > 0]
+        chosen = {fits[-1]} if fits else {0}
+    inside = np.zeros(len(tag), bool)
+    for x in range(len(tag)):
+        inside[x] = x in chosen or inside[parent[x]]
+    if best > 0 and best >= EXPLICIT * held[0]:
+        return inside[at], None
+    around, x = {0}, next(iter(chosen))
+    while x:
+        x = parent[x]
+        around.add(x)
+    return inside[at], np.array([x in around for x in at])
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by empty lines; empty if there is none. Broken markup is read as far as it makes sense."""
     if not html:
         return ""
-    if (open_ := html.rfind("<!--")) >= 0 and html.find("-->", open_) < 0:
-        html = html[:open_]  # a comment that isn't closed is all comment
     events = _Events()
     events.feed(_MARKED.sub("", html))
+    if events.rawdata.startswith("<!--"):  # a comment that isn't closed is all comment
+        events.rawdata = ""
     events.close()
     events.end_block()
     blocks = events.blocks
@@ -130,24 +196,26 @@ def main_text(html: str | None) -> str:
     chars = np.array([len(text) for text, *_ in blocks], float)
     links = np.array([min(n, len(text)) for text, _, n, _ in blocks], float)
     ratio = smoothed((chars - links) / np.array([max(1, tags) for _, tags, *_ in blocks]))
-    content = ratio >= THRESHOLD * ratio.std()
-    weight = np.where(content, chars - links, 0.0)
-    held: dict[int, float] = {}
-    for (*_, around), w in zip(blocks, weight.tolist(), strict=True):
-        for element in around:
-            held[element] = held.get(element, 0.0) + w
-    if explicit := [x for x in held if x in events.explicit]:
-        most = max(held[x] for x in explicit)
-        region = max(x for x in explicit if held[x] >= REGION_SHARE * most)  # the innermost comes last
-    else:
-        whole = float(weight.sum())
-        region = max((x for x in held if held[x] >= REGION_SHARE * whole), default=0)
-    kept = [text for (text, _, n, around), c in zip(blocks, chars.tolist(), strict=True) if (not region or region in around) and (explicit or n < 0.6 * c)]
-    return "\n\n".join(kept)
+    content = (ratio >= THRESHOLD * ratio.std()) & (links < LINKS * chars)
+    inside, around = region_of(events.tag, events.parent, events.explicit, [x[3] for x in blocks], np.where(content, chars - links, 0.0))
+    if around is None:
+        return "\n\n".join(text for (text, *_), ok in zip(blocks, inside.tolist(), strict=True) if ok)
+    clusters = np.flatnonzero(content & inside)
+    if not len(clusters):
+        return ""
+    first, last = int(clusters[0]), int(clusters[-1])
+    while first and content[first - 1] and around[first - 1]:
+        first -= 1
+    while last + 1 < len(blocks) and content[last + 1] and around[last + 1]:
+        last += 1
+    return "\n\n".join(blocks[i][0] for i in range(first, last + 1) if (inside[i] or around[i]) and links[i] < LINKS * chars[i])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """pages (html; any more columns are kept) with text and n_chars, its code points; html goes. A null or empty page has an empty text."""
+    """pages (html; any more columns are kept) with text and n_chars, its code points; html goes. A null or empty page has an empty text.
+
+    Pages are read each by itself, whole, so repeated rows get the same text; columns of pages named text or n_chars are replaced.
+    """
     keep = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     schema = pages.select(*keep).withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
 

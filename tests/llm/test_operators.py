@@ -122,6 +122,28 @@ def test_html():
     assert html.main_text("<article>" + "<div>" * 2000 + "deep" + "</div>" * 2000) == "deep"
 
 
+def test_html_regions():
+    words = "Some words of the story that go on for a while. "
+    cases = {
+        '<script>var a="<!--";</script><article><p>Hello world</p>': "Hello world",
+        f"<div><a href=x>Home<p>{words * 3}</p><p>{words * 2}</p></div>": f"{(words * 3).strip()}\n\n{(words * 2).strip()}",
+        f"<body><article><p>{words * 6}</p></article><article><p>{words * 4}</p></article></body>": f"{(words * 6).strip()}\n\n{(words * 4).strip()}",
+        f"<div><div><p>{words * 9}</p><p>{words * 8}</p></div><article><p>Teaser one</p></article><article><p>Teaser two</p></article></div>": f"{(words * 9).strip()}\n\n{(words * 8).strip()}",
+        f"<main><h1>T</h1><p>{words}</p><article><p>{words * 3}</p></article></main>": f"T\n\n{words.strip()}\n\n{(words * 3).strip()}",
+        f"<div><h1>Title of it</h1><p>{words * 3}</p><blockquote>{words * 7}</blockquote></div>": f"Title of it\n\n{(words * 3).strip()}\n\n{(words * 7).strip()}",
+        f'<article><section id="related-work"><p>{words}</p></section><div class="notice-of-rights"><p>Rights</p></div><div class="search-methods">{words}</div></article>': f"{words.strip()}\n\nRights\n\n{words.strip()}",
+        f'<article><p class="ad">Buy<p>{words}</p><ul><li class="advert">Buy</li><li>Point</li></ul><p>It <span class="cookie-notice">We use</span>is <math><mi>x</mi></math> here.</p></article>': f"{words.strip()}\n\nPoint\n\nIt is x here.",
+    }
+    for page, text in cases.items():
+        assert html.main_text(page) == text, page
+
+
+def test_html_deep():
+    page = "<div>x" * 100_000
+    began = time.time()
+    assert html.main_text(page).count("x") == 100_000 and time.time() - began < 60
+
+
 def test_html_pages(spark):
     rows = html.extracted(_base.table(spark, SF, "pages").withColumns({"text": F.lit(1), "n_chars": F.lit(1)})).collect()
     pages = {r["page_id"]: r["html"] for r in _base.table(spark, SF, "pages").collect()}
