@@ -105,4 +105,33 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.low,
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id) m USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op5_ngram_jaccard_join": _OP5, "op1_exact_top_k": _OP1, "op2_mix_sources": _OP2}
+_OP7_ORDERS = "".join(
+    f"""
+, t{k} AS (SELECT substr(gram, {5 - k}) AS tail, sum(na) AS na, sum(nb) AS nb FROM counts GROUP BY tail)
+, c{k} AS (SELECT left(tail, {k}) AS context, sum(na) AS alla, sum(nb) AS allb, count(*) FILTER (na > 0) AS kindsa, count(*) FILTER (nb > 0) AS kindsb FROM t{k} GROUP BY context)
+, k{k} AS (SELECT tail, CASE WHEN alla > 0 THEN (na + kindsa * lessa) / (alla + kindsa) ELSE lessa END AS pa, CASE WHEN allb > 0 THEN (nb + kindsb * lessb) / (allb + kindsb) ELSE lessb END AS pb
+  FROM (SELECT t.*, c.* EXCLUDE (context), {"u.pa AS lessa, u.pb AS lessb" if k else "1.0::DOUBLE / (SELECT count(*) FROM t0) AS lessa, 1.0::DOUBLE / (SELECT count(*) FROM t0) AS lessb"}
+        FROM t{k} t JOIN c{k} c ON left(t.tail, {k}) = c.context {f"JOIN k{k - 1} u ON substr(t.tail, 2) = u.tail" if k else ""}))"""
+    for k in range(5)
+)
+_OP7 = rf"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS u FROM pages
+), h AS (SELECT *, CASE WHEN instr(u, '://') > 0 THEN substr(u, instr(u, '://') + 3) ELSE '' END AS rest FROM p
+), s AS (SELECT page_id, u, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM h
+), r AS (SELECT *, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/' WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
+  CAST('0x' || left(md5(u), 8) AS BIGINT) % 5 = 0 AS back FROM s
+), f AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS fixed FROM r
+), g AS (SELECT u, fixed, back, substr(repeat(chr(2), 4) || u || chr(3), i, 5) AS gram FROM (SELECT u, fixed, back, unnest(range(1, len(u) + 2)) AS i FROM f)
+), counts AS (SELECT gram, count(*) FILTER (fixed = 'allow' AND NOT back) AS na, count(*) FILTER (fixed = 'block' AND NOT back) AS nb FROM g GROUP BY gram)
+{_OP7_ORDERS}
+, score AS (SELECT u, CAST(sum(CAST(round((ln(pa) - ln(pb)) * 1000000) AS BIGINT)) AS DOUBLE) / count(*) / 1000000 AS score FROM g JOIN k4 ON gram = tail GROUP BY u
+), bins AS (SELECT floor(score * 100 + 0.5) / 100 AS edge, count(*) FILTER (fixed = 'allow') AS a, count(*) FILTER (fixed = 'block') AS b FROM f JOIN score USING (u) WHERE back AND fixed IS NOT NULL GROUP BY 1
+), gains AS (SELECT edge, coalesce(sum(b) OVER w, 0) / sum(b) OVER () - coalesce(sum(a) OVER w, 0) / sum(a) OVER () AS gain, sum(a) OVER () AS sa, sum(b) OVER () AS sb
+  FROM bins WINDOW w AS (ORDER BY edge ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), best AS (SELECT edge - 0.005 AS least FROM gains WHERE sa > 0 AND sb > 0 ORDER BY gain DESC, abs(edge), edge LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN score >= coalesce((SELECT least FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict FROM f LEFT JOIN score USING (u)
+"""
+
+SQL: dict[str, str] = {"op7_url_filter": _OP7, "op5_ngram_jaccard_join": _OP5, "op1_exact_top_k": _OP1, "op2_mix_sources": _OP2}

@@ -2,7 +2,8 @@
 
 URLs that a rule allows or blocks train one model each, of contexts of 4 to 0 characters, mixed by Witten-Bell weights.
 All is counted and looked up by DataFrame operations over the distinct 5-character pieces of the corpus; what a URL gets is
-the mean over its characters. The threshold is the one that best parts the rules' URLs that were held back from training.
+the mean over its characters, query string and all. The threshold is the one that best parts the rules' URLs that were held
+back from training.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 def _grams(text: Column) -> Column:
     """The pieces of ORDER + 1 characters that end at each character and at the end of the text."""
     chars = F.split(F.concat(F.lit("\u0002" * ORDER), text, F.lit("\u0003")), "")
-    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(ORDER + 1)), ""))
+    pieces = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - ORDER), lambda i: F.array_join(F.slice(x, i, F.lit(ORDER + 1)), ""))
+    return F.transform(F.array(chars), pieces)[0]  # so that the text is split once
 
 
 def _ratios(counts: DataFrame) -> DataFrame:
@@ -63,32 +65,40 @@ def _ratios(counts: DataFrame) -> DataFrame:
     return known.select(F.col("shorter").alias("gram"), F.round((F.log("less_allow") - F.log("less_block")) * UNIT).cast("long").alias("ratio"))
 
 
+def _text_hash(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """pages (url; any more columns are kept) with host, path, rule, verdict (allow or block) and score.
 
-    score: mean log-likelihood difference a character, allowed less blocked, of host and path; a null or empty url is the
-    empty text. Where no rule fits, the verdict is allow if the score reaches the threshold. Without URLs of both kinds
-    the threshold is 0 and every score 0, so all is allowed. Columns of pages named like the added ones are replaced.
+    score: mean log-likelihood difference a character, allowed less blocked, of the whole url; a null url is the empty
+    text. Where no rule fits, the verdict is allow if the score reaches the threshold (of thresholds that part the held-back
+    URLs equally well, the one nearest to 0, then the lower). Without URLs of both kinds the threshold is 0 and every score
+    0, so all is allowed. Repeated rows get the same values. Columns of pages named like the added ones are replaced.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "score")
-    host, path = host_and_path("url")
-    split = pages.withColumns({"host": host, "path": path})
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    text = F.concat("host", "path")
-    ruled = split.withColumns({"rule": rule, "_fixed": verdict}).withColumn("_back", F.pmod(F.xxhash64(text), F.lit(HELD_BACK)) == 0)
-    of = lambda kind: F.count(F.when((F.col("_fixed") == kind) & ~F.col("_back"), 1))
-    counts = ruled.select("_fixed", "_back", F.explode(_grams(text)).alias("gram")).groupBy("gram").agg(of("allow").alias("n_allow"), of("block").alias("n_block"))
+    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    host, path = host_and_path(url)
+    rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
+    key = F.md5(url)
+    slim = pages.select(url.alias("__url"), key.alias("__key"), host.alias("__host"), path.alias("__path")).withColumn("__fixed", verdict)
+    slim = slim.withColumn("__back", _text_hash(F.col("__url")) % HELD_BACK == 0)
+    of = lambda kind: F.count(F.when((F.col("__fixed") == kind) & ~F.col("__back"), 1))
+    counts = slim.select("__fixed", "__back", F.explode(_grams(F.col("__url"))).alias("gram")).groupBy("gram").agg(of("allow").alias("n_allow"), of("block").alias("n_block"))
     ratios = _ratios(cut(counts, "grams"))
 
-    keys = [*pages.columns, "host", "path", "rule", "_fixed", "_back"]
-    pieces = ruled.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keys, F.explode(_grams(text)).alias("gram"))
-    sums = join_small(pieces, ratios, "gram", "left").groupBy("_row").agg(*[F.first(c).alias(c) for c in keys], (F.sum("ratio") / F.count("*") / UNIT).alias("score"))
-    scored = cut(sums.drop("_row"), "scored")
+    pieces = slim.select("__key", F.explode(_grams(F.col("__url"))).alias("gram")).groupBy("__key", "gram").agg(F.count("*").alias("n"))
+    sums = join_small(pieces, ratios, "gram", "inner").groupBy("__key").agg((F.sum(F.col("ratio") * F.col("n")).cast("double") / F.sum("n") / UNIT).alias("score"))
+    scores = cut(sums, "scores")
 
-    bins = scored.filter("_back and _fixed is not null").groupBy(F.round("score", 2).alias("at")).agg(F.count(F.when(F.col("_fixed") == "allow", 1)).alias("a"), F.count(F.when(F.col("_fixed") == "block", 1)).alias("b"))
+    held = slim.filter(F.col("__back") & F.col("__fixed").isNotNull()).groupBy("__key").agg(F.count(F.when(F.col("__fixed") == "allow", 1)).alias("a"), F.count(F.when(F.col("__fixed") == "block", 1)).alias("b"))
+    bins = held.join(scores, "__key").groupBy((F.floor(F.col("score") * 100 + 0.5) / 100).alias("at")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     below, whole = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row for each hundredth
     gain = F.coalesce(F.sum("b").over(below), F.lit(0)) / F.sum("b").over(whole) - F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(whole)
     both = bins.filter("a > 0 or b > 0").withColumns({"na": F.sum("a").over(whole), "nb": F.sum("b").over(whole)}).filter("na > 0 and nb > 0")
     top = both.withColumn("gain", gain).orderBy(F.col("gain").desc(), F.abs("at"), "at").select("at").first()
     threshold = float(top["at"]) - 0.005 if top else 0.0
-    return scored.withColumn("verdict", F.coalesce("_fixed", F.when(F.col("score") >= threshold, "allow").otherwise("block"))).select(*pages.columns, "host", "path", "rule", "verdict", "score")
+    out = join_small(pages.withColumns({"__host": host, "__path": path, "__key": key}), scores, "__key", "left")
+    out = out.withColumns({"rule": rule, "__fixed": verdict})
+    return out.select(*pages.columns, F.col("__host").alias("host"), F.col("__path").alias("path"), "rule", F.coalesce("__fixed", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")
