@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """A spanning forest of the pairs, as (node, least node of its tree)."""
     up: dict[int, int] = {}
 

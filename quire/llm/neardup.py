@@ -1,8 +1,10 @@
 """Embedding near-duplicates: a hierarchical navigable small-world graph per shard, every shard asked, pairs verified, components joined.
 
-Equal vectors are one class. The classes of a label are dealt to shards; each shard's graph is built in one task and audited
-there: its beam is widened until the links that it finds for sampled vectors are those of brute force. Blocks of vectors then
-ask every graph of their label. What leaves a task is a count per vector and a spanning forest, never the pairs.
+Equal vectors are one class. The classes of a label are dealt to shards by hash; each shard's graph is built in one task and
+audited there: its beam is widened until the links that it finds for sampled vectors that have links are those of brute
+force. Blocks of vectors then ask every graph of their label: a task loads one graph and streams the blocks of a group
+against it, searching in single precision and verifying in double. What leaves a task is a count per vector and a spanning
+forest, never the pairs.
 """
 
 from __future__ import annotations
@@ -20,20 +22,21 @@ from ._base import cut, join_small
 from .components import components, merged
 from .search import valid
 
-#: Rows below which a label has one shard; shards of a larger one, at least; rows of a shard, about; rows and blocks asked together.
-ONE_SHARD, SHARDS, SHARD_ROWS, BLOCK_ROWS, GROUP_BLOCKS = 512, 4, 16_384, 1024, 64
-#: Neighbours of a node (twice as many in the lowest layer), beam while building and at first, sampled vectors and recall of an audit.
+#: Rows of a shard, about; rows of a block, and blocks that one task asks a graph with.
+SHARD_ROWS, BLOCK_ROWS, GROUP_BLOCKS = 16_384, 1024, 64
+#: Neighbours of a node (twice as many in the lowest layer), beam while building and at first; of an audit, the vectors with links and the recall of their links.
 M, BEAM, AUDIT, RECALL = 12, 48, 128, 0.995
 _EXPAND, _LOCKSTEP = 4, 256
-#: A beam of this part of a shard's vectors costs as much as a scan.
-SCAN = 4
+#: What single precision may lack; such pairs are left to the verification.
+SLACK = 1e-5
 
 
 class Graph:
     """Layers from the lowest: ids of the layer's nodes (into vectors) and each one's neighbours (positions in the layer, -1 for none)."""
 
     def __init__(self, vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], beam: int = BEAM) -> None:
-        self.vectors, self.layers, self.beam = vectors, layers, beam
+        self.vectors, self.layers, self.beam, self.recall = vectors, layers, beam, 1.0
+        self.fast = vectors.astype(np.float32)
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 5) -> Graph:
@@ -48,14 +51,14 @@ class Graph:
             graph._connect(np.arange(done), None)
             while done < len(ids):
                 batch = np.arange(done, min(len(ids), done + min(done, _LOCKSTEP)))
-                graph._connect(batch, graph._search(vectors[ids[batch]], 0, BEAM)[0])
+                graph._connect(batch, graph._search(graph.fast[ids[batch]], 0, BEAM)[0])
                 done = batch[-1] + 1
         return graph
 
     def _connect(self, batch: np.ndarray, found: np.ndarray | None) -> None:
         """Link new nodes of the lowest layer to the diverse nearest of those found and of the batch, both ways."""
         ids, near = self.layers[0]
-        x = self.vectors[ids[batch]]
+        x = self.fast[ids[batch]]
         own = x @ x.T
         np.fill_diagonal(own, -2)
         few = min(len(batch), BEAM // 2)
@@ -83,12 +86,12 @@ class Graph:
             for r, (_, p) in enumerate(part):
                 pool[r, : len(p)] = p
             rows = np.array([j for j, _ in part])
-            near[rows] = self._diverse(self.vectors[ids[rows]], pool, near.shape[1])
+            near[rows] = self._diverse(self.fast[ids[rows]], pool, near.shape[1])
 
     def _diverse(self, x: np.ndarray, pool: np.ndarray, most: int) -> np.ndarray:
         """Of each row's pool, by falling similarity: those nearer to x than to any chosen before; then the nearest of the rest."""
         ids = self.layers[0][0]
-        v = self.vectors[ids[pool]]
+        v = self.fast[ids[pool]]
         sims = np.where(pool >= 0, np.einsum("bd,bpd->bp", x, v), -2.0)
         order = np.argsort(-sims, axis=1, kind="stable")[:, : max(BEAM, most)]
         pool, sims = np.take_along_axis(pool, order, 1), np.take_along_axis(sims, order, 1)
@@ -121,7 +124,7 @@ class Graph:
         for j in range(start.shape[1]):
             fresh = ~seen[rows[:, 0], start[:, j]]
             held[fresh, j], open_[fresh, j] = start[fresh, j], True
-            sims[fresh, j] = np.einsum("bd,bd->b", q[fresh], self.vectors[ids[start[fresh, j]]])
+            sims[fresh, j] = np.einsum("bd,bd->b", q[fresh], self.fast[ids[start[fresh, j]]])
             seen[rows[:, 0], start[:, j]] = True
         live = np.arange(len(q))
         while len(live):
@@ -141,7 +144,7 @@ class Graph:
             seen[live[:, None], nodes] = True
             nodes = np.where(new, nodes, -1)
             h[:, beam : beam + nodes.shape[1]] = nodes
-            s[:, beam : beam + nodes.shape[1]] = np.where(new, np.einsum("bd,bnd->bn", q[live], self.vectors[ids[nodes]]), -2.0)
+            s[:, beam : beam + nodes.shape[1]] = np.where(new, (self.fast[ids[nodes]] @ q[live][:, :, None])[:, :, 0], -2.0)
             o[:, beam : beam + nodes.shape[1]] = new
             order = np.argpartition(-s, beam - 1, axis=1)
             sims[live], open_[live], held[live] = np.take_along_axis(s, order, 1), np.take_along_axis(o, order, 1), np.take_along_axis(h, order, 1)
@@ -150,43 +153,56 @@ class Graph:
         held = np.where(sims > -2, held, -1)[:, :beam]
         return held, sims[:, :beam]
 
-    def links(self, q: np.ndarray, least: float, beam: int | None = None) -> list[np.ndarray]:
-        """Nodes found within `least` of each query; a beam that is half full of such nodes is doubled until it isn't, or scans the shard once it is as wide as a large part of it."""
-        found: list[np.ndarray] = [np.zeros(0, int)] * len(q)
+    def links(self, q: np.ndarray, least: float) -> Iterator[np.ndarray]:
+        """Of each query (unit rows), the nodes found with cosine >= least. A beam that is half full of near nodes is doubled until it isn't, or holds all."""
+        fast = q.astype(np.float32)
         for a in range(0, len(q), _LOCKSTEP):
-            left, wide = np.arange(a, min(a + _LOCKSTEP, len(q))), beam or self.beam
+            part, found = np.arange(a, min(a + _LOCKSTEP, len(q))), {}
+            left, wide = part, self.beam
             while len(left):
-                if wide * SCAN >= len(self.vectors):
-                    for i, hit in zip(left.tolist(), q[left] @ self.vectors.T >= least - 1e-6, strict=True):
-                        found[i] = np.flatnonzero(hit)
+                if wide >= len(self.vectors):
+                    near = fast[left] @ self.fast.T >= least - SLACK
+                    found |= {i: np.flatnonzero(hit) for i, hit in zip(left.tolist(), near, strict=True)}
                     break
-                held, sims = self._search(q[left], 0, wide)
-                near = (sims >= least - 1e-6) & (held >= 0)
-                for i, row, hit in zip(left.tolist(), held, near, strict=True):
-                    found[i] = row[hit]
+                held, sims = self._search(fast[left], 0, wide)
+                near = (sims >= least - SLACK) & (held >= 0)
+                found |= {i: row[hit] for i, row, hit in zip(left.tolist(), held, near, strict=True)}
                 left = left[near.sum(axis=1) > 0.5 * wide]
                 wide *= 2
-        return found
+            for i in part.tolist():
+                nodes = found[i]
+                yield nodes[self.vectors[nodes] @ q[i] >= least]
 
     def audit(self, least: float) -> float:
-        """Widen the beam until sampled vectors find nearly all their links. Returns the recall."""
-        some = self.vectors[np.random.default_rng(3).permutation(len(self.vectors))[:AUDIT]]
-        truth = (some @ self.vectors.T >= least).sum(axis=1)
+        """Widen the beam until vectors that have links, looked for in random order, find nearly all of them; a vector's finding itself doesn't count. Returns the recall."""
+        order, some, truth = np.random.default_rng(3).permutation(len(self.vectors)), [], []
+        for a in range(0, len(order), _LOCKSTEP):
+            block = order[a : a + _LOCKSTEP]
+            near = self.vectors[block] @ self.vectors.T >= least
+            near[np.arange(len(block)), block] = False
+            linked = near.any(axis=1)
+            some += block[linked].tolist()
+            truth += [np.flatnonzero(x) for x in near[linked]]
+            if len(some) >= AUDIT:
+                break
+        if not some:
+            return 1.0
         while True:
-            recall = sum(map(len, self.links(some, least))) / max(1, truth.sum())
-            if recall >= RECALL or self.beam >= len(self.vectors):
-                return recall
+            hits = sum(len(np.intersect1d(x, y)) for x, y in zip(self.links(self.vectors[some], least), truth, strict=True))
+            self.recall = hits / sum(map(len, truth))
+            if self.recall >= RECALL or self.beam >= len(self.vectors):
+                return self.recall
             self.beam *= 2
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, beam=np.array(self.beam), vectors=self.vectors, **{f"{k}{i}": x for i, pair in enumerate(self.layers) for k, x in zip("in", pair, strict=True)})
+        np.savez(out, beam=np.array([self.beam]), vectors=self.vectors, **{f"{k}{i}": x for i, pair in enumerate(self.layers) for k, x in zip("in", pair, strict=True)})
         return out.getvalue()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Graph:
         x = np.load(io.BytesIO(data))
-        return cls(x["vectors"], [(x[f"i{k}"], x[f"n{k}"]) for k in range((len(x.files) - 2) // 2)], int(x["beam"]))
+        return cls(x["vectors"], [(x[f"i{k}"], x[f"n{k}"]) for k in range((len(x.files) - 2) // 2)], int(x["beam"][0]))
 
 
 def _units(rows) -> np.ndarray:
@@ -195,34 +211,34 @@ def _units(rows) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
-    """vectors (vec_id, embedding, label) to vec_id, n_links, component_id, kept, a row for each row.
+def near_duplicates(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """vectors (vec_id, embedding, label) to vec_id, n_links, component_id, kept and recall, a row for each row.
 
     Rows link if their labels are equal and not null and the cosine is at least `least`. Rows with a null id or label, and
     vectors that are null, empty, zero or not finite link with nothing: 0 links, their own component. Vectors of unlike
-    lengths don't link. Repeated rows are vectors of their own with one id. kept: vec_id is the component's least.
+    lengths don't link. Repeated rows are vectors of their own with one id. kept: vec_id is the component's least. recall:
+    the least that an audit found of a graph of the row's label and length; null where the row takes no part.
     """
     usable = valid("embedding") & F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label"), F.when(usable, F.col("embedding").cast("array<double>")).alias("embedding"))
     classes = cut(rows.filter("embedding is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
     sizes = classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
-    shards = F.when(F.col("n") <= ONE_SHARD, 1).otherwise(F.greatest(F.lit(SHARDS), F.ceil(F.col("n") / SHARD_ROWS)))
-    sizes = cut(sizes.select("label", "dim", shards.alias("shards"), F.ceil(F.col("n") / (BLOCK_ROWS * GROUP_BLOCKS)).alias("groups")), "sizes")
+    sizes = cut(sizes.select("label", "dim", F.ceil(F.col("n") / shard_rows).alias("shards"), F.ceil(F.col("n") / (BLOCK_ROWS * GROUP_BLOCKS)).alias("groups")), "sizes")
     dealt = join_small(classes.withColumn("dim", F.size("embedding")), sizes, ["label", "dim"], "inner")
     label = classes.schema["label"].dataType.simpleString()
 
     def build(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("rep")
         graph = Graph.build(_units(x["embedding"]))
-        graph.audit(least)
-        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "graph": [graph.to_bytes()], "reps": [x["rep"].to_numpy().tobytes()], "counts": [x["copies"].to_numpy().tobytes()]})
+        recall = graph.audit(least)
+        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "graph": [graph.to_bytes()], "reps": [x["rep"].to_numpy().tobytes()], "counts": [x["copies"].to_numpy().tobytes()], "recall": [recall]})
 
-    in_shard = dealt.withColumn("shard", F.pmod(F.xxhash64("rep"), "shards").cast("int")).select("label", "dim", "shard", "rep", "copies", "embedding")
-    graphs = cut(in_shard.groupBy("label", "dim", "shard").applyInPandas(build, f"label {label}, dim int, shard int, graph binary, reps binary, counts binary"), "graphs")
+    in_shard = dealt.withColumn("shard", F.pmod(F.xxhash64("rep"), "shards")).select("label", "dim", "shard", "rep", "copies", "embedding")
+    graphs = cut(in_shard.groupBy("label", "dim", "shard").applyInPandas(build, f"label {label}, dim int, shard long, graph binary, reps binary, counts binary, recall double"), "graphs")
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[list, list]] = {}
-        names, kinds = ["label", "dim", "group", "q_reps", "q"], [None, pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        names, kinds = ["label", "dim", "group", "shards", "reps", "q"], [None, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
         def out(key: tuple, kind) -> pa.RecordBatch:
             reps, found = held.pop(key)
@@ -232,38 +248,48 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for lab, dim, group, rep, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                reps, found = held.setdefault((lab, dim, group), ([], []))
+            for *key, rep, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                reps, found = held.setdefault(tuple(key), ([], []))
                 reps.append(rep)
                 found.append(x)
                 if len(reps) == BLOCK_ROWS:
-                    yield out((lab, dim, group), kind)
+                    yield out(tuple(key), kind)
         for key in list(held):
             yield out(key, kind)
 
-    grouped = dealt.select("label", "dim", F.pmod(F.xxhash64("rep", F.lit(1)), "groups").alias("group"), "rep", "embedding")
-    asked = cut(grouped.mapInArrow(block, f"label {label}, dim int, group long, q_reps binary, q binary"), "asked")
-    targets = asked.select("label", "dim", "group").distinct()
-    tiles = asked.join(join_small(graphs, targets, ["label", "dim"], "inner"), ["label", "dim", "group"]).select("q_reps", "q", "dim", "graph", "reps", "counts")
+    grouped = dealt.select("label", "dim", F.pmod(F.xxhash64("rep", F.lit(1)), "groups").alias("group"), "shards", "rep", "embedding")
+    asked = cut(grouped.mapInArrow(block, f"label {label}, dim int, group long, shards long, reps binary, q binary"), "asked")
+    keys = ["label", "dim", "group", "shard"]
+    each = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).select(*keys, F.lit(1).alias("side"), "reps", F.col("q").alias("data"), F.lit(None).cast("binary").alias("counts"))
+    where = cut(asked.select("label", "dim", "group").distinct(), "groups")
+    loaded = join_small(graphs, where, ["label", "dim"], "inner").select(*keys, F.lit(0).alias("side"), "reps", F.col("graph").alias("data"), "counts")
+    tiles = loaded.unionByName(each).repartition(*keys).sortWithinPartitions(*keys, "side")  # each graph before the blocks that ask it
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
-                graph, reps, counts = Graph.from_bytes(x["graph"]), np.frombuffer(x["reps"], np.int64), np.frombuffer(x["counts"], np.int64)
-                q_reps, q = np.frombuffer(x["q_reps"], np.int64), np.frombuffer(x["q"], float).reshape(-1, x["dim"])
-                links, pairs = np.zeros(len(q_reps), np.int64), []
-                for k, nodes in enumerate(graph.links(q, least)):
-                    nodes = nodes[(reps[nodes] != q_reps[k]) & (graph.vectors[nodes] @ q[k] >= least)]
-                    links[k] = counts[nodes].sum()
-                    pairs += [(int(q_reps[k]), int(r)) for r in reps[nodes]]
-                forest = merged(pairs)
-                a, b = [*q_reps.tolist(), *(p[0] for p in forest)], [*([None] * len(q_reps)), *(p[1] for p in forest)]
+                reps, data = np.frombuffer(batch.column(5)[i].as_py(), np.int64), batch.column(6)[i].as_py()
+                if not batch.column(4)[i].as_py():
+                    graph, of, counts = Graph.from_bytes(data), reps, np.frombuffer(batch.column(7)[i].as_py(), np.int64)
+                    continue
+                links = np.zeros(len(reps), np.int64)
+
+                def pairs(q: np.ndarray) -> Iterator[tuple[int, int]]:
+                    for k, nodes in enumerate(graph.links(q, least)):  # noqa: B023
+                        nodes = nodes[of[nodes] != reps[k]]  # noqa: B023
+                        links[k] = counts[nodes].sum()  # noqa: B023
+                        me = int(reps[k])  # noqa: B023
+                        yield from ((me, x) for x in of[nodes].tolist())  # noqa: B023
+
+                forest = merged(pairs(np.frombuffer(data, float).reshape(len(reps), -1)))
+                a, b = [*reps.tolist(), *(p[0] for p in forest)], [*([None] * len(reps)), *(p[1] for p in forest)]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*links.tolist(), *([0] * len(forest))], pa.int64())], ["a", "b", "links"])
 
     answers = cut(tiles.mapInArrow(ask, "a long, b long, links long"), "answers")
     joined = components(answers.filter("b is not null").select("a", "b"))
     counts = answers.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    known = cut(classes.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
+    known = classes.join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("dim", F.size("embedding"))
+    known = join_small(known, cut(graphs.groupBy("label", "dim").agg(F.min("recall").alias("recall")), "recall"), ["label", "dim"], "left")
+    known = cut(known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), "recall"), "known")
     out = rows.join(known, ["label", "embedding"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), "recall").withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -309,6 +309,22 @@ def test_near_duplicates(spark):
     assert len(found) == len(made) + len(odd) and neardup.near_duplicates(vectors(spark, odd[:1]).filter("false")).count() == 0
 
 
+def test_near_duplicates_over_shards(spark):
+    """One label of several thousand vectors over several graphs: the links of vectors that have any."""
+    random = np.random.default_rng(9)
+    base = random.normal(size=(1500, 24))
+    made = [(i, (base[i % 1500] + random.normal(size=24) * 0.15).tolist(), 1) for i in range(4500)] + [(i, random.normal(size=24).tolist(), 1) for i in range(4500, 5500)]
+    found = {r["vec_id"]: r for r in neardup.near_duplicates(vectors(spark, made), shard_rows=1400).collect()}
+    x = np.array([np.array(v, np.float32).astype(float) for _, v, _ in made])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    truth = near.sum(axis=1)
+    got = np.array([found[i]["n_links"] for i in range(len(made))])
+    assert (got <= truth).all() and got.sum() >= 0.97 * truth.sum() > 1000
+    assert all(r["recall"] >= 0.9 for r in found.values())
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 3), (200, 201)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
