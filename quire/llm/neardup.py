@@ -154,21 +154,18 @@ class Graph:
         return held, sims[:, :beam]
 
     def links(self, q: np.ndarray, least: float) -> Iterator[np.ndarray]:
-        """Of each query (unit rows), the nodes found with cosine >= least. A beam that is half full of near nodes is doubled until it isn't, or holds all."""
+        """Of each query (unit rows), the nodes found with cosine >= least. A query whose beam is half full of near nodes may have more than a beam holds, and is compared with the whole shard."""
         fast = q.astype(np.float32)
         for a in range(0, len(q), _LOCKSTEP):
             part, found = np.arange(a, min(a + _LOCKSTEP, len(q))), {}
-            left, wide = part, self.beam
-            while len(left):
-                if wide >= len(self.vectors):
-                    near = fast[left] @ self.fast.T >= least - SLACK
-                    found |= {i: np.flatnonzero(hit) for i, hit in zip(left.tolist(), near, strict=True)}
-                    break
-                held, sims = self._search(fast[left], 0, wide)
+            left = part
+            if self.beam < len(self.vectors):
+                held, sims = self._search(fast[part], 0, self.beam)
                 near = (sims >= least - SLACK) & (held >= 0)
-                found |= {i: row[hit] for i, row, hit in zip(left.tolist(), held, near, strict=True)}
-                left = left[near.sum(axis=1) > 0.5 * wide]
-                wide *= 2
+                found = {i: row[hit] for i, row, hit in zip(part.tolist(), held, near, strict=True)}
+                left = part[near.sum(axis=1) > 0.5 * self.beam]
+            near = fast[left] @ self.fast.T >= least - SLACK
+            found |= {i: np.flatnonzero(hit) for i, hit in zip(left.tolist(), near, strict=True)}
             for i in part.tolist():
                 nodes = found[i]
                 yield nodes[self.vectors[nodes] @ q[i] >= least]
