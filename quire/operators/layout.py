@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..functions import text as t
 
 HEADER_BAND, FOOTER_BAND, NARROW_LINE, ISOLATED = 0.22, 0.18, 0.7, 1.6
@@ -63,23 +64,66 @@ def repeated(keyed: DataFrame, lines: DataFrame, group: str, page: str, share: f
 
 
 def drop_furniture(lines: DataFrame, found: DataFrame, height: Column, width: Column) -> DataFrame:
-    """lines without repeated ones, without page numbers and browser lines in the bands, and without a page's isolated first or last line."""
+    """lines without repeated ones, without page numbers and browser lines in the bands, and without a page's isolated first or last line.
+
+    A first or last line of a page of three lines and more is isolated if it stands in its band, is narrow, and lies further
+    from its neighbour, from box to box, than ISOLATED times the document's usual step from line to line, of which equally
+    frequent ones the first seen counts. A document's first line stays, unless it goes for another reason.
+    """
     keys = t.furniture_keys("text")
-    exact = lines.withColumns({"_exact": keys["exact"], "_counted": keys["counted"]})
-    known = found.select("doc_id", F.col("key").alias("_exact")).distinct()
-    kept = exact.join(known, ["doc_id", "_exact"], "left_anti").join(known.withColumnRenamed("_exact", "_counted"), ["doc_id", "_counted"], "left_anti").drop("_exact", "_counted")
-    in_band = (F.col("y0") <= HEADER_BAND * height) | (F.col("y1") >= (1 - FOOTER_BAND) * height)
-    kept = kept.filter(~(in_band & (t.is_page_number("text") | t.is_browser_line("text"))))
-    on_page = Window.partitionBy("doc_id", "page").orderBy("idx")
-    spacing = modal(gaps(kept, ["doc_id", "page"]), ["doc_id"], "gap").withColumnRenamed("gap", "_spacing")
-    far = kept.join(spacing, "doc_id", "left").withColumns({
-        "_first": F.row_number().over(on_page) == 1, "_last": F.lead("idx").over(on_page).isNull(), "_n": F.count("*").over(Window.partitionBy("doc_id", "page")),
-        "_next": F.lead("y0").over(on_page) - F.col("y0"), "_before": F.col("y0") - F.lag("y0").over(on_page),
+    known = found.select("doc_id", F.col("key").alias("_exact")).distinct().withColumn("_known", F.lit(True))
+    rows = lines.withColumns({"_exact": keys["exact"], "_counted": keys["counted"]}).join(known, ["doc_id", "_exact"], "left")
+    rows = rows.join(known.select("doc_id", F.col("_exact").alias("_counted"), F.col("_known").alias("_known2")), ["doc_id", "_counted"], "left")
+    in_head, in_foot = F.col("y0") <= HEADER_BAND * height, F.col("y1") >= (1 - FOOTER_BAND) * height
+    gone = F.coalesce("_known", F.lit(False)) | F.coalesce("_known2", F.lit(False)) | ((in_head | in_foot) & (t.is_page_number("text") | t.is_browser_line("text")))
+    seen = gaps(lines, ["doc_id", "page"]).withColumn("_seen", F.col("page") * F.lit(1 << 32).cast("long") + F.col("idx"))
+    spacing = modal(seen, ["doc_id"], "gap", first_seen="_seen").withColumnRenamed("gap", "_spacing")
+    page = Window.partitionBy("doc_id", "page")
+    by = page.orderBy("idx")
+    rows = rows.join(spacing, "doc_id", "left").withColumns({
+        "_gone": gone, "_first": F.row_number().over(by) == 1, "_last": F.lead("idx").over(by).isNull(), "_n": F.count("*").over(page),
+        "_below": F.lead("y0").over(by) - F.col("y1"), "_above": F.col("y0") - F.lag("y1").over(by), "_start": F.min("page").over(Window.partitionBy("doc_id")) == F.col("page"),
     })
     narrow = ((F.col("x1") - F.col("x0")) <= NARROW_LINE * width) & (F.col("_n") >= 3) & F.col("_spacing").isNotNull()
-    head = F.col("_first") & (F.col("page") > 1) & (F.col("y0") <= HEADER_BAND * height) & (F.col("_next") > ISOLATED * F.col("_spacing"))
-    foot = F.col("_last") & (F.col("y1") >= (1 - FOOTER_BAND) * height) & (F.col("_before") > ISOLATED * F.col("_spacing"))
-    return far.filter(~F.coalesce(narrow & (head | foot), F.lit(False))).select(*lines.columns)
+    far = ISOLATED * F.col("_spacing")
+    alone = narrow & ((F.col("_first") & ~F.col("_start") & in_head & (F.col("_below") > far)) | (F.col("_last") & in_foot & (F.col("_above") > far)))
+    return rows.filter(~(F.col("_gone") | F.coalesce(alone, F.lit(False)))).select(*lines.columns)
+
+
+def drop_before_body(lines: DataFrame, starts: DataFrame) -> DataFrame:
+    """lines from each document's start (doc_id, start: a line's number from 1) on; all of documents that have none."""
+    return _numbered(lines, starts).filter(F.col("start").isNull() | (F.col("_at") >= F.col("start"))).select(*lines.columns)
+
+
+def drop_tail_matter(lines: DataFrame, starts: DataFrame) -> DataFrame:
+    """lines before each document's start (doc_id, start: a line's number from 1) of the matter at its end; all of documents that have none."""
+    return _numbered(lines, starts).filter(F.col("start").isNull() | (F.col("_at") < F.col("start"))).select(*lines.columns)
+
+
+def _numbered(lines: DataFrame, starts: DataFrame) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "idx"))
+    return lines.withColumn("_at", at).join(starts.select("doc_id", "start"), "doc_id", "left")
+
+
+def _with_boxes(lines: DataFrame, boxes: DataFrame) -> DataFrame:
+    """lines beside the boxes (doc_id, page, box_id, box) of their page, with _line, their own box."""
+    return lines.withColumn("_line", g.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).join(boxes, ["doc_id", "page"])
+
+
+def text_under(lines: DataFrame, boxes: DataFrame, least: float = 0.25) -> DataFrame:
+    """(doc_id, page, box_id, text): in order, the lines of which a box covers a quarter at least; boxes without any have no row."""
+    rows = _with_boxes(lines, boxes).filter(g.overlap_share(F.col("_line"), F.col("box")) >= least)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"])
+    return rows.groupBy("doc_id", "page", "box_id").agg(t.squeezed(F.array_join(parts, " ")).alias("text"))
+
+
+def nearest_line(lines: DataFrame, boxes: DataFrame, least: float = 0.2) -> DataFrame:
+    """(doc_id, page, box_id, idx): the first line of which a box covers more than a fifth, else the nearest: lines beside it, then the smaller distance up or down, then sideways; of equal ones the first."""
+    up, side = (g.gap(F.col("box"), F.col("_line"), axis) for axis in "yx")
+    zero = F.lit(0.0)
+    rank = F.when(g.overlap_share(F.col("_line"), F.col("box")) > least, F.struct(F.lit(-1).alias("a"), zero.alias("b"), zero.alias("c"), "idx"))
+    rank = rank.otherwise(F.struct(F.when(up < 0, 0).otherwise(1).alias("a"), F.greatest(zero, up).alias("b"), F.greatest(zero, side).alias("c"), "idx"))
+    return _with_boxes(lines, boxes).groupBy("doc_id", "page", "box_id").agg(F.min_by("idx", rank).alias("idx"))
 
 
 def runs(rows: DataFrame, keys: list[str], order: str, hit: Column, least: int = 1) -> DataFrame:

@@ -192,3 +192,64 @@ def highlighted(paras: DataFrame, notes: DataFrame, authors: list[str]) -> DataF
     hit = F.lit(True) if not authors else F.col("author").isin(*authors)
     marks = notes.groupBy("doc_id", F.col("para").alias("id")).agg(F.max(F.when(hit, 1).otherwise(0)).alias("_hit"))
     return paras.join(marks, ["doc_id", "id"], "left").withColumn("shown", F.when(F.col("_hit") == 1, "hl").when(F.col("_hit") == 0, "dim").otherwise("none")).drop("_hit")
+
+
+def authors(notes: DataFrame) -> DataFrame:
+    """(doc_id, author): who has notes, without blank names."""
+    return notes.select("doc_id", t.strip("author").alias("author")).filter("author <> ''").distinct()
+
+
+def targets(notes: DataFrame) -> DataFrame:
+    """(doc_id, para, place): the paragraphs that have notes, numbered from 1 in the order of their first ones (para_ord)."""
+    first = notes.groupBy("doc_id", "para").agg(F.min(F.struct("para_ord", "para")).alias("_o"))
+    return first.select("doc_id", "para", F.row_number().over(Window.partitionBy("doc_id").orderBy("_o")).alias("place"))
+
+
+def first_noted(paras: DataFrame, notes: DataFrame) -> DataFrame:
+    """(doc_id, id): each document's first paragraph (doc_id, id, ord) that has a note."""
+    return paras.join(notes.select("doc_id", F.col("para").alias("id")).distinct(), ["doc_id", "id"], "left_semi").groupBy("doc_id").agg(F.min_by("id", F.struct("ord", "id")).alias("id"))
+
+
+def plan_counts(plan: DataFrame) -> DataFrame:
+    """(doc_id, new, duplicate, conflict, repeated) of a merge plan."""
+    return plan.groupBy("doc_id").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("new", "duplicate", "conflict", "repeated")])
+
+
+def conflict_reason(author: str | Column, similarity: str | Column) -> Column:
+    share = F.bround(t.col(similarity) * 100, 0).cast("int").cast("string")
+    return F.concat(F.coalesce(F.nullif(t.strip(author), F.lit("")), F.lit("the same author")), F.lit(" already has a note on this paragraph that is "), share, F.lit("% the same — probably an edit of it"))
+
+
+def short(text: str | Column, limit: int = 46) -> Column:
+    """The text on one line, cut to so many characters with the mark of it."""
+    one = t.squeezed(t.plain(text))
+    return F.when(F.length(one) <= limit, one).otherwise(F.concat(F.regexp_replace(F.left(one, F.lit(limit - 1)), r"(?U)\s+$", ""), F.lit("…")))
+
+
+def merge_entries(store: DataFrame, incoming: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """store with the incoming notes behind those of their paragraph, but for those without text and those that are the same as a stored or an earlier incoming one of that paragraph and author."""
+    return merge_apply(store, merge_plan(store, incoming.filter(t.strip("text") != ""), fuzzy).withColumn("kind", F.when(F.col("kind") == "conflict", "new").otherwise(F.col("kind"))))
+
+
+def incoming_by_id(items: DataFrame) -> DataFrame:
+    """items (doc_id, para, text, quote) with para as an id, placed (whether a note without its document's text can be put by that alone) and short, what to call it by."""
+    para = t.strip(t.plain("para"))
+    named = F.when((para != "") & ~para.startswith("para-"), F.concat(F.lit("para-"), para)).otherwise(para)
+    called = F.left(F.coalesce(F.nullif(t.plain("text"), F.lit("")), t.plain("quote")), F.lit(70))
+    return items.withColumns({"short": called, "placed": (named != "") & (t.plain("text") != ""), "para": named})
+
+
+def statistics(blocks: DataFrame, notes: DataFrame) -> DataFrame:
+    """(doc_id, paragraphs, headings, annotated, notes, unplaced, authors) of blocks (doc_id, id, kind) and their notes; unplaced: notes whose paragraph isn't there."""
+    ids = blocks.filter("kind = 'para'").select("doc_id", F.col("id").alias("para")).distinct().withColumn("_there", F.lit(True))
+    placed = notes.join(ids, ["doc_id", "para"], "left")
+    there = F.col("_there").isNotNull()
+    by = placed.groupBy("doc_id").agg(F.count_distinct(F.when(there, F.col("para"))).alias("annotated"), F.count(F.when(there, 1)).alias("notes"), F.count(F.when(~there, 1)).alias("unplaced"), F.count_distinct(F.nullif(t.strip("author"), F.lit(""))).alias("authors"))
+    kinds = blocks.groupBy("doc_id").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(c) for k, c in (("para", "paragraphs"), ("heading", "headings"))])
+    return kinds.join(by, "doc_id", "left").fillna(0, ["annotated", "notes", "unplaced", "authors"])
+
+
+def attached_share(stats: DataFrame, least: float = 0.6) -> DataFrame:
+    """stats with share, the notes that have a place, and enough, whether that is so much at least (documents without notes have enough)."""
+    share = F.col("notes") / (F.col("notes") + F.col("unplaced"))
+    return stats.withColumns({"share": share, "enough": F.coalesce(share >= least, F.lit(True))})

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import spans
 from ..functions import text as t
 from ..operators import blocks, checks, layout, match, migrate, notes
-from ..sources import annotation_files, source_text, web
+from ..sources import annotation_files, snapshots, source_text, web
 from . import tables as tab
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -393,7 +394,7 @@ def q_attach_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH d AS (SELECT source, doc_id, {norm('text')} AS n FROM documents) SELECT o.source AS doc_id, concat('para-', CAST(o.doc_id AS STRING)) AS old_id, concat('k', CAST(min(w.doc_id) AS STRING)) AS key
-FROM d o JOIN d w ON o.source = w.source AND o.n = w.n AND o.doc_id % 2 = 0 AND w.doc_id % 2 = 1 GROUP BY o.source, o.doc_id""")
+FROM d o JOIN d w ON o.source = w.source AND o.n = w.n AND o.doc_id % 3 <> 0 AND w.doc_id % 3 <> 1 GROUP BY o.source, o.doc_id""")
 def q_alias_carry(spark: SparkSession, d: str) -> DataFrame:
     return migrate.carried(*tab.versions(spark, d))
 
@@ -516,9 +517,9 @@ def q_repeated_keys(spark: SparkSession, d: str) -> DataFrame:
     return checks.repeated(tab.table(spark, d, "documents").select(t.content_key("text").alias("key")), ["key"])
 
 
-@query(rf"""WITH {_LINES}, p AS (SELECT doc_id, idx, trim(text) AS a, trim(lag(text) OVER (PARTITION BY doc_id ORDER BY idx)) AS b FROM lines) SELECT doc_id, CAST(idx AS BIGINT) AS idx FROM p WHERE regexp_matches(a, '^\p{{Ll}}') AND NOT regexp_matches(b, '[.;:!?][''"”’)\]]*$')""")
+@query(rf"""WITH {_BROKEN}, p AS (SELECT doc_id, idx, trim(text) AS a, trim(lag(text) OVER (PARTITION BY doc_id ORDER BY idx)) AS b FROM broken) SELECT doc_id, CAST(idx AS BIGINT) AS idx FROM p WHERE regexp_matches(a, '^\p{{Ll}}') AND NOT regexp_matches(b, '[.;:!?][''"”’)\]]*$')""")
 def q_mid_sentence(spark: SparkSession, d: str) -> DataFrame:
-    return checks.mid_sentence(tab.lines(spark, d)).select("doc_id", F.col("idx").cast("long").alias("idx"))
+    return checks.mid_sentence(tab.lines(spark, d, tab.BROKEN)).select("doc_id", F.col("idx").cast("long").alias("idx"))
 
 
 @query(rf"WITH {_LINES} SELECT doc_id, count(*) AS lines, max(length(text)) AS longest, count(*) FILTER (length(text) >= 4000) AS runaway, count(*) FILTER (NOT regexp_matches(text, '[\pL\pN]')) AS blank FROM lines GROUP BY doc_id")
@@ -554,3 +555,138 @@ def q_site_report(spark: SparkSession, d: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quotes of benchmark with what they fit in documents."""
     return q_quote_status(spark, sf_dir)
+
+
+# Spans, boxes, notes as a store, cards.
+
+_FONT = "CASE idx % 5 WHEN 0 THEN 'Times-Bold' WHEN 1 THEN 'Courier' WHEN 2 THEN 'Helvetica-Oblique' WHEN 3 THEN 'LiberationSerif' ELSE 'Arial' END"
+_SPANS = f"{_LINES}, spans AS (SELECT doc_id, idx // 4 AS line, idx, text, {_FONT} AS font, 9.5 + (idx % 3) * 0.5 AS size, (idx * 2) % 32 AS flags FROM lines)"
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as the spans of longer ones, four each, with fonts by their number."""
+    return tab.lines(spark, d).select("doc_id", F.floor(F.col("idx") / 4).alias("line"), "idx", "text", F.expr(_FONT).alias("font"), (9.5 + (F.col("idx") % 3) * 0.5).alias("size"), ((F.col("idx") * 2) % 32).alias("flags"))
+
+
+@query(f"""WITH {_SPANS}, w AS (SELECT *, length(text) AS n, (flags & 16) > 0 OR contains(lower(font), 'bold') AS bold, (flags & 2) > 0 OR regexp_matches(lower(font), 'italic|oblique') AS italic FROM spans
+), z AS (SELECT doc_id, line, size, row_number() OVER (PARTITION BY doc_id, line ORDER BY sum(greatest(1, n)) DESC, min(idx)) AS place FROM w GROUP BY doc_id, line, size)
+SELECT doc_id, line, string_agg(text, '' ORDER BY idx) AS text, CAST(any_value(z.size) AS DOUBLE) AS size, sum(CASE WHEN bold THEN n ELSE 0 END) / greatest(1, sum(n)) AS bold_share, sum(CASE WHEN italic THEN n ELSE 0 END) / greatest(1, sum(n)) AS italic_share
+FROM w JOIN z USING (doc_id, line) WHERE place = 1 GROUP BY doc_id, line""")
+def q_span_lines(spark: SparkSession, d: str) -> DataFrame:
+    return spans.lines_of_spans(_spans(spark, d), ["doc_id", "line"], "idx")
+
+
+@query(f"""WITH {_SPANS} SELECT doc_id, idx, (flags & 16) > 0 OR contains(lower(font), 'bold') AS bold, (flags & 8) > 0 OR regexp_matches(lower(font), 'mono|courier') AS mono,
+ regexp_matches(lower(font), 'times|serif|georgia|garamond|roman') OR ((flags & 4) > 0 AND NOT ((flags & 8) > 0 OR regexp_matches(lower(font), 'mono|courier'))) AS serif,
+ CAST(CASE idx % 5 WHEN 0 THEN 20 WHEN 1 THEN 8 WHEN 2 THEN 2 WHEN 3 THEN 4 ELSE 0 END AS INTEGER) AS family FROM spans""")
+def q_span_fonts(spark: SparkSession, d: str) -> DataFrame:
+    return _spans(spark, d).select("doc_id", "idx", spans.is_bold("font", "flags").alias("bold"), spans.is_monospace("font", "flags").alias("mono"), spans.is_serif("font", "flags").alias("serif"), spans.family_flags("font").alias("family"))
+
+
+@query("""SELECT p_partkey, '#' || lpad(printf('%x', CAST(p_partkey AS BIGINT)), 6, '0') AS number, CASE WHEN p_partkey % 2 = 0 THEN '#' || lpad(printf('%x', CAST(p_partkey AS BIGINT)), 6, '0') ELSE '' END AS text FROM part""")
+def q_colours(spark: SparkSession, d: str) -> DataFrame:
+    rows = tab.table(spark, d, "part")
+    written = F.concat(F.when(F.col("p_partkey") % 2 == 0, " #").otherwise("x"), F.lpad(F.hex("p_partkey"), 6, "0"))
+    return rows.select("p_partkey", spans.colour_of_number("p_partkey").alias("number"), spans.colour_of_text(written).alias("text"))
+
+
+_POSITIONED = f"""{_MARKED}, placed AS (SELECT doc_id, idx // 40 + 1 AS page, idx, text, 100.0 + CASE WHEN idx % 5 = 0 THEN 12.0 ELSE 0.0 END AS x0, 60.0 + (idx % 40) * 18 + ((idx % 40) % 7) AS y0, CASE WHEN idx % 9 = 3 THEN 12.0 ELSE 10.0 END AS size FROM marked
+), positioned AS (SELECT doc_id, page, idx, text, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(least(500.0, x0 + length(text) * 5.0) AS DOUBLE) AS x1, CAST(y0 + size AS DOUBLE) AS y1 FROM placed
+), boxed AS (SELECT *, greatest(0, least(x1, 300) - greatest(x0, 90)) * greatest(0, least(y1, 200) - greatest(y0, 100)) / nullif((x1 - x0) * (y1 - y0), 0) AS share FROM positioned)"""
+
+
+def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Positioned lines, and the same box on every page of each document."""
+    rows = tab.positioned(spark, d)
+    return rows, rows.select("doc_id", "page").distinct().withColumns({"box_id": F.lit(1), "box": g.box(F.lit(90.0), F.lit(100.0), F.lit(300.0), F.lit(200.0))})
+
+
+@query(f"""WITH {_POSITIONED} SELECT doc_id, CAST(page AS INTEGER) AS page, trim(regexp_replace(string_agg(text, ' ' ORDER BY idx), '[ \t\n\r\f\v]+', ' ', 'g')) AS text FROM boxed WHERE share >= 0.25 GROUP BY doc_id, page""")
+def q_text_under_box(spark: SparkSession, d: str) -> DataFrame:
+    return layout.text_under(*_boxes(spark, d)).select("doc_id", "page", "text")
+
+
+@query(f"""WITH {_POSITIONED}, far AS (SELECT *, CASE WHEN y0 >= 200 THEN y0 - 200 WHEN y1 <= 100 THEN 100 - y1 ELSE -1 END AS up, CASE WHEN x0 >= 300 THEN x0 - 300 WHEN x1 <= 90 THEN 90 - x1 ELSE 0 END AS side FROM boxed
+), best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY coalesce(share, 0) <= 0.2, CASE WHEN share > 0.2 THEN 0 WHEN up < 0 THEN 0 ELSE 1 END, CASE WHEN share > 0.2 THEN 0 ELSE greatest(0, up) END, CASE WHEN share > 0.2 THEN 0 ELSE side END, idx) AS place FROM far)
+SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(idx AS INTEGER) AS idx FROM best WHERE place = 1""")
+def q_nearest_line(spark: SparkSession, d: str) -> DataFrame:
+    return layout.nearest_line(*_boxes(spark, d)).select("doc_id", "page", "idx")
+
+
+def _starts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Positioned lines, and a line of each document with an even number, by its source."""
+    rows = tab.positioned(spark, d)
+    return rows, rows.filter("doc_id % 2 = 0").groupBy("doc_id").agg((F.count("*") / 3 + 1).cast("long").alias("start"))
+
+
+_STARTS = f"{_MARKED}, n AS (SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS pos, count(*) OVER (PARTITION BY doc_id) // 3 + 1 AS start FROM marked)"
+
+
+@query(f"WITH {_STARTS} SELECT doc_id, CAST(idx AS INTEGER) AS idx FROM n WHERE doc_id % 2 = 1 OR pos >= start")
+def q_drop_before_body(spark: SparkSession, d: str) -> DataFrame:
+    return layout.drop_before_body(*_starts(spark, d)).select("doc_id", "idx")
+
+
+@query(f"WITH {_STARTS} SELECT doc_id, CAST(idx AS INTEGER) AS idx FROM n WHERE doc_id % 2 = 1 OR pos < start")
+def q_drop_tail_matter(spark: SparkSession, d: str) -> DataFrame:
+    return layout.drop_tail_matter(*_starts(spark, d)).select("doc_id", "idx")
+
+
+@query(f"WITH {_NOTES} SELECT DISTINCT doc_id, author FROM notes WHERE trim(author) <> ''")
+def q_authors(spark: SparkSession, d: str) -> DataFrame:
+    return notes.authors(tab.notes(spark, d))
+
+
+@query(f"WITH {_NOTES} SELECT para_ord AS doc_id, para, CAST(row_number() OVER (PARTITION BY para_ord ORDER BY para) AS INTEGER) AS place FROM (SELECT DISTINCT para, para_ord FROM notes)")
+def q_targets(spark: SparkSession, d: str) -> DataFrame:
+    return notes.targets(tab.notes_by_paragraph(spark, d))
+
+
+@query(f"WITH {_MERGE} SELECT doc_id, count(*) FILTER (kind = 'new') AS \"new\", count(*) FILTER (kind = 'duplicate') AS duplicate, count(*) FILTER (kind = 'conflict') AS conflict, count(*) FILTER (kind = 'repeated') AS repeated FROM plan GROUP BY doc_id")
+def q_merge_counts(spark: SparkSession, d: str) -> DataFrame:
+    store, incoming = _halves(spark, d)
+    return notes.plan_counts(notes.merge_plan(store, incoming, fuzzy=False))
+
+
+_PARAS = "paras AS (SELECT doc_id % 16 AS doc_id, concat('para-', CAST(doc_id AS STRING)) AS id, min(doc_id) AS ord FROM labels GROUP BY 1, 2)"
+
+
+@query(f"WITH {_NOTES}, {_PARAS} SELECT doc_id, arg_min(id, ord) AS id FROM paras WHERE EXISTS (SELECT 1 FROM notes n WHERE n.doc_id = paras.doc_id AND n.para = paras.id) GROUP BY doc_id")
+def q_first_noted(spark: SparkSession, d: str) -> DataFrame:
+    return notes.first_noted(tab.labelled(spark, d), tab.notes(spark, d))
+
+
+@query(f"""WITH {_NOTES}, {_PARAS}, p AS (SELECT doc_id, count(*) AS paragraphs FROM paras GROUP BY doc_id), n AS (SELECT n.*, p.id FROM notes n LEFT JOIN paras p ON n.doc_id = p.doc_id AND n.para = p.id),
+s AS (SELECT doc_id, count(DISTINCT id) AS annotated, count(id) AS notes, count(*) - count(id) AS unplaced, count(DISTINCT nullif(trim(author), '')) AS authors FROM n GROUP BY doc_id)
+SELECT p.doc_id, paragraphs, CAST(0 AS BIGINT) AS headings, coalesce(annotated, 0) AS annotated, coalesce(notes, 0) AS notes, coalesce(unplaced, 0) AS unplaced, coalesce(authors, 0) AS authors,
+ notes / nullif(notes + unplaced, 0) AS share, coalesce(notes / nullif(notes + unplaced, 0) >= 0.6, true) AS enough FROM p LEFT JOIN s USING (doc_id)""")
+def q_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return notes.attached_share(notes.statistics(tab.labelled(spark, d).withColumn("kind", F.lit("para")), tab.notes(spark, d)))
+
+
+@query("""SELECT doc_id, sha256(text) AS digest FROM documents""")
+def q_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return tab.table(spark, d, "documents").select("doc_id", snapshots.fingerprint("text").alias("digest"))
+
+
+@query("""SELECT doc_id AS path, CASE doc_id % 5 WHEN 0 THEN 'deleted' WHEN 1 THEN 'appeared' WHEN 2 THEN 'changed' END AS change FROM documents WHERE doc_id % 5 < 3""")
+def q_file_changes(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, of which by their number some are only in the older snapshot, some only in the newer, and some have another text there."""
+    docs = tab.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    now = docs.filter("path % 5 <> 0").withColumn("content", F.when(F.col("path") % 5 == 2, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return snapshots.changes(snapshots.snapshot(docs.filter("path % 5 <> 1")), snapshots.snapshot(now))
+
+
+_SQUEEZED = r"regexp_replace(regexp_replace(text, '[\s\x{A0}\x{2000}-\x{200A}\x{3000}\x0B]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+@query(f"""WITH {_NOTES}, s AS (SELECT para, idx, author, {_SQUEEZED} AS x FROM notes) SELECT para, idx, CASE WHEN length(x) <= 46 THEN x ELSE regexp_replace(left(x, 45), ' +$', '') || '…' END AS short,
+ author || ' · ' || CASE WHEN length(x) > 52 THEN regexp_replace(left(x, 52), ' [^ ]*$', '') || '…' ELSE x END AS snippet FROM s""")
+def q_snippets(spark: SparkSession, d: str) -> DataFrame:
+    return tab.notes(spark, d).select("para", "idx", notes.short("text").alias("short"), web.label_snippet("author", "text").alias("snippet"))
+
+
+@query("""SELECT page_id FROM pages WHERE contains(lower(concat(url, '|')), 'fr')""")
+def q_found_cards(spark: SparkSession, d: str) -> DataFrame:
+    cards = tab.table(spark, d, "pages").select("page_id", F.col("url").alias("title"), F.lit("|").alias("subtitle"), F.lit("").alias("description"))
+    return web.found_cards(cards, " Fr ").select("page_id")

@@ -14,23 +14,27 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 
-# The names under which a field may come.
+# The names under which a field may come, in tables and in JSON, the first that has a value counts.
 NAMES = {
-    "para": ("para", "paragraph", "id"), "quote": ("quote", "excerpt", "text_quote", "anchor"), "text": ("comment_text", "note", "text", "comment", "body"),
+    "para": ("id", "para", "paragraph"), "quote": ("quote", "excerpt", "text_quote", "anchor"), "text": ("comment_text", "note", "text", "comment", "body"),
     "author": ("comment_author", "author", "by"), "title": ("comment_title", "title"), "source": ("comment_source", "source"), "page": ("page",),
 }
+JSON_NAMES = {
+    "para": ("para", "id", "paragraph", "target"), "quote": ("quote", "excerpt", "match"), "text": ("text", "comment_text", "note", "body"),
+    "author": ("author", "comment_author", "by"), "title": ("title", "comment_title", "heading"), "source": ("source", "comment_source"), "page": ("page",),
+}
 COLUMNS = ("para", "quote", "author", "title", "text", "source")
 _FIELD = re.compile(r"(author|title|source|page|quote|para|id):\s*(.*)", re.IGNORECASE)
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
 
-def _shaped(entries: DataFrame, entry: str = "entry") -> DataFrame:
-    """(doc_id, ord, entry map) to the common columns; unknown names go to meta, entries without text are left out."""
-    low = F.transform_keys(entry, lambda k, _: F.lower(t.strip(k)))
+def _shaped(entries: DataFrame, entry: str = "entry", names: dict[str, tuple[str, ...]] = NAMES) -> DataFrame:
+    """(doc_id, ord, entry map) to the common columns; unknown names go to meta, entries without text are left out. Names of tables are in any case."""
+    low = F.transform_keys(entry, lambda k, _: F.lower(t.strip(k))) if names is NAMES else F.col(entry)
     rows = entries.withColumn("_e", low)
-    pick = lambda names: F.coalesce(*[F.nullif(t.strip(F.try_element_at("_e", F.lit(n))), F.lit("")) for n in names], F.lit(""))
-    known = [n for names in NAMES.values() for n in names]
-    out = rows.select("doc_id", "ord", *[pick(NAMES[c]).alias(c) for c in COLUMNS], F.coalesce(pick(NAMES["page"]).try_cast("int"), F.lit(0)).alias("page"), F.map_filter("_e", lambda k, _: ~k.isin(*known)).alias("meta"))
+    pick = lambda some: F.coalesce(*[F.nullif(t.strip(F.try_element_at("_e", F.lit(n))), F.lit("")) for n in some], F.lit(""))
+    known = [n for some in names.values() for n in some]
+    out = rows.select("doc_id", "ord", *[pick(names[c]).alias(c) for c in COLUMNS], F.coalesce(pick(names["page"]).try_cast("int"), F.lit(0)).alias("page"), F.map_filter("_e", lambda k, _: ~k.isin(*known)).alias("meta"))
     return out.filter("text <> ''")
 
 
@@ -39,7 +43,17 @@ def from_json(docs: DataFrame) -> DataFrame:
     body = F.regexp_replace("text", r"^\ufeff?\s+", "")
     listed = docs.filter(body.startswith("[")).select("doc_id", F.posexplode(F.from_json("text", "array<map<string,string>>")).alias("ord", "entry"))
     mapped = docs.filter(body.startswith("{"))
-    return _shaped(listed).unionByName(_shaped(_by_paragraph(mapped.select("doc_id", F.col("text").alias("json")))))
+    return _shaped(listed, names=JSON_NAMES).unionByName(_shaped(_by_paragraph(mapped.select("doc_id", F.col("text").alias("json"))), names=JSON_NAMES))
+
+
+def json_errors(docs: DataFrame) -> DataFrame:
+    """(doc_id, error) of files that from_json() reads nothing of: those that aren't JSON, and those that are neither a list of objects nor a map of paragraph ids."""
+    body = F.regexp_replace("text", r"^\ufeff?\s+", "")
+    listed = F.from_json("text", "array<map<string,string>>")
+    mapped = F.from_json("text", "map<string,array<map<string,string>>>")
+    error = F.when(F.try_parse_json("text").isNull(), "not valid JSON").when(~body.rlike(r"^[\[{]"), "neither a list of notes nor a map of paragraph ids")
+    error = error.when(body.startswith("[") & (listed.isNull() | F.exists(listed, lambda x: x.isNull())), "a note is not an object").when(body.startswith("{") & mapped.isNull(), "not a map of paragraph ids to notes")
+    return docs.select("doc_id", error.alias("error")).filter("error is not null")
 
 
 def _by_paragraph(docs: DataFrame) -> DataFrame:
@@ -53,7 +67,7 @@ def _by_paragraph(docs: DataFrame) -> DataFrame:
 def from_notes_js(docs: DataFrame) -> DataFrame:
     """window.NOTES = {...}, then addNote("para", "author", "text", "title", "source") calls."""
     json = F.regexp_extract("text", r"(?s)window\.NOTES\s*=\s*(\{.*)", 1)
-    first = _shaped(_by_paragraph(docs.select("doc_id", json.alias("json")).filter("json <> ''")))
+    first = _shaped(_by_paragraph(docs.select("doc_id", json.alias("json")).filter("json <> ''")), names=JSON_NAMES)
     calls = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(rf"\baddNote\s*\(\s*({_STRING}(?:\s*,\s*{_STRING})*)"), F.lit(1))).alias("_i", "call"))
     args = calls.withColumn("a", F.from_json(F.concat(F.lit("["), "call", F.lit("]")), "array<string>"))
     get = lambda i: F.coalesce(F.get("a", F.lit(i)), F.lit(""))
@@ -140,10 +154,11 @@ def render_text(notes: DataFrame) -> DataFrame:
 
 
 def render_notes_js(notes: DataFrame) -> DataFrame:
-    """(doc_id, text): window.NOTES = {...}; notes (doc_id, para, para_ord, idx and fields) in order, empty fields left out."""
-    fields = F.struct(*[F.nullif(t.plain(f), F.lit("")).alias(f) for f in ("author", "title", "text", "source")])
-    lists = notes.groupBy("doc_id", "para", "para_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", fields.alias("n")))), lambda x: x["n"]).alias("list"))
-    key = F.expr("substring(to_json(array(para)), 2, length(to_json(array(para))) - 2)")
-    line = F.concat(F.lit("  "), key, F.lit(": "), F.to_json("list"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_ord", line.alias("l")))), lambda x: x["l"]), ",\n")
-    return lists.groupBy("doc_id").agg(F.concat(F.lit("window.NOTES = {\n"), body, F.lit("\n};\n")).alias("text"))
+    """(doc_id, text): window.NOTES = {...}, indented by two blanks, and the event that tells the page; notes (doc_id, para, para_ord, idx and fields) in order, empty fields left out."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    fields = [F.when(t.plain(f) != "", F.concat(F.lit(f'      "{f}": '), quoted(F.col(f)))) for f in ("author", "title", "text", "source")]
+    note = F.concat(F.lit("    {\n"), F.concat_ws(",\n", *fields), F.lit("\n    }"))
+    listed = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value.alias("_v")))), lambda x: x["_v"]), ",\n")
+    lists = notes.groupBy("doc_id", "para", "para_ord").agg(listed("idx", note).alias("list"))
+    line = F.concat(F.lit("  "), quoted(F.col("para")), F.lit(": [\n"), F.col("list"), F.lit("\n  ]"))
+    return lists.groupBy("doc_id").agg(F.concat(F.lit("window.NOTES = {\n"), listed("para_ord", line), F.lit("\n};\nwindow.dispatchEvent(new Event('notes:ready'));\n")).alias("text"))

@@ -36,7 +36,7 @@ def identified(pages: DataFrame) -> DataFrame:
     """pages (doc_id, html) to (doc_id, ord, id, text): paragraphs inside a div with an id, and any more attributes."""
     pattern = r'(?s)<div id="([^"]+)"[^>]*>.*?<p>(.*?)</p>'
     both = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("id"), F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("body"))
-    return pages.select("doc_id", F.posexplode(both).alias("ord", "x")).select("doc_id", "ord", F.col("x.id").alias("id"), t.without_tags("x.body").alias("text"))
+    return pages.select("doc_id", F.posexplode(both).alias("ord", "x")).select("doc_id", "ord", F.col("x.id").alias("id"), t.squeezed(t.unescaped(F.regexp_replace("x.body", "<[^>]+>", ""))).alias("text"))
 
 
 def headings(html: str | Column) -> Column:
@@ -64,3 +64,25 @@ def cards(pages: DataFrame) -> DataFrame:
     pattern = r"(?s)\{\s*" + value("title") + value("subtitle") + value("desc") + value("href") + r"\}"
     groups = F.arrays_zip(*[F.regexp_extract_all("html", F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate(("title", "subtitle", "description", "href"), 1)])
     return pages.select("doc_id", F.posexplode(groups).alias("ord", "x")).select("doc_id", "ord", "x.*")
+
+
+def found_cards(cards: DataFrame, query: str) -> DataFrame:
+    """cards whose title, subtitle and description hold the query, in any case; all for a blank one."""
+    words = query.strip().lower()
+    return cards.filter(F.lower(F.concat("title", "subtitle", "description")).contains(words)) if words else cards
+
+
+def card_of(pages: DataFrame, cards: DataFrame) -> DataFrame:
+    """pages (page) with the title, subtitle and description of the first card (ord) whose address ends in the page's name, with or without its ending."""
+    stem = lambda x: F.regexp_replace(F.regexp_extract(x, r"([^/]*)/*$", 1), r"(?<=.)\.[^.]*$", "")
+    named = cards.withColumn("_stem", stem(F.regexp_replace("href", r"\?.*", ""))).filter("_stem <> ''")
+    first = named.groupBy("_stem").agg(F.min_by(F.struct("title", "subtitle", "description"), "ord").alias("_card"))
+    return pages.withColumn("_stem", stem(F.col("page"))).join(first, "_stem", "left").select(*pages.columns, "_card.*")
+
+
+def label_snippet(label: str | Column, text: str | Column, width: int = 52) -> Column:
+    """A paragraph's label, if it has one of its own, and the start of its text, cut between words."""
+    one = t.squeezed(t.plain(text))
+    cut = F.when(F.length(one) > width, F.concat(F.regexp_replace(F.left(one, F.lit(width)), r"\s\S*$", ""), F.lit("…"))).otherwise(one)
+    own = t.strip(t.plain(label))
+    return F.concat(F.when((own != "") & (own != "¶"), F.concat(own, F.lit(" · "))).otherwise(""), cut)

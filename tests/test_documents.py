@@ -1,12 +1,14 @@
 """Layout, blocks, matching, notes and files on small tables."""
 
 import io
+import json
 import zipfile
 
 from pyspark.sql import functions as F
 
+from quire.functions import spans
 from quire.operators import blocks, layout, match, migrate, notes
-from quire.sources import annotation_files, source_text, web, word_files
+from quire.sources import annotation_files, snapshots, source_text, web, word_files
 from quire.streaming import folders
 
 LINE = "doc_id string, page int, idx int, col int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, indent double"
@@ -224,3 +226,81 @@ def test_near_repeats(spark):
 def test_compounds(spark):
     rows = lines(spark, "The self-determination of peoples and a well-known-fact end-", "self-", "x-ray co-operation, of Self-Determination.")
     assert layout.compounds(rows).first()["compounds"] == ["co-operation", "self-determination"]
+
+
+def brute_furniture(rows, height, width):
+    """Isolated first and last lines and page numbers, in plain Python: what stays of rows (page, idx, text, x0, y0, x1, y1)."""
+    pages = {}
+    for r in rows:
+        pages.setdefault(r[0], []).append(r)
+    steps = {}
+    for page in pages.values():
+        for a, b in zip(page, page[1:]):
+            if 0 < b[4] - a[4] < 200:
+                steps[round(b[4] - a[4])] = steps.get(round(b[4] - a[4]), 0) + 1
+    usual = max(steps, key=lambda k: steps[k])
+    kept = []
+    for number, page in sorted(pages.items()):
+        gone = {i for i, r in enumerate(page) if r[2].isdigit() and (r[4] <= 0.22 * height or r[6] >= 0.82 * height)}
+        if len(page) >= 3:
+            first, second, last, before = page[0], page[1], page[-1], page[-2]
+            if number != min(pages) and first[4] <= 0.22 * height and first[5] - first[3] <= 0.7 * width and second[4] - first[6] > 1.6 * usual:
+                gone.add(0)
+            if last[6] >= 0.82 * height and last[5] - last[3] <= 0.7 * width and last[4] - before[6] > 1.6 * usual:
+                gone.add(len(page) - 1)
+        kept += [r[2] for i, r in enumerate(page) if i not in gone]
+    return kept
+
+
+def test_isolated_lines(spark):
+    made = []
+    for page in range(1, 7):
+        top = 40.0
+        for i in range(30):
+            step = {0: (12.0, 20.0, 29.0, 32.0, 40.0, 12.0)[page - 1], 28: (12.0, 30.0, 20.0, 27.0, 29.5, 60.0)[page - 1]}.get(i, 12.0)
+            wide = 450.0 if page == 6 and i == 29 else 300.0
+            made.append((page, len(made), f"line {'abcdefghij'[i % 10]}{'klmnop'[page - 1]} {'of the page' if i % 7 else 'at some place'}" if not (page == 2 and i == 29) else "17", 60.0, top, 60.0 + wide, top + 10.0))
+            top += step if i != 26 else 400.0
+    rows = spark.createDataFrame([("d", p, i, x, a, b, c, e, 10.0, False) for p, i, x, a, b, c, e in made], "doc_id string, page int, idx int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean")
+    none = layout.furniture(rows, F.lit(842.0)).filter("false")
+    kept = [r["text"] for r in layout.drop_furniture(rows, none, F.lit(842.0), F.lit(595.0)).orderBy("idx").collect()]
+    want = brute_furniture(made, 842.0, 595.0)
+    assert kept == want and len(want) < len(made)
+
+
+def test_json_notes(spark):
+    files = [("a", '[{"match": "q", "target": "p1", "heading": "T", "text": "x", "comment_text": "y", "kind": "k", "page": "3"}]'), ("b", '{"para-1": [{"note": "n", "by": "B"}], "para-2": []}'), ("c", "[1, 2]"), ("d", '{"x": 3}'), ("e", "{broken"), ("f", "7"), ("g", '[{"note": ""}]')]
+    docs = spark.createDataFrame(files, "doc_id string, text string")
+    found = {r["doc_id"]: r for r in annotation_files.from_json(docs).collect()}
+    assert (found["a"]["para"], found["a"]["quote"], found["a"]["title"], found["a"]["text"], found["a"]["page"]) == ("p1", "q", "T", "x", 3) and found["a"]["meta"] == {"kind": "k"}
+    assert (found["b"]["para"], found["b"]["author"], found["b"]["text"]) == ("para-1", "B", "n") and set(found) == {"a", "b"}
+    assert {r["doc_id"]: r["error"] for r in annotation_files.json_errors(docs).collect()} == {"c": "a note is not an object", "d": "not a map of paragraph ids to notes", "e": "not valid JSON", "f": "neither a list of notes nor a map of paragraph ids"}
+
+
+def test_notes_js_format(spark):
+    rows = [("d", "para-b", 2, 0, "A", "", 'say "x"', ""), ("d", "para-a", 1, 1, "", "T", "two", ""), ("d", "para-a", 1, 0, "B", "", "one", "S")]
+    js = annotation_files.render_notes_js(spark.createDataFrame(rows, "doc_id string, para string, para_ord int, idx int, author string, title string, text string, source string")).first()["text"]
+    head, tail = js.split(";\n", 1)
+    want = {"para-a": [{"author": "B", "text": "one", "source": "S"}, {"title": "T", "text": "two"}], "para-b": [{"author": "A", "text": 'say "x"'}]}
+    assert head == "window.NOTES = " + json.dumps(want, ensure_ascii=False, indent=2) and tail == "window.dispatchEvent(new Event('notes:ready'));\n"
+
+
+def test_store_of_notes(spark):
+    kinds = "doc_id string, para string, para_ord int, idx int, author string, title string, text string, source string"
+    store = spark.createDataFrame([("d", "p", 1, 0, "A", "", "a stored note", "")], kinds)
+    more = spark.createDataFrame([("d", "p", 1, 0, "A", "", "A stored NOTE", ""), ("d", "p", 1, 1, "A", "", "another", ""), ("d", "p", 1, 2, "A", "", " ", ""), ("d", "p", 1, 3, "A", "", "another", "")], kinds)
+    assert sorted(r["text"] for r in notes.merge_entries(store, more).collect()) == ["a stored note", "another"]
+    reason = spark.range(1).select(notes.conflict_reason(F.lit(" "), F.lit(0.934)).alias("r")).first()["r"]
+    assert reason == "the same author already has a note on this paragraph that is 93% the same — probably an edit of it"
+    files = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, content string")
+    mine = spark.createDataFrame([("a", "9"), ("b", "8")], "path string, content string")
+    after, refused = snapshots.saved(files, mine, snapshots.snapshot(spark.createDataFrame([("a", "1"), ("b", "x")], "path string, content string")))
+    assert sorted(map(tuple, after.collect())) == [("a", "9"), ("b", "2")] and [tuple(r) for r in refused.collect()] == [("b", "changed")]
+
+
+def test_cards_and_colours(spark):
+    cards = spark.createDataFrame([(0, "../texts/one.html?v=2", "T", "S", "D"), (1, "one.html", "U", "", ""), (2, "two", "V", "", "")], "ord int, href string, title string, subtitle string, description string")
+    pages = spark.createDataFrame([("texts/one.html",), ("two.html",), ("three.html",)], "page string")
+    assert [(r["page"], r["title"]) for r in web.card_of(pages, cards).orderBy("page").collect()] == [("texts/one.html", "T"), ("three.html", None), ("two.html", "V")]
+    colours = spark.createDataFrame([([1.0, 0.5, 0.0], "#A0b1C2"), ([0.2], "red"), ([0.1, 0.2], None), ([2.0, -1.0, 0.0, 0.5], "a0b1c2")], "s array<double>, t string")
+    assert [tuple(r) for r in colours.select(spans.colour_of_shares("s"), spans.colour_of_text("t")).collect()] == [("#ff8000", "#a0b1c2"), ("#333333", ""), ("", ""), ("#ff0000", "#a0b1c2")]
