@@ -12,6 +12,7 @@ from ..functions import spans
 from ..functions import text as t
 from ..operators import blocks, checks, layout, match, migrate, notes
 from ..sources import annotation_files, snapshots, source_text, web
+from ..store import cut
 from . import tables as tab
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -328,10 +329,15 @@ def q_render_page(spark: SparkSession, d: str) -> DataFrame:
 # Matching.
 
 
+def _folded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Quotes and texts, folded once: the joins read both several times."""
+    p = match.normed(tab.corpus(spark, d), "text", "norm2").drop("text")
+    return cut(match.normed(tab.quotes(spark, d), "quote"), "quotes"), cut(p, "texts")
+
+
 @query(f"WITH {_LINES}, b AS (SELECT item_id, {norm('text')} AS q FROM benchmark), n AS (SELECT doc_id, {norm('text')} AS p FROM documents) SELECT item_id, doc_id FROM b JOIN n ON q <> '' AND contains(p, q)")
 def q_quote_inside(spark: SparkSession, d: str) -> DataFrame:
-    q, p = match.normed(tab.quotes(spark, d), "quote"), match.normed(tab.corpus(spark, d), "text", "norm2")
-    return match.contained(q, p, ["quote_id"], ["id"]).select(F.col("quote_id").alias("item_id"), F.col("id").alias("doc_id"))
+    return match.contained(*_folded(spark, d), ["quote_id"], ["id"]).select(F.col("quote_id").alias("item_id"), F.col("id").alias("doc_id"))
 
 
 @query(f"""WITH {_LINES}, q AS (SELECT doc_id AS quote, {norm('text')} AS q FROM documents), p AS (SELECT item_id, {norm('text')} AS p FROM benchmark) SELECT quote, item_id FROM p JOIN q ON contains(q, p) AND length(p) >= 40 AND len(string_split(p, ' ')) >= 6 AND p <> q""")
@@ -344,8 +350,7 @@ def q_quote_spanning(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH b AS (SELECT item_id, {_WORDS.format(norm('text'))} AS q FROM benchmark), n AS (SELECT doc_id, {_WORDS.format(norm('text'))} AS p FROM documents)
 SELECT item_id, doc_id, share FROM (SELECT item_id, doc_id, len(list_intersect(q, p)) / len(q) AS share FROM b JOIN n ON len(q) > 0 AND len(p) > 0) WHERE share >= 0.6""")
 def q_token_overlap(spark: SparkSession, d: str) -> DataFrame:
-    q, p = match.normed(tab.quotes(spark, d), "quote"), match.normed(tab.corpus(spark, d), "text", "norm2")
-    return match.overlapping(q, p, ["quote_id"], ["id"], 0.6).select(F.col("quote_id").alias("item_id"), F.col("id").alias("doc_id"), "share")
+    return match.overlapping(*_folded(spark, d), ["quote_id"], ["id"], 0.6).select(F.col("quote_id").alias("item_id"), F.col("id").alias("doc_id"), "share")
 
 
 @query(f"""WITH b AS (SELECT item_id, {norm('text')} AS q FROM benchmark), n AS (SELECT doc_id, {norm('text')} AS p FROM documents), c AS (SELECT item_id, count(doc_id) AS n, min(doc_id) AS first FROM b LEFT JOIN n ON q <> '' AND contains(p, q) GROUP BY item_id)

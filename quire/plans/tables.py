@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import spread
 
 
 #: Lines with clause markers, headings, contents entries and page numbers, made of the plain ones by their number; the same in Spark and DuckDB.
@@ -19,7 +20,7 @@ BROKEN = "CASE idx % 3 WHEN 0 THEN concat(text, 'in-') ELSE lower(text) END"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # where workers on this machine find the package
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def lines(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFrame:

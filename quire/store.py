@@ -32,6 +32,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, read from files; if that is a single one, which may be one piece to read, over as many tasks as run at once."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
 def release() -> None:
     """Delete all that cut() wrote; results that were not read by then are gone."""
     while _written:
