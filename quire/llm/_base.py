@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..store import cut, release, shared_dir
+from ..store import cut, release, shared_dir, spread
 
 __all__ = ["cut", "join_small", "release", "shared_dir", "table", "unit_hash"]
 
@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # where workers on this machine find the package
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def width(kind: T.DataType, value: Column) -> Column:
