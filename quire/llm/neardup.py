@@ -24,8 +24,8 @@ from .search import valid
 
 #: Rows of a shard, about; rows of a block, and blocks that one task asks a graph with.
 SHARD_ROWS, BLOCK_ROWS, GROUP_BLOCKS = 16_384, 1024, 64
-#: Neighbours of a node (twice as many in the lowest layer), beam while building and at first; of an audit, the vectors with links and the recall of their links.
-M, BEAM, AUDIT, RECALL = 12, 48, 128, 0.995
+#: Neighbours of a node (twice as many in the lowest layer), beam while building and at first when asking; of an audit, the vectors with links and the recall of their links.
+M, BUILD_BEAM, BEAM, AUDIT, RECALL = 12, 24, 16, 256, 0.995
 _EXPAND, _LOCKSTEP = 4, 256
 #: What single precision may lack; such pairs are left to the verification.
 SLACK = 1e-5
@@ -51,7 +51,7 @@ class Graph:
             graph._connect(np.arange(done), None)
             while done < len(ids):
                 batch = np.arange(done, min(len(ids), done + min(done, _LOCKSTEP)))
-                graph._connect(batch, graph._search(graph.fast[ids[batch]], 0, BEAM)[0])
+                graph._connect(batch, graph._search(graph.fast[ids[batch]], 0, BUILD_BEAM)[0])
                 done = batch[-1] + 1
         return graph
 
@@ -61,39 +61,36 @@ class Graph:
         x = self.fast[ids[batch]]
         own = x @ x.T
         np.fill_diagonal(own, -2)
-        few = min(len(batch), BEAM // 2)
+        few = min(len(batch), BUILD_BEAM // 2)
         inside = batch[np.argsort(-own, axis=1, kind="stable")[:, :few]]
         inside[np.take_along_axis(own, inside - batch[0], axis=1) < -1] = -1
         pool = inside if found is None else np.concatenate([found, inside], axis=1)
         chosen = self._diverse(x, pool, near.shape[1] // 2 if len(self.layers) and near.shape[1] == 2 * M else near.shape[1])
         near[batch, : chosen.shape[1]] = chosen
-        back: dict[int, list[int]] = {}
-        for i, row in zip(batch.tolist(), chosen.tolist(), strict=True):
-            for j in row:
-                if j >= 0:
-                    back.setdefault(j, []).append(i)
-        full = []
-        for j, more in back.items():
-            have = near[j][near[j] >= 0].tolist()
-            new = [i for i in more if i not in have]
-            if len(have) + len(new) <= near.shape[1]:
-                near[j, len(have) : len(have) + len(new)] = new
-            elif new:
-                full.append((j, have + new))
+        width = near.shape[1]
+        at, to = np.repeat(batch, chosen.shape[1]), chosen.ravel()
+        at, to = at[to >= 0], to[to >= 0]
+        known = (near[to] == at[:, None]).any(axis=1)
+        order = np.argsort(to[~known], kind="stable")
+        at, to = at[~known][order], to[~known][order]
+        slot = (near[to] >= 0).sum(axis=1) + np.arange(len(to)) - np.searchsorted(to, to)
+        fits = slot < width
+        near[to[fits], slot[fits]] = at[fits]
+        at, to, slot = at[~fits], to[~fits], slot[~fits] - width
+        full = np.unique(to)
         for a in range(0, len(full), _LOCKSTEP):
             part = full[a : a + _LOCKSTEP]
-            pool = np.full((len(part), max(len(p) for _, p in part)), -1)
-            for r, (_, p) in enumerate(part):
-                pool[r, : len(p)] = p
-            rows = np.array([j for j, _ in part])
-            near[rows] = self._diverse(self.fast[ids[rows]], pool, near.shape[1])
+            some = slice(np.searchsorted(to, part[0]), np.searchsorted(to, part[-1], "right"))
+            more = np.full((len(part), int(slot[some].max()) + 1), -1)
+            more[np.searchsorted(part, to[some]), slot[some]] = at[some]
+            near[part] = self._diverse(self.fast[ids[part]], np.concatenate([near[part], more], axis=1), width)
 
     def _diverse(self, x: np.ndarray, pool: np.ndarray, most: int) -> np.ndarray:
         """Of each row's pool, by falling similarity: those nearer to x than to any chosen before; then the nearest of the rest."""
         ids = self.layers[0][0]
         v = self.fast[ids[pool]]
         sims = np.where(pool >= 0, np.einsum("bd,bpd->bp", x, v), -2.0)
-        order = np.argsort(-sims, axis=1, kind="stable")[:, : max(BEAM, most)]
+        order = np.argsort(-sims, axis=1, kind="stable")[:, : max(BUILD_BEAM, most)]
         pool, sims = np.take_along_axis(pool, order, 1), np.take_along_axis(sims, order, 1)
         v = np.take_along_axis(v, order[:, :, None], 1)
         between = v @ v.transpose(0, 2, 1)
@@ -116,8 +113,7 @@ class Graph:
             start = np.searchsorted(ids, upper)
         else:
             start = np.zeros((len(q), 1), int)
-        width = beam + _EXPAND * near.shape[1]
-        held, sims, open_ = np.full((len(q), width), -1), np.full((len(q), width), -2.0), np.zeros((len(q), width), bool)
+        held, sims, open_ = np.full((len(q), beam), -1), np.full((len(q), beam), -2.0, np.float32), np.zeros((len(q), beam), bool)
         seen = np.zeros((len(q), len(ids) + 1), bool)
         rows = np.arange(len(q))[:, None]
         seen[:, -1] = True
@@ -129,7 +125,7 @@ class Graph:
         live = np.arange(len(q))
         while len(live):
             s, o, h = sims[live], open_[live], held[live]
-            best = np.argsort(-np.where(o[:, :beam], s[:, :beam], -3.0), axis=1)[:, :_EXPAND]
+            best = np.argsort(-np.where(o, s, -3.0), axis=1)[:, :_EXPAND]
             use = np.take_along_axis(o, best, 1)
             more = use.any(axis=1)
             live, s, o, h, best, use = live[more], s[more], o[more], h[more], best[more], use[more]
@@ -138,20 +134,17 @@ class Graph:
             r = np.arange(len(live))[:, None]
             o[r, best] = False
             nodes = np.where(use[:, :, None], near[np.where(use, h[r, best], 0)], -1).reshape(len(live), -1)
-            nodes = np.sort(nodes, axis=1)
+            nodes[seen[live[:, None], nodes]] = -1
+            nodes = -np.sort(-nodes, axis=1)  # the unseen first: as many columns are compared as a query has of them
+            nodes = nodes[:, : max(1, int((nodes >= 0).sum(axis=1).max()))]
             nodes[:, 1:][nodes[:, 1:] == nodes[:, :-1]] = -1
-            new = ~seen[live[:, None], nodes]
             seen[live[:, None], nodes] = True
-            nodes = np.where(new, nodes, -1)
-            h[:, beam : beam + nodes.shape[1]] = nodes
-            s[:, beam : beam + nodes.shape[1]] = np.where(new, (self.fast[ids[nodes]] @ q[live][:, :, None])[:, :, 0], -2.0)
-            o[:, beam : beam + nodes.shape[1]] = new
-            order = np.argpartition(-s, beam - 1, axis=1)
+            new = nodes >= 0
+            found = np.where(new, (self.fast[ids[nodes]] @ q[live][:, :, None])[:, :, 0], np.float32(-2.0))
+            s, o, h = np.concatenate([s, found], 1), np.concatenate([o, new], 1), np.concatenate([h, nodes], 1)
+            order = np.argpartition(-s, beam - 1, axis=1)[:, :beam]
             sims[live], open_[live], held[live] = np.take_along_axis(s, order, 1), np.take_along_axis(o, order, 1), np.take_along_axis(h, order, 1)
-            open_[live[:, None], np.arange(beam, width)] = False
-            sims[live[:, None], np.arange(beam, width)] = -2.0
-        held = np.where(sims > -2, held, -1)[:, :beam]
-        return held, sims[:, :beam]
+        return np.where(sims > -2, held, -1), sims
 
     def links(self, q: np.ndarray, least: float) -> Iterator[np.ndarray]:
         """Of each query (unit rows), the nodes found with cosine >= least. A query whose beam is half full of near nodes may have more than a beam holds, and is compared with the whole shard."""
