@@ -129,9 +129,9 @@ def nearest_line(lines: DataFrame, boxes: DataFrame, least: float = 0.2) -> Data
 def runs(rows: DataFrame, keys: list[str], order: str, hit: Column, least: int = 1) -> DataFrame:
     """(keys, start, length): unbroken runs of rows for which hit holds, of so many rows at least."""
     by = Window.partitionBy(*keys).orderBy(order)
-    numbered = rows.withColumns({"_all": F.row_number().over(by), "_hit": hit}).filter("_hit")
-    islands = numbered.withColumn("_island", F.col("_all") - F.row_number().over(by))
-    return islands.groupBy(*keys, "_island").agg(F.min("_all").alias("start"), F.count("*").alias("length")).filter(F.col("length") >= least).drop("_island")
+    numbered = rows.withColumns({"_nth": F.row_number().over(by), "_hit": hit}).filter("_hit")
+    islands = numbered.withColumn("_island", F.col("_nth") - F.row_number().over(by))
+    return islands.groupBy(*keys, "_island").agg(F.min("_nth").alias("start"), F.count("*").alias("length")).filter(F.col("length") >= least).drop("_island")
 
 
 def front_matter(lines: DataFrame) -> DataFrame:

@@ -209,7 +209,12 @@ def q_front_matter(spark: SparkSession, d: str) -> DataFrame:
     return layout.front_matter(tab.positioned(spark, d).withColumn("text", F.when(F.col("idx") < 6, F.concat(F.left("text", F.lit(20)), F.lit(" ..... "), F.col("idx").cast("string"))).otherwise(F.col("text"))))
 
 
-@query()
+@query(rf"""WITH {_MARKED}, z AS (SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY idx DESC) <= 3 THEN concat(substr(text, 1, 20), ' ..... ', CAST(idx AS STRING)) ELSE text END AS text,
+  row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM marked),
+ listed AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM z WHERE n >= 12 AND pos > n - 60 AND length(trim(text)) <= 160 AND regexp_matches(trim(text), '(\.{{2,}}|\s{{2,}})\s*[0-9]{{1,4}}\s*$')),
+ starts AS (SELECT doc_id, n, min(low) AS start, 1 AS kind FROM (SELECT doc_id, n, min(pos) AS low FROM listed GROUP BY doc_id, n, island HAVING count(*) >= 3) GROUP BY doc_id, n
+  UNION ALL SELECT doc_id, n, min(pos), 0 FROM z WHERE n >= 12 AND pos > n - 60 AND lower(trim(text)) = 'contents' GROUP BY doc_id, n)
+SELECT doc_id, CAST(arg_min(start, kind) AS INTEGER) AS start FROM starts WHERE n - start + 1 <= greatest(4, floor(n * 0.2)) GROUP BY doc_id""")
 def q_tail_matter(spark: SparkSession, d: str) -> DataFrame:
     by = Window.partitionBy("doc_id").orderBy(F.col("idx").desc())
     rows = tab.positioned(spark, d).withColumn("_z", F.row_number().over(by))
@@ -248,9 +253,14 @@ def q_drop_furniture(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("doc_id", "page", "idx", "text")
 
 
-@query()
+@query(f"""WITH {_LINES}, p AS (SELECT doc_id, idx, idx // 40 + 1 AS page, 60.0 + idx % 40 // 2 * 18 + idx % 2 * 2 AS y0, CASE WHEN idx % 2 = 0 THEN 310.0 ELSE 100.0 END AS x0 FROM lines),
+ s AS (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY doc_id, page ORDER BY y0) > 3 THEN 1 ELSE 0 END AS step FROM p),
+ c AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, page ORDER BY y0 ROWS UNBOUNDED PRECEDING) AS band FROM s)
+SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(idx AS INTEGER) AS idx, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY band, x0, y0) AS INTEGER) AS ord FROM c""")
 def q_reading_order(spark: SparkSession, d: str) -> DataFrame:
-    return layout.reading_order(tab.positioned(spark, d), ["doc_id", "page"]).select("doc_id", "page", "idx", "ord")
+    at, odd = F.floor(F.col("idx") % 40 / 2), F.col("idx") % 2
+    pairs = tab.positioned(spark, d).withColumns({"y0": 60.0 + at * 18 + odd * 2, "x0": F.when(odd == 0, 310.0).otherwise(100.0)})  # two lines in a band, the right one a little higher
+    return layout.reading_order(pairs, ["doc_id", "page"]).select("doc_id", "page", "idx", "ord")
 
 
 # Blocks and sources.

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -304,3 +305,13 @@ def test_cards_and_colours(spark):
     assert [(r["page"], r["title"]) for r in web.card_of(pages, cards).orderBy("page").collect()] == [("texts/one.html", "T"), ("three.html", None), ("two.html", "V")]
     colours = spark.createDataFrame([([1.0, 0.5, 0.0], "#A0b1C2"), ([0.2], "red"), ([0.1, 0.2], None), ([2.0, -1.0, 0.0, 0.5], "a0b1c2")], "s array<double>, t string")
     assert [tuple(r) for r in colours.select(spans.colour_of_shares("s"), spans.colour_of_text("t")).collect()] == [("#ff8000", "#a0b1c2"), ("#333333", ""), ("", ""), ("#ff0000", "#a0b1c2")]
+
+
+def test_contained_against_brute_force(spark):
+    """Words of few letters: texts of one and two words are found within words, at their ends and beginnings; a very long word and an empty text too."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.choice([1, 2, 3, 9, 12])))
+    small = [(i % 2, i, " ".join(word() for _ in range(r.choice([1, 1, 2, 2, 3, 4])))) for i in range(60)]
+    large = [(i % 2, i, " ".join(word() for _ in range(r.randint(1, 12)))) for i in range(80)] + [(0, 999, "x" * 50_000 + " ab"), (1, 998, "")]
+    found = match.contained(spark.createDataFrame(small, "doc_id int, q int, norm string"), spark.createDataFrame(large, "doc_id int, id int, norm2 string"), ["q"], ["id"])
+    assert sorted((x.doc_id, x.q, x.id) for x in found.collect()) == sorted((d, q, i) for d, q, n in small for e, i, m in large if d == e and n in m)
