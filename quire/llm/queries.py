@@ -105,6 +105,18 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.low,
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id) m USING (doc_id)
 """
 
+#: The recall of an exact answer is 1; vectors that take no part have none.
+_OP6 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding) AND len([x FOR x IN embedding IF x <> 0]) > 0
+), links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), known AS (SELECT v.vec_id, (SELECT count(*) FROM links WHERE x = v.vec_id) AS n, (SELECT min(y) FROM reach WHERE x = v.vec_id) AS low FROM v)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(low, e.vec_id)) AS component_id, CASE WHEN n IS NOT NULL THEN 1.0::DOUBLE END AS recall, coalesce(e.vec_id <= coalesce(low, e.vec_id), false) AS kept
+FROM embeddings e LEFT JOIN known USING (vec_id)
+"""
+
 _OP7_ORDERS = "".join(
     f"""
 , t{k} AS (SELECT substr(gram, {5 - k}) AS tail, sum(na) AS na, sum(nb) AS nb FROM counts GROUP BY tail)
@@ -134,4 +146,4 @@ WITH p AS (SELECT page_id, coalesce(url, '') AS u FROM pages
 SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN score >= coalesce((SELECT least FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict FROM f LEFT JOIN score USING (u)
 """
 
-SQL: dict[str, str] = {"op7_url_filter": _OP7, "op5_ngram_jaccard_join": _OP5, "op1_exact_top_k": _OP1, "op2_mix_sources": _OP2}
+SQL: dict[str, str] = {"op6_embedding_near_dup": _OP6, "op7_url_filter": _OP7, "op5_ngram_jaccard_join": _OP5, "op1_exact_top_k": _OP1, "op2_mix_sources": _OP2}
