@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ._base import cut
 
-#: Rows per block, blocks of rows per group, groups merged at a time, query blocks whose lists a task holds.
-ROWS, GROUP_BLOCKS, FAN, HELD = 2048, 4, 16, 64
+#: Rows per block, bytes of the rows of a group, groups merged at a time, query blocks whose lists a task holds.
+ROWS, GROUP_BYTES, FAN, HELD = 2048, 64 << 20, 16, 64
 _LONG = np.iinfo(np.int64)
 
 
@@ -105,8 +105,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     asked = queries.filter(F.col("vec_id").isNotNull() & valid("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     rows = cut(blocks(vectors.filter(F.col("vec_id").isNotNull() & valid("embedding"))), "rows")
-    groups = max(1, -(-rows.count() // GROUP_BLOCKS))
-    rows = rows.withColumn("g", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()
+    groups = max(1, min(count, max(-(-size // GROUP_BYTES), rows.sparkSession.sparkContext.defaultParallelism)))  # each gets a copy of the queries
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
     asked = blocks(asked).select("dim", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
