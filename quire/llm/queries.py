@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import html, mixing, neardup, ngram_join, packing, pii, quality, search, token_counts, urls
+from . import conversation_repair, hard_negatives, html, mixing, neardup, ngram_join, packing, pii, quality, search, substring_dedup, token_counts, urls
 from ._base import table
 
 
@@ -54,7 +54,20 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_top_k, op2_mix_sources, op3_html_extract, op4_quality_classifier, op5_ngram_jaccard_join, op6_embedding_near_dup, op7_url_filter, op8_token_counts, op9_best_fit_packing, op10_pii_spans)}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mined(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.checked(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_top_k, op2_mix_sources, op3_html_extract, op4_quality_classifier, op5_ngram_jaccard_join, op6_embedding_near_dup, op7_url_filter, op8_token_counts, op9_best_fit_packing, op10_pii_spans, op11_substring_dedup, op12_hard_negatives, op13_conversation_repair)}
 
 _OP2 = r"""
 WITH sized AS (
@@ -146,4 +159,68 @@ WITH p AS (SELECT page_id, coalesce(url, '') AS u FROM pages
 SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN score >= coalesce((SELECT least FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict FROM f LEFT JOIN score USING (u)
 """
 
-SQL: dict[str, str] = {"op6_embedding_near_dup": _OP6, "op7_url_filter": _OP7, "op5_ngram_jaccard_join": _OP5, "op1_exact_top_k": _OP1, "op2_mix_sources": _OP2}
+_OP11 = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (SELECT r, doc_id, i, array_to_string(ws[i : i + 49], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+), hits AS (SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY s) AS low FROM windows) WHERE low < doc_id
+), gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM hits
+), kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)
+"""
+
+_OP12 = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+), scored AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS alike, CAST(list_sum([x[1] * x[2] FOR x IN list_zip(a.e, v.e)]) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id <> v.vec_id AND len(a.e) = len(v.e) WHERE a.vec_id % 100 = 0
+), p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN scored USING (anchor_id) WHERE NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5
+"""
+
+#: CRC-32 by bytes of eight steps each, and the cheapest edits row by row: best holds a conversation's cheapest (cost, audit) for each state.
+_OP13 = r"""
+WITH RECURSIVE bits(n, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), crcs AS (SELECT n, c FROM bits WHERE k = 8
+), d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+), names AS (SELECT DISTINCT name FROM d
+), sums(name, i, c) AS (SELECT name, 1, 4294967295 FROM names UNION ALL SELECT name, i + 1, xor(s.c >> 8, t.c) FROM sums s JOIN crcs t ON t.n = xor(s.c & 255, ascii(name[i])) WHERE i <= len(name)
+), how AS (SELECT name, xor(c, 4294967295) % 20 AS how FROM sums WHERE i = len(name) + 1
+), e AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN how = 3 THEN [1, 2] ELSE [1] END) AS copy FROM d JOIN how USING (name) WHERE how <> 0)
+), o AS (
+  SELECT *, row_number() OVER w AS i, coalesce(hash(conv_id), 0) AS c, conv_id IS NULL AS none, lag(left(role, 1)) OVER w || left(role, 1) AS pair FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM o
+), counts AS (
+  SELECT conv_id, any_value(c) AS c, any_value(none) AS none, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id
+), steps(p, role, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), fills(p, q, cost, audit) AS (SELECT p, p, 0, '' FROM (VALUES (0), (1), (2), (3)) x(p) UNION ALL SELECT f.p, s.q, f.cost + 2, f.audit || 'I' FROM fills f JOIN steps s ON f.q = s.p AND s.role <> 's' WHERE f.cost < 4
+), inserts AS (SELECT p, q, min({'cost': cost, 'audit': audit}) AS x FROM fills GROUP BY p, q
+), edits AS (
+  SELECT p, q, role, false AS faulty, 0 AS cost, 'K' AS edit FROM steps UNION ALL SELECT p, q, NULL, false, 2, 'R' FROM steps WHERE role <> 's' UNION ALL SELECT p, p, NULL, NULL, 3, 'D' FROM (VALUES (0), (1), (2), (3)) x(p)
+), moves AS (SELECT e.p, i.q, role, faulty, {'cost': cost + i.x.cost, 'audit': edit || i.x.audit} AS x FROM edits e JOIN inserts i ON e.q = i.p
+), best(c, none, i, p, x) AS (
+  SELECT c, none, CAST(0 AS BIGINT), q, x FROM counts, inserts WHERE p = 0
+  UNION ALL
+  SELECT b.c, b.none, b.i + 1, m.q, min({'cost': b.x.cost + m.x.cost + CASE WHEN fault = 't' AND m.faulty IS NOT NULL THEN 1 ELSE 0 END, 'audit': b.x.audit || m.x.audit})
+  FROM best b JOIN f ON f.c = b.c AND f.none = b.none AND f.i = b.i + 1 JOIN moves m ON m.p = b.p AND (m.role IS NULL OR m.role = left(f.role, 1)) AND (m.faulty IS NULL OR f.fault NOT IN ('b', 'd'))
+  GROUP BY b.c, b.none, b.i, m.q
+), chosen AS (SELECT n.*, min(b.x) AS x FROM counts n JOIN best b ON b.c = n.c AND b.none = n.none AND b.i = n.n AND b.p IN (0, 3) GROUP BY ALL
+), letters AS (
+  SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS place FROM (SELECT *, audit[k] AS edit FROM (SELECT c, none, x.audit AS audit, len(replace(x.audit, 'D', '')) % 2 AS odd, unnest(range(1, len(x.audit) + 1)) AS k FROM chosen))
+  WINDOW w AS (PARTITION BY c, none ORDER BY k)
+), texts AS (
+  SELECT l.c, l.none, string_agg(CASE WHEN edit = 'K' THEN f.role ELSE CASE WHEN (place + odd) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN edit = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY k) AS t
+  FROM letters l JOIN f ON f.c = l.c AND f.none = l.none AND f.i = greatest(l.i, 1) WHERE edit <> 'D' GROUP BY ALL
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(x.cost, 0) AS BIGINT) AS cost, coalesce(x.audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN chosen h ON a.conv_id IS NOT DISTINCT FROM h.conv_id LEFT JOIN texts t ON t.c = h.c AND t.none = h.none
+"""
+
+SQL: dict[str, str] = {"op6_embedding_near_dup": _OP6, "op7_url_filter": _OP7, "op5_ngram_jaccard_join": _OP5, "op1_exact_top_k": _OP1, "op2_mix_sources": _OP2, "op11_substring_dedup": _OP11, "op12_hard_negatives": _OP12, "op13_conversation_repair": _OP13}
