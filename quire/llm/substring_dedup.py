@@ -142,7 +142,7 @@ def repeated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     keys = runs.groupBy("key").agg(*ends).filter("min_doc_id < max_doc_id")
     keys = keys.select("key", F.col("min_doc_id").alias("low"), (F.expr("min_a = max_a and min_b = max_b")).alias("alike"))
     shared = cut(runs.join(keys, "key"), "shared")
-    ones = shared.filter("alike and low < doc_id").select("doc_id", "row", "start", F.expr("case when n = 64 then -1L else shiftleft(1L, n) - 1 end").alias("mask"))
+    ones = shared.filter("alike and low < doc_id").select("doc_id", "row", "start", F.expr("shiftrightunsigned(-1L, 64 - n)").alias("mask"))
     mixed = shared.filter("not alike")
     texts = cut(mixed.groupBy("key", "a", "b").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("at")).select("key", "a", "b", "at.*"), "texts")
     hot = cut(texts.groupBy("key").count().filter(F.col("count") > bucket).select("key", F.lit(True).alias("hot")), "hot")
