@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -309,6 +310,48 @@ def test_near_duplicates(spark):
     assert len(found) == len(made) + len(odd) and neardup.near_duplicates(vectors(spark, odd[:1]).filter("false")).count() == 0
 
 
+def grouped(n, size, dim=64, seed=0):
+    """n unit vectors, half of them in groups of so many near copies."""
+    random = np.random.default_rng(seed + n)
+    near = np.repeat(random.normal(size=(n // 2 // size + 1, dim)), size, axis=0)[: n // 2]
+    x = np.concatenate([near + 0.15 * random.normal(size=near.shape), random.normal(size=(n - n // 2, dim))])[random.permutation(n)]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("n, size", [(1500, 3), (3000, 3), (6000, 3), (3000, 20), (6000, 20), (3000, 300), (6000, 300), (16384, 20)])
+def test_graph_alone(n, size):
+    """Nodes find themselves, and a search with the first beam finds the links, also in groups larger than it."""
+    x = grouped(n, size)
+    graph = neardup.Graph.build(x)
+    assert len(graph.lost()) <= n // 2000
+    truth = x @ x.T >= 0.93
+    np.fill_diagonal(truth, False)
+    found = np.zeros_like(truth)
+    for i, nodes in graph.near(x, 0.93, neardup.BEAM):
+        found[i, nodes] = True
+    np.fill_diagonal(found, False)
+    assert not (found & ~truth).any() and (found & truth).sum() >= 0.995 * truth.sum()
+    pairs = neardup.Pairs(graph, graph)
+    hits, links = pairs.found(0.93)
+    counts = np.random.default_rng(1).integers(1, 4, n)
+    of_a, of_b, forest = pairs.summed(counts, counts)
+    got = pairs.rows(np.arange(n))
+    assert hits >= 0.99 * links and (got == got.T).all() and (of_a == got @ counts).all() and (of_b == of_a).all()
+    assert dict(components.merged(forest)) == dict(components.merged(zip(*(x.tolist() for x in np.nonzero(got)), strict=True)))
+
+
+def test_near_duplicates_against_sql(spark, tmp_path):
+    """A table that has links, in several shards: equal to its SQL."""
+    x = grouped(1600, 5, 24)
+    rows = [(i, v.tolist(), i % 7 % 2) for i, v in enumerate(x)] + [(5000 + i, x[i].tolist(), i % 7 % 2) for i in range(40)] + [(6000, None, 1), (6001, [0.0] * 24, 1), (6002, x[3].tolist(), None)]
+    vectors(spark, rows).coalesce(1).write.parquet(str(tmp_path / "t"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/t/*.parquet')")
+    found = neardup.near_duplicates(spark.read.parquet(str(tmp_path / "t")), shard_rows=400)
+    assert found.filter("n_links > 0").count() > 500
+    same(found, con, queries.SQL["op6_embedding_near_dup"])
+
+
 def test_near_duplicates_over_shards(spark):
     """One label of several thousand vectors over several graphs: the links of vectors that have any."""
     random = np.random.default_rng(9)
@@ -321,7 +364,7 @@ def test_near_duplicates_over_shards(spark):
     np.fill_diagonal(near, False)
     truth = near.sum(axis=1)
     got = np.array([found[i]["n_links"] for i in range(len(made))])
-    assert (got <= truth).all() and got.sum() >= 0.97 * truth.sum() > 1000
+    assert (got <= truth).all() and got.sum() >= 0.995 * truth.sum() > 1000 and got.sum() % 2 == 0
     assert all(r["recall"] >= 0.9 for r in found.values())
 
 
