@@ -76,22 +76,19 @@ def q_positional_alias(spark: SparkSession, d: str) -> DataFrame:
     return blocks.positional_aliases(rows).select("doc_id", F.col("key").alias("idx"), "old_id")
 
 
-_LABEL = r"""CASE WHEN text SIMILAR TO '§+.*' THEN concat('§', regexp_extract(text, '^§+\s*([0-9]+(\.[0-9]+)*)?', 1)) WHEN regexp_matches(text, '^\([0-9]{1,3}\)') THEN regexp_extract(text, '^\([0-9]{1,3}\)')
- WHEN regexp_matches(text, '^[0-9]{1,3}[.)]\s+') THEN concat(regexp_extract(text, '^([0-9]{1,3})', 1), '.') WHEN regexp_matches(text, '^\([a-z]{1,3}\)') THEN regexp_extract(text, '^\([a-z]{1,3}\)')
- WHEN regexp_matches(text, '^[•*–—-]\s+') THEN '•' ELSE '¶' END"""
-_REST = r"""CASE WHEN text SIMILAR TO '§+.*' THEN regexp_extract(text, '^§+\s*(?:[0-9]+(?:\.[0-9]+)*)?\s*[.)]?\s*(.*)$', 1) WHEN regexp_matches(text, '^\([0-9]{1,3}\)') THEN regexp_extract(text, '^\([0-9]{1,3}\)\s*(.*)$', 1)
- WHEN regexp_matches(text, '^[0-9]{1,3}[.)]\s+') THEN regexp_extract(text, '^[0-9]{1,3}[.)]\s+(.*)$', 1) WHEN regexp_matches(text, '^\([a-z]{1,3}\)') THEN regexp_extract(text, '^\([a-z]{1,3}\)\s*(.*)$', 1)
- WHEN regexp_matches(text, '^[•*–—-]\s+') THEN regexp_extract(text, '^[•*–—-]\s+(.*)$', 1) ELSE text END"""
-
-
-@query(rf"WITH {_MARKED} SELECT doc_id, CAST(idx AS BIGINT) AS idx, {_LABEL} AS label, regexp_replace({_REST}, '^\s+|\s+$', '', 'g') AS rest FROM marked WHERE idx % 9 <> 0 AND text NOT LIKE '¶%'")
+#: Of each kind of marker, in the order tried: what a line begins with, its label, and how its rest is found.
+_MARKS = (
+    (r"^¶", "'¶'", r"^¶\s*(.*)$"), (r"^§+", r"concat('§', regexp_extract(text, '^§+\s*([0-9]+(\.[0-9]+)*)?', 1))", r"^§+\s*(?:[0-9]+(?:\.[0-9]+)*)?\s*[.)]?\s*(.*)$"),
+    (r"^\([0-9]{1,3}\)", r"regexp_extract(text, '^\([0-9]{1,3}\)')", r"^\([0-9]{1,3}\)\s*(.*)$"), (r"^[0-9]{1,3}[.)]\s+", "concat(regexp_extract(text, '^([0-9]{1,3})', 1), '.')", r"^[0-9]{1,3}[.)]\s+(.*)$"),
+    (r"^\([ivxlcdmIVXLCDM]{1,6}\)", r"lower(regexp_extract(text, '^\([a-zA-Z]{1,6}\)'))", r"^\([a-zA-Z]{1,6}\)\s*(.*)$"), (r"^\([a-z]{1,3}\)", r"regexp_extract(text, '^\([a-z]{1,3}\)')", r"^\([a-z]{1,3}\)\s*(.*)$"),
+    (r"^[•·▪‣◦*–—-]\s+", "'•'", r"^[•·▪‣◦*–—-]\s+(.*)$"),
+)
+_LABEL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{begins}') THEN {label}" for begins, label, _ in _MARKS) + " ELSE '¶' END"
+_REST = "CASE " + " ".join(f"WHEN regexp_matches(text, '{begins}') THEN regexp_extract(text, '{rest}', 1)" for begins, _, rest in _MARKS) + " ELSE text END"
+
+
+@query(rf"WITH {_MARKED} SELECT doc_id, CAST(idx AS BIGINT) AS idx, {_LABEL} AS label, regexp_replace({_REST}, '^\s+|\s+$', '', 'g') AS rest FROM marked")
 def q_marker_label(spark: SparkSession, d: str) -> DataFrame:
-    rows = tab.lines(spark, d, tab.DECORATED).filter("idx % 9 <> 0 and text not like '¶%'").withColumn("m", t.marker("text"))
-    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "m.label", t.strip("m.rest").alias("rest"))
-
-
-@query()
-def q_marker_label_all(spark: SparkSession, d: str) -> DataFrame:
     rows = tab.lines(spark, d, tab.DECORATED).withColumn("m", t.marker("text"))
     return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "m.label", t.strip("m.rest").alias("rest"))
 
@@ -310,22 +307,16 @@ def q_notes_text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return annotation_files.from_text(annotation_files.render_text(tab.notes_by_paragraph(spark, d))).select("para", "text", "author")
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS title, regexp_extract(html, '(?i)<script[^>]+src=["'']([^"''?]*notes[^"''?]*)', 1) AS notes FROM pages
- WHERE NOT contains(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&')""")
-def q_page_meta(spark: SparkSession, d: str) -> DataFrame:
-    rows = tab.table(spark, d, "pages").filter(~F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).contains("&"))
-    return rows.select("page_id", web.title("html").alias("title"), web.notes_file("html").alias("notes"))
+#: The references that the pages have.
+_STRIPPED = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
 
 
-@query()
-def q_page_meta_all(spark: SparkSession, d: str) -> DataFrame:
+@query(rf"""SELECT page_id, {_STRIPPED.format("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")} AS title, regexp_extract(html, '(?i)<script[^>]+src=["'']([^"''?]*notes[^"''?]*)', 1) AS notes FROM pages""")
+def q_page_meta(spark: SparkSession, d: str) -> DataFrame:
     return tab.table(spark, d, "pages").select("page_id", web.title("html").alias("title"), web.notes_file("html").alias("notes"))
 
 
-_STRIPPED = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(body, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
-
-
-@query(rf"""SELECT page_id, text FROM (SELECT page_id, {_STRIPPED} AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1)) AS body FROM pages)) WHERE text <> ''""")
+@query(rf"""SELECT page_id, text FROM (SELECT page_id, {_STRIPPED.format('body')} AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1)) AS body FROM pages)) WHERE text <> ''""")
 def q_html_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return web.paragraphs(tab.table(spark, d, "pages")).select("page_id", "text")
 

@@ -65,14 +65,16 @@ def _by_paragraph(docs: DataFrame) -> DataFrame:
 
 
 def from_notes_js(docs: DataFrame) -> DataFrame:
-    """window.NOTES = {...}, then addNote("para", "author", "text", "title", "source") calls."""
+    """window.NOTES = {...}, then addNote("para", "author", "text", "title", "source") calls, numbered on from the last of the map."""
     json = F.regexp_extract("text", r"(?s)window\.NOTES\s*=\s*(\{.*)", 1)
-    first = _shaped(_by_paragraph(docs.select("doc_id", json.alias("json")).filter("json <> ''")), names=JSON_NAMES)
+    mapped = _by_paragraph(docs.select("doc_id", json.alias("json")).filter("json <> ''"))
+    first = _shaped(mapped, names=JSON_NAMES)
+    last = mapped.groupBy("doc_id").agg((F.max("ord") + 1).alias("_from"))
     calls = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(rf"\baddNote\s*\(\s*({_STRING}(?:\s*,\s*{_STRING})*)"), F.lit(1))).alias("_i", "call"))
-    args = calls.withColumn("a", F.from_json(F.concat(F.lit("["), "call", F.lit("]")), "array<string>"))
+    args = calls.join(last, "doc_id", "left").withColumn("a", F.from_json(F.concat(F.lit("["), "call", F.lit("]")), "array<string>"))
     get = lambda i: F.coalesce(F.get("a", F.lit(i)), F.lit(""))
     entry = F.create_map(*[x for i, n in enumerate(("para", "author", "text", "title", "source")) for x in (F.lit(n), get(i))])
-    return first.unionByName(_shaped(args.select("doc_id", (F.col("_i") + 1_000_000).alias("ord"), entry.alias("entry"))))
+    return first.unionByName(_shaped(args.select("doc_id", (F.col("_i") + F.coalesce("_from", F.lit(0))).alias("ord"), entry.alias("entry"))))
 
 
 def from_csv(docs: DataFrame, separator: str = ",") -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 
 
+#: What stands between texts that are decoded together.
+_BETWEEN = "\x1e"
+
+
 def title(html: str | Column) -> Column:
     """The title element, or else the page-title heading."""
     html = t.col(html)
@@ -40,7 +44,9 @@ def identified(pages: DataFrame) -> DataFrame:
 
 
 def headings(html: str | Column) -> Column:
-    return F.transform(F.regexp_extract_all(t.col(html), F.lit(r"(?s)<h3[^>]*>(.*?)</h3>"), F.lit(1)), t.without_tags)
+    """The texts of h3 elements, decoded together."""
+    found = F.transform(F.regexp_extract_all(t.col(html), F.lit(r"(?s)<h3[^>]*>(.*?)</h3>"), F.lit(1)), lambda x: F.translate(F.regexp_replace(x, "<[^>]+>", ""), _BETWEEN, ""))
+    return F.when(F.size(found) > 0, F.transform(F.split(t.unescaped(F.array_join(found, _BETWEEN)), _BETWEEN), t.squeezed)).otherwise(found)
 
 
 def rendered_body(blocks: DataFrame) -> DataFrame:
