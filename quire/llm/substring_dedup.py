@@ -3,7 +3,7 @@
 A window's minimiser is the least hash among its grams of GRAM words. Consecutive windows with one minimiser are a run (a
 super-k-mer). Runs are first counted by their minimiser and a 128-bit fingerprint of their words, which takes some forty bytes
 for each run: a minimiser that only one document has needs nothing more, and where all runs of a minimiser are the same words,
-the least document is known at once. Runs of the other minimisers travel as packed strings, one for each different run, to the
+the least document is known at once. What is asked of texts grows with them, so texts are always dealt by document for it. Runs of the other minimisers travel as packed strings, one for each different run, to the
 bucket of their minimiser, where their windows are sorted. A bucket with more than BUCKET different runs isn't sorted in one
 task: its windows go out by their own fingerprints, are pre-aggregated where they lie, and come back the same.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import _IS_SPACE, _pow, chunks, cut, is_small, join_small, mix64, text_bytes, word_hashes
+from ._base import _IS_SPACE, _pow, chunks, cut, join_small, mix64, text_bytes, word_hashes
 
 #: Words of a window and of a gram; windows of a run at most (they fill a mask of 64 bits); different runs that one task sorts.
 WINDOW, GRAM, RUN, BUCKET = 50, 8, 64, 4096
@@ -148,7 +148,7 @@ def repeated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     hot = cut(texts.groupBy("key").count().filter(F.col("count") > bucket).select("key", F.lit(True).alias("hot")), "hot")
     asked = join_small(texts, hot, "key").groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "a", "b", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
     asked = cut(asked, "asked")
-    packed = join_small(read, asked, ["doc_id", "row"], "inner").select("text", F.col("doc_id").alias("low"), "asked")
+    packed = read.join(asked.hint("merge"), ["doc_id", "row"]).select("text", F.col("doc_id").alias("low"), "asked")
     packed = cut(packed.mapInArrow(_packed, "key long, a long, b long, low long, hot boolean, packed binary"), "packed")
     least = packed.filter("not hot").repartition("key").sortWithinPartitions("key", "a", "b").mapInArrow(_sorted, "key long, a long, b long, least array<long>")
     if not hot.isEmpty():
@@ -180,7 +180,7 @@ def deduplicated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     spots = cut(repeated(docs, bucket), "spots")
     read = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = read.join(F.broadcast(spots) if is_small(spots) else spots, ["doc_id", "row"], "left").select("doc_id", "text", "spots")
+    joined = read.join(spots.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
