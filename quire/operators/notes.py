@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import similarity as sim
 from ..functions import text as t
 from . import match
 
@@ -112,12 +113,14 @@ def without_exact_repeats(notes: DataFrame) -> DataFrame:
 
 
 def same_text(pairs: DataFrame, a: str, b: str, fuzzy: bool = True) -> DataFrame:
-    """pairs with same: whether two texts are one note (equal when folded, or long and with a common run of nine tenths of the longer) and score, their similarity. Without fuzzy only equal texts are the same, and the score is 1 or 0."""
+    """pairs with same: whether two texts are one note (equal when folded, or long and with a common run of nine tenths of the longer) and score, their similarity if it is at least SIMILAR, else perhaps 0. Without fuzzy only equal texts are the same, and the score is 1 or 0."""
     x, y = t.folded(a), t.folded(b)
     if not fuzzy:
         same = (x == y) & (x != "")
         return pairs.withColumns({"same": same, "score": same.cast("double")})
-    rows = pairs.withColumns({"_x": x, "_y": y}).withColumn("_s", t.similarity("_x", "_y"))
+    rows = pairs.withColumns({"_x": x, "_y": y})
+    ratio, run = sim.ratio_bound(sim.char_counts(F.col("_x")), sim.char_counts(F.col("_y")), F.col("_x"), F.col("_y")), sim.run_bound(t.words("_x"), F.col("_y"))
+    rows = rows.withColumn("_s", sim.similarity(F.when(sim.may_reach(SIMILAR, ratio, run, F.col("_x"), F.col("_y")), F.col("_x")), "_y", SIMILAR))
     low, high = F.least(F.length("_x"), F.length("_y")), F.greatest(F.length("_x"), F.length("_y"))
     same = ((F.col("_x") == F.col("_y")) & (F.col("_x") != "")) | ((low >= SAME_CHARS) & (F.col("_s.run") >= SAME_RUN * high))
     return rows.withColumns({"same": same, "score": F.col("_s.score")}).drop("_x", "_y", "_s")
