@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import spans
 from ..functions import text as t
-from ..operators import blocks, checks, layout, match, migrate, notes
+from ..operators import attachment, blocks, checks, layout, match, migrate, notes
 from ..sources import annotation_files, snapshots, source_text, web
 from ..store import cut
 from . import tables as tab
@@ -399,6 +399,40 @@ def q_attach_notes(spark: SparkSession, d: str) -> DataFrame:
     return match.attached(asked.unionByName(named), made, olds, "part").select("doc_id", "quote_id", "target", "reason")
 
 
+#: The notes of two sources: all turns as a file has them, then as they were published, some with other endings, on the next paragraph, or where none is.
+_SOURCES = f"""sources AS (SELECT conv_id // 50 AS doc_id, conv_id * 100 + turn AS ord, 'file' AS origin, conv_id * 2 AS para, role AS author, text FROM conversations UNION ALL
+ SELECT conv_id // 50, 1000000000 + conv_id * 100 + turn, 'page', CASE turn % 3 WHEN 0 THEN conv_id * 2 ELSE conv_id * 2 + 1 END, role, CASE turn % 4 WHEN 1 THEN concat(text, ' and on') WHEN 2 THEN concat('See ', text) WHEN 3 THEN substr(text, 1, length(text) // 2) ELSE text END FROM conversations),
+ n AS MATERIALIZED (SELECT doc_id, ord, origin, author, text, {norm('text')} AS n, 'para-' || CAST(l.doc_id_ AS STRING) AS target FROM sources LEFT JOIN (SELECT DISTINCT doc_id AS doc_id_ FROM labels) l ON para = doc_id_),
+ c AS (SELECT doc_id, n, min(ord) AS since FROM n WHERE target IS NOT NULL AND length(n) > 40 GROUP BY ALL),
+ t AS (SELECT DISTINCT doc_id, n FROM n WHERE length(n) >= 60),
+ same AS MATERIALIZED (SELECT a.doc_id, a.n AS x, b.n AS y FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.n <> b.n AND length(a.n) <= length(b.n) AND 10 * length(a.n) >= 9 * length(b.n)
+  WHERE len(list_filter(range(1, length(a.n) - CAST(ceil(length(b.n) * 9 / 10) AS INTEGER) + 2), lambda i: contains(b.n, substr(a.n, i, CAST(ceil(length(b.n) * 9 / 10) AS INTEGER))))) > 0),
+ pairs AS MATERIALIZED (SELECT doc_id, x, y FROM same UNION SELECT doc_id, y, x FROM same),
+ r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY since) AS k FROM c),
+ near AS MATERIALIZED (SELECT a.doc_id, a.k, list(b.k) AS others FROM r a JOIN pairs p ON p.doc_id = a.doc_id AND p.x = a.n JOIN r b ON b.doc_id = a.doc_id AND b.n = p.y WHERE b.k < a.k GROUP BY ALL),
+ walk(doc_id, k, stay) AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM r UNION ALL
+  SELECT w.doc_id, w.k + 1, CASE WHEN list_has_any(w.stay, coalesce(e.others, [])) THEN w.stay ELSE list_append(w.stay, w.k + 1) END FROM walk w JOIN r ON r.doc_id = w.doc_id AND r.k = w.k + 1 LEFT JOIN near e ON e.doc_id = w.doc_id AND e.k = w.k + 1),
+ stays AS (SELECT DISTINCT doc_id, unnest(stay) AS k FROM walk),
+ until AS (SELECT a.doc_id, a.n, min(b.since) AS u FROM r a JOIN pairs p ON p.doc_id = a.doc_id AND p.x = a.n JOIN r b ON b.doc_id = a.doc_id AND b.n = p.y JOIN stays s ON s.doc_id = b.doc_id AND s.k = b.k GROUP BY ALL),
+ said AS (SELECT n.*, coalesce(n.ord > r.since OR n.ord >= u, false) AS said FROM n LEFT JOIN r ON r.doc_id = n.doc_id AND r.n = n.n LEFT JOIN until u ON u.doc_id = n.doc_id AND u.n = n.n WHERE target IS NOT NULL),
+ judged AS (SELECT *, CASE WHEN said OR row_number() OVER (PARTITION BY doc_id, target, author, text, said ORDER BY ord) > 1 THEN 'duplicate' ELSE 'attached' END AS outcome FROM said),
+ there AS (SELECT doc_id, n, min(ord) AS since FROM (SELECT doc_id, n, ord FROM judged WHERE outcome = 'attached' AND n <> '' UNION ALL SELECT p.doc_id, p.x, ord FROM judged j JOIN pairs p ON p.doc_id = j.doc_id AND p.y = j.n WHERE outcome = 'attached') GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_SOURCES} SELECT doc_id, ord, origin, target, outcome FROM judged UNION ALL
+SELECT n.doc_id, ord, origin, target, CASE WHEN since < ord THEN 'absorbed' ELSE 'unplaced' END FROM n LEFT JOIN there e ON e.doc_id = n.doc_id AND e.n = n.n WHERE target IS NULL""")
+def q_attach_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Notes of two sources, resolved by their ids; what came twice is attached once."""
+    turns = tab.table(spark, d, "conversations").withColumns({"doc_id": F.floor(F.col("conv_id") / 50), "ord": F.col("conv_id") * 100 + F.col("turn"), "para": F.col("conv_id") * 2, "author": F.col("role")})
+    again = F.when(F.col("turn") % 4 == 1, F.concat("text", F.lit(" and on"))).when(F.col("turn") % 4 == 2, F.concat(F.lit("See "), "text")).when(F.col("turn") % 4 == 3, F.expr("substr(text, 1, cast(length(text) / 2 as int))")).otherwise(F.col("text"))
+    page = turns.withColumns({"origin": F.lit("page"), "ord": F.col("ord") + 1_000_000_000, "para": F.col("para") + F.when(F.col("turn") % 3 == 0, 0).otherwise(1), "text": again})
+    rows = turns.withColumn("origin", F.lit("file")).unionByName(page).withColumn("quote_id", F.concat_ws("-", "origin", "ord")).withColumns({"para": F.concat(F.lit("para-"), "para"), "quote": F.lit("")})
+    convs = tab.table(spark, d, "labels").select(F.floor(F.col("doc_id") / 100).alias("doc_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("para-"), "doc_id").alias("id")).distinct().withColumns({"kind": F.lit("para"), "text": F.col("id")})
+    none = convs.select("doc_id", F.col("id").alias("old_id"), F.col("id").alias("key")).filter("false")
+    found = match.attached(rows.select("doc_id", "quote_id", "para", "quote", "text", "author", "origin", "ord"), convs, none)
+    return attachment.settled(found).select("doc_id", "ord", "origin", "target", "outcome")
+
+
 @query(f"""WITH d AS (SELECT source, doc_id, {norm('text')} AS n FROM documents) SELECT o.source AS doc_id, concat('para-', CAST(o.doc_id AS STRING)) AS old_id, concat('k', CAST(min(w.doc_id) AS STRING)) AS key
 FROM d o JOIN d w ON o.source = w.source AND o.n = w.n AND o.doc_id % 3 <> 0 AND w.doc_id % 3 <> 1 GROUP BY o.source, o.doc_id""")
 def q_alias_carry(spark: SparkSession, d: str) -> DataFrame:
