@@ -119,8 +119,8 @@ def same_text(pairs: DataFrame, a: str, b: str, fuzzy: bool = True) -> DataFrame
         same = (x == y) & (x != "")
         return pairs.withColumns({"same": same, "score": same.cast("double")})
     rows = pairs.withColumns({"_x": x, "_y": y})
-    ratio, run = sim.ratio_bound(sim.char_counts(F.col("_x")), sim.char_counts(F.col("_y")), F.col("_x"), F.col("_y")), sim.run_bound(t.words("_x"), F.col("_y"))
-    rows = rows.withColumn("_s", sim.similarity(F.when(sim.may_reach(SIMILAR, ratio, run, F.col("_x"), F.col("_y")), F.col("_x")), "_y", SIMILAR))
+    ratio, run = sim.ratio_bound(F.col("_x"), F.col("_y")), sim.run_bound(t.words("_x"), F.col("_y"))
+    rows = rows.withColumn("_s", sim.similarity(F.when(sim.may_reach(SIMILAR, ratio, run, F.col("_x"), F.col("_y")), F.col("_x")), "_y", SIMILAR, SAME_CHARS, SAME_RUN))
     low, high = F.least(F.length("_x"), F.length("_y")), F.greatest(F.length("_x"), F.length("_y"))
     same = ((F.col("_x") == F.col("_y")) & (F.col("_x") != "")) | ((low >= SAME_CHARS) & (F.col("_s.run") >= SAME_RUN * high))
     return rows.withColumns({"same": same, "score": F.col("_s.score")}).drop("_x", "_y", "_s")
