@@ -1,15 +1,12 @@
 """Blocks of a document: headings and paragraphs from lines, with keys made from their text.
 
-The assemblers are folds over a document's lines in order; each document is one group, and what a row needs that doesn't
-depend on the fold (markers, headings, boundaries) is computed by column expressions before it.
+The assemblers are folds over a document's lines in order. What a row needs that doesn't depend on the fold (markers, headings,
+boundaries) is computed by column expressions before it, and the fold itself runs over short stretches of a document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -75,63 +72,73 @@ def boundaries(lines: DataFrame) -> DataFrame:
     }).drop("left", "right")
 
 
-def starts_paragraph(prev, cur, after_marker: bool) -> bool:
-    """Whether a line begins a new paragraph after the one before it. The tests stand in order of precedence."""
-    if prev is None or prev.col != cur.col:
-        return True
-    if prev.page != cur.page:
-        return bool(prev.ends)
-    if abs(cur.size - prev.size) > max(0.6, 0.08 * cur.body) or (cur.bold and not prev.bold and cur.size >= cur.body):
-        return True
-    if cur.opens and not prev.stops:
-        return False
-    if cur.spacing and cur.spacing > 0 and cur.y0 - prev.y0 > 1.4 * cur.spacing and prev.stops:
-        return True
-    step = cur.indent - prev.indent
-    if not after_marker and step > 2:
-        return bool(prev.pauses if step <= max(24.0, 3 * cur.body) else prev.stops)
-    return bool(prev.lists and cur.recital)
-
-
-def _fold(rows: Iterator) -> Iterator[dict]:
-    """Lines of one document to its blocks; a block's lines are joined afterwards."""
-    held: dict | None = None
-    label, prev, after_marker, quotes = "", None, False, 0
-    for row in rows:
-        if row.bare:
-            if held:
-                yield held
-            held, label, prev, after_marker, quotes = None, row.mark["label"], row, True, 0
-            continue
-        quoted = held is not None and quotes > 0 and sum(map(len, held["lines"])) < QUOTE_LIMIT
-        new = bool(label) or held is None or held["kind"] == "heading" or (not quoted and (row.marked or row.structural or starts_paragraph(prev, row, after_marker)))
-        if not new:
-            held["lines"].append(row.text)
-            quotes += row.quotes
-        else:
-            if held:
-                yield held
-            if not label and row.level:
-                held, quotes = {"kind": "heading", "label": "", "level": int(row.level), "lines": [row.text.strip()]}, 0
-            else:
-                text = row.mark["rest"] if row.marked else row.text
-                held, quotes = {"kind": "para", "label": label or row.mark["label"], "level": 0, "lines": [text]}, row.quotes
-            label = ""
-        after_marker, prev = bool(row.marked), row
-    if held:
-        yield held
+def begins_paragraph(by: WindowSpec) -> Column:
+    """Whether a line (of boundaries()) begins a new paragraph after the one before it. The tests stand in order of precedence."""
+    before = lambda c: F.lag(c).over(by)
+    true = lambda c: F.coalesce(c, F.lit(False))
+    stopped, step = true(before("stops")), F.col("indent") - before("indent")
+    sized = F.abs(F.col("size") - before("size")) > F.greatest(F.lit(0.6), 0.08 * F.col("body"))
+    bolder = true(F.col("bold")) & ~true(before("bold")) & true(F.col("size") >= F.col("body"))
+    return (
+        F.when(before("page").isNull() | ~F.col("col").eqNullSafe(before("col")), True)
+        .when(F.col("page") != before("page"), true(before("ends")))
+        .when(true(sized) | bolder, True)
+        .when(F.col("opens") & ~stopped, False)
+        .when(true((F.col("spacing") > 0) & (F.col("y0") - before("y0") > 1.4 * F.col("spacing"))) & stopped, True)
+        .when(~true(before("bare") | before("marked")) & true(step > 2), F.when(step <= F.greatest(F.lit(24.0), 3 * F.col("body")), true(before("pauses"))).otherwise(stopped))
+        .otherwise(true(before("lists")) & F.col("recital"))
+    )
 
 
-def assembled(lines: DataFrame) -> DataFrame:
-    """lines as for boundaries() to blocks (doc_id, ord, kind, text, label, level, key, id, section)."""
-    known = lines.schema["doc_id"].dataType.simpleString()
-    asked = boundaries(lines)
+_BLOCK = "struct<kind:string,label:string,level:int,lines:array<string>>"
+
 
-    def fold(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        found = [{"doc_id": key[0], "ord": i, **b} for i, b in enumerate(_fold(x.sort_values(["page", "col", "idx"]).itertuples(index=False)), 1)]
-        return pd.DataFrame(found, columns=["doc_id", "ord", "kind", "label", "level", "lines"])
+def folded_lines(rows: Column) -> Column:
+    """Blocks of a stretch of lines, in order: what is new depends on what the block before it is, and on the quotation that it may have left open."""
 
-    raw = asked.groupBy("doc_id").applyInPandas(fold, f"doc_id {known}, ord int, kind string, label string, level int, lines array<string>")
+    def step(s: Column, r: Column) -> Column:
+        last = F.try_element_at(s["blocks"], F.lit(-1))
+        quoted = (s["quotes"] > 0) & (s["size"] < QUOTE_LIMIT)
+        new = r["hard"] | last.isNull() | (last["kind"] == "heading") | (~quoted & r["soft"])
+        text = F.when(~new, r["text"]).when(r["level"] > 0, t.strip(r["text"])).otherwise(r["first"])
+        head = new & (r["level"] > 0)
+        made = F.struct(F.when(head, "heading").otherwise("para").alias("kind"), F.when(head, "").otherwise(r["label"]).alias("label"), F.when(head, r["level"]).otherwise(0).cast("int").alias("level"), F.array(text).alias("lines"))
+        longer = F.struct(last["kind"].alias("kind"), last["label"].alias("label"), last["level"].alias("level"), F.concat(last["lines"], F.array(r["text"])).alias("lines"))
+        blocks = F.when(new, F.concat(s["blocks"], F.array(made))).otherwise(F.concat(F.slice(s["blocks"], F.lit(1), F.greatest(F.lit(0), F.size(s["blocks"]) - 1)), F.array(longer)))
+        return F.struct(
+            blocks.cast(f"array<{_BLOCK}>").alias("blocks"), F.when(head, 0).when(new, r["quotes"]).otherwise(s["quotes"] + r["quotes"]).cast("int").alias("quotes"),
+            (F.when(new, 0).otherwise(s["size"]) + F.length(text)).cast("int").alias("size"),
+        )
+
+    zero = F.struct(F.array().cast(f"array<{_BLOCK}>").alias("blocks"), F.lit(0).alias("quotes"), F.lit(0).alias("size"))
+    return F.aggregate(rows, zero, step, lambda s: s["blocks"])
+
+
+def assembled(lines: DataFrame) -> DataFrame:
+    """lines as for boundaries() to blocks (doc_id, ord, kind, text, label, level, key, id, section).
+
+    A line's boundary depends on the line before it, which windows show, and on the state of the block it would join: whether
+    that is a heading, and whether a quotation is open in its last QUOTE_LIMIT characters. Lines that begin a block whatever
+    the state are known beforehand: those after a bare marker, and those with a boundary before which no quotation was opened
+    for so many characters. They cut a document into short stretches, which are folded each by itself.
+    """
+    by = Window.partitionBy("doc_id").orderBy("page", "col", "idx")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    asked = boundaries(lines)
+    rows = asked.withColumns({"hard": F.lag("page").over(by).isNull() | F.coalesce(F.lag("bare").over(by), F.lit(False)), "soft": F.col("marked") | F.col("structural") | begins_paragraph(by), "pending": F.when(F.lag("bare").over(by), F.lag("mark").over(by)["label"])})
+    pending = F.coalesce("pending", F.lit("")) != ""
+    rows = rows.filter(~F.col("bare")).select(
+        "doc_id", "page", "col", "idx", (F.col("hard") | pending).alias("hard"), "soft", F.col("quotes").cast("int").alias("quotes"), "text", F.when(pending, 0).otherwise(F.col("level")).alias("level"),
+        F.when(pending, F.col("pending")).otherwise(F.col("mark.label")).alias("label"), F.when(F.col("marked"), F.col("mark.rest")).otherwise(F.col("text")).alias("first"),
+    )
+    least = F.least(F.length("first"), F.length(t.strip("text")))  # what the line adds to its block's length at least
+    rows = rows.withColumn("_sum", F.sum(least).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", least)
+    opened = F.max(F.when(F.col("quotes") > 0, F.col("_sum"))).over(before)
+    free = opened.isNull() | (opened <= F.col("_sum") - F.col("_n") - QUOTE_LIMIT)
+    rows = rows.withColumn("_cut", F.col("hard") | (F.col("soft") & free)).withColumn("_stretch", F.sum(F.col("_cut").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    held = F.struct("page", "col", "idx", "hard", "soft", "quotes", "text", "level", "label", "first")
+    found = rows.groupBy("doc_id", "_stretch").agg(F.array_sort(F.collect_list(held)).alias("rows")).select("doc_id", "_stretch", F.posexplode(folded_lines(F.col("rows"))).alias("_k", "b"))
+    raw = found.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("_stretch", "_k")).alias("ord"), "b.*")
     whole = raw.join(layout.compounds(lines), "doc_id", "left")
     text = t.joined_lines(F.col("lines"), F.coalesce("compounds", F.array().cast("array<string>")))
     blocks = whole.select("doc_id", "ord", "kind", text.alias("text"), "label", "level").filter((F.col("kind") == "heading") | F.col("text").rlike(r"[\p{L}\p{N}]"))
