@@ -302,6 +302,30 @@ def q_notes_js_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return annotation_files.from_notes_js(annotation_files.render_notes_js(tab.notes_by_paragraph(spark, d))).select("para", "text", "author")
 
 
+@query(rf"WITH {_NOTES} SELECT para, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, author FROM notes WHERE trim(text) <> ''")
+def q_notes_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of several lines, with quotation marks, through tables and back."""
+    return annotation_files.from_csv(annotation_files.render_csv(tab.notes_by_paragraph(spark, d))).select("para", "text", "author")
+
+
+def _damaged_files(spark: SparkSession, d: str) -> DataFrame:
+    """Notes files, a third of them under another name than window.NOTES, a third of those cut short and the rest without braces."""
+    made = annotation_files.render_notes_js(tab.notes_by_paragraph(spark, d))
+    other = F.replace("text", F.lit("window.NOTES ="), F.lit("export default"))
+    text = F.when(F.col("doc_id") % 4 == 1, other).when(F.col("doc_id") % 4 == 2, F.replace(other, F.lit("["), F.lit("[[,"))).when(F.col("doc_id") % 4 == 3, F.translate(other, "{}", "")).otherwise(F.col("text"))
+    return made.select("doc_id", text.alias("text"))
+
+
+@query(rf"WITH {_NOTES} SELECT para, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, author FROM notes WHERE trim(text) <> '' AND para_ord % 4 < 2")
+def q_notes_lenient(spark: SparkSession, d: str) -> DataFrame:
+    return annotation_files.from_notes_lenient(_damaged_files(spark, d)).select("para", "text", "author")
+
+
+@query("SELECT DISTINCT conv_id AS doc_id, CASE conv_id % 4 WHEN 2 THEN 'could not be read as JSON' ELSE 'does not look like a notes file' END AS error FROM conversations WHERE conv_id % 4 > 1")
+def q_notes_errors(spark: SparkSession, d: str) -> DataFrame:
+    return annotation_files.notes_errors(_damaged_files(spark, d))
+
+
 @query(rf"WITH {_NOTES} SELECT para, trim(regexp_replace(text, '\s*\n\s*', ' ', 'g')) AS text, author FROM notes WHERE trim(text) <> ''")
 def q_notes_text_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return annotation_files.from_text(annotation_files.render_text(tab.notes_by_paragraph(spark, d))).select("para", "text", "author")

@@ -77,19 +77,68 @@ def from_notes_js(docs: DataFrame) -> DataFrame:
     return first.unionByName(_shaped(args.select("doc_id", (F.col("_i") + F.coalesce("_from", F.lit(0))).alias("ord"), entry.alias("entry"))))
 
 
+def from_notes_lenient(docs: DataFrame) -> DataFrame:
+    """Notes files as far as they can be read: as from_notes_js(), and of files that it finds no notes in, what stands between the first and the last brace.
+
+    That is read as JSON, paragraph ids to a note or a list of notes; entries that are no objects or have no text are left out.
+    A null text (a file that isn't there) has no notes. notes_errors() tells the files of which nothing can be read.
+    """
+    strict, lost = _parted(docs)
+    entries = F.map_entries(F.expr("try_variant_get(body, '$', 'map<string,variant>')"))
+    pairs = lost.select("doc_id", F.posexplode(entries).alias("_i", "x")).select("doc_id", "_i", F.col("x.key").alias("para"), F.col("x.value").alias("v"))
+    listed = pairs.withColumn("list", F.when(F.expr("schema_of_variant(v) like 'ARRAY%'"), F.expr("try_variant_get(v, '$', 'array<variant>')")).otherwise(F.array("v")))
+    notes = listed.select("doc_id", "_i", "para", F.posexplode("list").alias("_j", "note")).filter(F.expr("schema_of_variant(note) like 'OBJECT%'"))
+    field = lambda n: F.coalesce(F.expr(f"try_variant_get(note, '$.{n}', 'string')"), F.lit(""))
+    entry = F.create_map(F.lit("para"), F.col("para"), *[x for n in ("author", "title", "text", "source") for x in (F.lit(n), field(n))])
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("_i", "_j")) - 1
+    return from_notes_js(strict).unionByName(_shaped(notes.select("doc_id", number.alias("ord"), entry.alias("entry")), names=JSON_NAMES))
+
+
+def notes_errors(docs: DataFrame) -> DataFrame:
+    """(doc_id, error) of notes files of which from_notes_lenient() can read nothing."""
+    _, lost = _parted(docs)
+    error = F.when(F.col("json") == "", "does not look like a notes file").when(F.col("body").isNull(), "could not be read as JSON").when(~F.expr("schema_of_variant(body) like 'OBJECT%'"), "not a map of paragraph ids to notes")
+    return lost.select("doc_id", error.alias("error")).filter("error is not null")
+
+
+def _parted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs that from_notes_js() can read, and the others with json, from the first to the last brace, and body, the same parsed."""
+    there = docs.filter("text is not null")
+    mapped = F.from_json(F.regexp_extract("text", r"(?s)window\.NOTES\s*=\s*(\{.*)", 1), "map<string,array<map<string,string>>>")
+    rows = there.withColumn("_strict", F.coalesce(F.size(mapped) >= 0, F.lit(False)) & mapped.isNotNull() | F.col("text").rlike(r"\baddNote\s*\(\s*\""))
+    json = F.regexp_extract("text", r"(?s)(\{.*\})", 1)
+    lost = rows.filter(~F.col("_strict")).select("doc_id", json.alias("json"))
+    plain = F.regexp_replace("json", r"[\x00-\x1F]+", " ")  # for strings with raw line breaks
+    return rows.filter("_strict").drop("_strict"), lost.withColumn("body", F.coalesce(F.try_parse_json("json"), F.try_parse_json(plain)))
+
+
 def from_csv(docs: DataFrame, separator: str = ",") -> DataFrame:
-    """Rows under a header line; para counts only where there is no quote. Cells may be quoted, not broken over lines."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "^\ufeff", ""), r"\r?\n")).alias("ord", "line"))
-    cell = rf'(?:^|{re.escape(separator)})(?:"((?:[^"]*+(?:"")?+)*+)"|([^"{re.escape(separator)}]*+))'
+    """Rows under a header line; para counts only where there is no quote. Quoted cells may hold separators, line breaks and doubled quotes."""
+    sep = re.escape(separator)
+    quoted = '"[^"]*+(?:""[^"]*+)*+"'
+    any_cell = rf'(?:{quoted}[^{sep}\r\n]*+|(?!")[^{sep}\r\n]*+)'
+    record = rf"{any_cell}(?:{sep}{any_cell})*+(?:\r?\n|\r|\z)"
+    text = F.regexp_replace("text", "^\ufeff", "")
+    lines = docs.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(record), F.lit(0))).alias("ord", "line")).withColumn("line", F.regexp_replace("line", r"[\r\n]+\z", "")).filter("line <> ''")
+    cell = rf'(?:^|{sep})(?:"([^"]*+(?:""[^"]*+)*+)"[^{sep}]*+|([^{sep}]*+))'
     cells = F.zip_with(F.regexp_extract_all("line", F.lit(cell), F.lit(1)), F.regexp_extract_all("line", F.lit(cell), F.lit(2)), lambda a, b: F.when(a != "", F.replace(a, F.lit('""'), F.lit('"'))).otherwise(b))
-    rows = lines.filter("line <> ''").withColumn("cells", cells)
-    head = rows.filter("ord = 0").select("doc_id", F.transform("cells", lambda c: F.lower(t.strip(c))).alias("names"))
-    both = rows.filter("ord > 0").join(head, "doc_id")
+    rows = lines.withColumn("cells", cells)
+    heads = rows.groupBy("doc_id").agg(F.min_by("cells", "ord").alias("names"), F.min("ord").alias("_head"))
+    both = rows.join(heads.select("doc_id", "_head", F.transform("names", lambda c: F.lower(t.strip(c))).alias("names")), "doc_id").filter(F.col("ord") > F.col("_head"))
     n = F.least(F.size("names"), F.size("cells"))
     out = _shaped(both.select("doc_id", "ord", F.map_from_arrays(F.slice("names", F.lit(1), n), F.slice("cells", F.lit(1), n)).alias("entry")))
     return out.withColumn("para", F.when(F.col("quote") != "", "").otherwise(F.col("para")))
 
 
+def render_csv(notes: DataFrame, separator: str = ",") -> DataFrame:
+    """(doc_id, text): notes (doc_id, para, para_ord, idx and fields) in order, under the header id, comment_author, comment_title, comment_text, comment_source; all cells quoted."""
+    cell = lambda c: F.concat(F.lit('"'), F.replace(t.plain(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(separator, *[cell(c) for c in ("para", "author", "title", "text", "source")])
+    head = separator.join(("id", "comment_author", "comment_title", "comment_text", "comment_source"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_ord", "idx", line.alias("l")))), lambda x: x["l"]), "\r\n")
+    return notes.groupBy("doc_id").agg(F.concat(F.lit(head + "\r\n"), rows, F.lit("\r\n")).alias("text"))
+
+
 def _blocks(text: str) -> Iterator[dict]:
     note: dict | None = None
     fence: list[str] | None = None

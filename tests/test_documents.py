@@ -315,3 +315,31 @@ def test_contained_against_brute_force(spark):
     large = [(i % 2, i, " ".join(word() for _ in range(r.randint(1, 12)))) for i in range(80)] + [(0, 999, "x" * 50_000 + " ab"), (1, 998, "")]
     found = match.contained(spark.createDataFrame(small, "doc_id int, q int, norm string"), spark.createDataFrame(large, "doc_id int, id int, norm2 string"), ["q"], ["id"])
     assert sorted((x.doc_id, x.q, x.id) for x in found.collect()) == sorted((d, q, i) for d, q, n in small for e, i, m in large if d == e and n in m)
+
+
+def test_csv_cells_over_several_lines(spark):
+    import csv
+    import io
+
+    cells = [["p1", "A", 'one\ntwo "quoted",\r\nthree'], ["p2", "", "plain"], ["p3", "B, C", '""'], ["p4", "x", "  "], ["p5", 'say "x"', "tab\there;\n\n\nend"], ["p6", "", 'word ' * 20_000 + '"' * 500]]
+    for separator in ",\t;":
+        out = io.StringIO()
+        csv.writer(out, delimiter=separator).writerows([["\ufeffID", "Comment_Author", "Comment_Text"], *cells, [], ["p7", "short"]])
+        text = "\n" * (separator == ";") + out.getvalue().replace("\ufeff", "")
+        docs = spark.createDataFrame([("d", ("\ufeff" if separator == "," else "") + text), ("e", ""), ("f", "id,text")], "doc_id string, text string")
+        found = {r["para"]: (r["author"], r["text"]) for r in annotation_files.from_csv(docs, separator).collect()}
+        assert found == {p: (a.strip(), x.strip()) for p, a, x in cells if x.strip()}
+    bare = spark.createDataFrame([("d", 'id,text\np,5" pipe\nq,a "b" c\n')], "doc_id string, text string")
+    assert {r["para"]: r["text"] for r in annotation_files.from_csv(bare).collect()} == {"p": '5" pipe', "q": 'a "b" c'}
+
+
+def test_lenient_notes_files(spark):
+    files = {
+        "strict": 'window.NOTES = {"p": [{"author": "A", "text": "one"}]};', "calls": 'addNote("p", "A", "one", "", "");', "renamed": 'let n = {"p": [{"text": " one ", "author": "A"}, {"text": " "}, 7], "q": {"text": "two"}, "r": "no"};',
+        "raw": 'x = {"p": [{"text": "one\nline"}]}', "list": "x = [1]", "broken": 'x = {"p": [{"text": }', "inner": 'x = {"p": [{,}]}', "gone": None, "empty": "",
+    }
+    docs = spark.createDataFrame(list(files.items()), "doc_id string, text string")
+    found = sorted((r["doc_id"], r["ord"], r["para"], r["author"], r["text"]) for r in annotation_files.from_notes_lenient(docs).collect())
+    assert found == [("calls", 0, "p", "A", "one"), ("raw", 0, "p", "", "one line"), ("renamed", 0, "p", "A", "one"), ("renamed", 2, "q", "", "two"), ("strict", 0, "p", "A", "one")]
+    errors = {r["doc_id"]: r["error"] for r in annotation_files.notes_errors(docs).collect()}
+    assert errors == {"list": "does not look like a notes file", "broken": "could not be read as JSON", "inner": "could not be read as JSON", "empty": "does not look like a notes file"}
