@@ -4,7 +4,10 @@ A page is read once by the standard library's streaming parser. Its visible text
 each block is a line, whose ratio is its characters outside links for each tag in it. Ratios are smoothed over neighbouring
 lines, and runs of lines above a share of their standard deviation are the content clusters. What the clusters' characters
 lie in is the content region: article elements if they hold most of them, else the innermost section that does; in a
-section, the text runs from the first to the last cluster, and on through content lines right around it. Elements hold a number, their parent's and a weight, which is
+section, the text runs from the first to the last cluster, and on through content lines right around it; short lines beside a
+cluster, in the same element, belong to it. An element whose names may or may not mean that it isn't the article, and an aside
+of one longer block or a menu within an article, goes only if something else speaks against it too: mostly links, form controls, repeated children of
+one kind, or a place before the first or after the last cluster. Elements hold a number, their parent's and a weight, which is
 summed up the tree once, so that memory and time grow with the page and not with its depth.
 """
 
@@ -22,6 +25,10 @@ from pyspark.sql import functions as F
 
 #: Width of the smoothing, in lines; share of the deviation above which a line is content.
 SIGMA, THRESHOLD = 1.0, 0.5
+#: Children of one kind by which an element is a list of entries.
+REPEATED = 2
+#: Characters of a single block that make an aside within an article a quotation from it, not a sidebar.
+QUOTE = 30
 #: Share of the content's characters that article elements must hold to be the region, and that a section must; the least article beside a larger one; share of link text that makes a line a list of links.
 EXPLICIT, SECTION, BESIDE, LINKS = 0.5, 0.75, 0.25, 0.6
 # Fixed values of HTML: elements by what they do to the text around or in them.
@@ -30,26 +37,28 @@ ASIDE = frozenset(("nav", "footer", "aside", "form", "dialog", "menu"))
 CONTAINERS = frozenset(("body", "main", "article", "section", "div", "header", "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "figure", "details", "fieldset", "blockquote", "center"))
 SECTIONS = frozenset(("body", "main", "article", "section", "div", "td", "center"))
 BREAKS = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "caption", "figcaption", "pre", "address", "hr", "summary", "legend", "title"))
+CONTROLS = frozenset(("form", "input", "textarea", "select", "button"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
-#: Words for what is not the article, and words that say only where or how it stands. A class, id or role marks an element if all its words are among these, one of the first at least.
+#: Words for what is not the article, words that may also stand for a part of it, and words that say only where or how it stands. A class, id or role marks an element if all its words are among these, one of the first (or second) at least.
 NOT_CONTENT = frozenset((
-    "ad", "ads", "advert", "adverts", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay",
-    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "topbar", "masthead", "sidebar", "sidebars", "aside", "widget", "related", "recommended", "footer", "share", "sharing", "social",
-    "subscribe", "newsletter", "signup", "login", "search", "comment", "comments", "disqus", "respond", "replies", "pagination", "pager", "skip", "toolbar", "complementary", "contentinfo",
+    "ad", "ads", "advert", "adverts", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay",
+    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "topbar", "masthead", "sidebar", "sidebars", "widget", "footer", "share", "sharing", "social",
+    "subscribe", "newsletter", "signup", "login", "comment", "comments", "commentlist", "disqus", "respond", "replies", "pagination", "pager", "skip", "toolbar", "complementary", "contentinfo",
 ))
+DOUBTFUL = frozenset(("notice", "notices", "alert", "aside", "related", "recommended", "search", "discussion", "discussions", "thread", "threads", "reviews", "responses"))
 NEUTRAL = frozenset((
     "site", "page", "main", "global", "top", "bottom", "left", "right", "header", "head", "container", "wrapper", "wrap", "box", "block", "area", "section", "list", "links", "link", "bar", "buttons", "button", "inner", "outer",
-    "primary", "secondary", "item", "items", "panel", "banner", "slot", "unit", "text", "form", "body", "row", "col", "reader", "user", "and", "the", "js",
+    "primary", "secondary", "item", "items", "panel", "banner", "slot", "unit", "text", "form", "body", "row", "col", "reader", "user", "and", "the", "js", "thread", "threads",
 ))
 ARTICLE_HINTS = frozenset(("articlebody", "article-body", "post-content", "entry-content", "post-body", "main-content", "article-content", "main"))
-_WORDS, _MARKED = re.compile(r"[a-z]+"), re.compile(r"<!\[[^>]*(?:>|$)")
+_WORDS, _SIZES, _MARKED = re.compile(r"[a-z]+"), re.compile(r"[0-9]+x[0-9]+"), re.compile(r"<!\[[^>]*(?:>|$)")
 
 
-def is_marked(names: str) -> bool:
-    """Whether one of the names, in lower case, says that the element isn't the article."""
+def is_marked(names: str, by: frozenset[str] = NOT_CONTENT) -> bool:
+    """Whether one of the names, in lower case, says (or, by DOUBTFUL, may say) that the element isn't the article."""
     for name in names.split():
-        words = set(_WORDS.findall(name))
-        if words and words <= NOT_CONTENT | NEUTRAL and not words.isdisjoint(NOT_CONTENT):
+        words = set(_WORDS.findall(_SIZES.sub("", name)))
+        if words and words <= NOT_CONTENT | DOUBTFUL | NEUTRAL and not words.isdisjoint(by):
             return True
     return False
 
@@ -64,6 +73,8 @@ class _Events(HTMLParser):
         self.stack: list[tuple[str, int, bool]] = []  # tag, number, whether its text is skipped
         self.open: Counter[str] = Counter()
         self.explicit: set[int] = set()
+        self.doubtful: set[int] = set()
+        self.controls: list[int] = []  # the elements around form controls
         self.skipped = self.tags = self.links = self.in_link = 0
         self.parts: list[str] = []
 
@@ -96,6 +107,10 @@ class _Events(HTMLParser):
         marks = " ".join(filter(None, (named.get(k) for k in ("class", "id", "role")))).lower()
         in_article = self.open["article"] + self.open["main"] > 0
         marked = bool(marks) and tag not in ("html", "body", "main") and not (tag == "article" and "comment" not in marks) and is_marked(marks)
+        within = in_article and tag in ("aside", "menu") and not marked
+        doubtful = within or not marked and bool(marks) and tag not in ("html", "body", "main", "article") and is_marked(marks, DOUBTFUL)
+        if tag in CONTROLS:
+            self.controls.append(self.stack[-1][1] if self.stack else 0)
         block = tag in ASIDE or tag in CONTAINERS
         if block or tag in BREAKS:
             self.end_block()
@@ -104,10 +119,12 @@ class _Events(HTMLParser):
         if tag in ("article", "main", "body"):  # whatever was left open before it isn't around it
             while self.stack and self.stack[-1][2]:
                 self.pop()
-        if tag in HIDDEN or block or (marked or "hidden" in named) and tag not in VOID:
-            element = self.push(tag, tag in HIDDEN or tag in ASIDE or (tag == "header" and not in_article) or "hidden" in named or marked)
+        if tag in HIDDEN or block or (marked or doubtful or "hidden" in named) and tag not in VOID:
+            element = self.push(tag, tag in HIDDEN or (tag in ASIDE and not within) or (tag == "header" and not in_article) or "hidden" in named or marked)
             if tag in ("article", "main") or not ARTICLE_HINTS.isdisjoint(marks.split()) or (named.get("itemprop") or "").lower() == "articlebody":
                 self.explicit.add(element)
+            if doubtful:
+                self.doubtful.add(element)
         elif tag == "a":
             self.in_link = 1
         self.tags += 1
@@ -195,20 +212,62 @@ def main_text(html: str | None) -> str:
         return ""
     chars = np.array([len(text) for text, *_ in blocks], float)
     links = np.array([min(n, len(text)) for text, _, n, _ in blocks], float)
+    at = np.array([x[3] for x in blocks])
     ratio = smoothed((chars - links) / np.array([max(1, tags) for _, tags, *_ in blocks]))
-    content = (ratio >= THRESHOLD * ratio.std()) & (links < LINKS * chars)
-    inside, around = region_of(events.tag, events.parent, events.explicit, [x[3] for x in blocks], np.where(content, chars - links, 0.0))
+    linked = links >= LINKS * chars
+    linked[1:-1] &= linked[:-2] | linked[2:] | (at[1:-1] != at[:-2]) | (at[1:-1] != at[2:])  # a single one between lines of text is one of them
+    content = (ratio >= THRESHOLD * min(ratio.std(), np.median(ratio[ratio > 0], axis=0) if (ratio > 0).any() else 0.0)) & ~linked
+    gone = dropped(events, at, chars, links, content)
+    weight = np.where(content & ~gone, chars - links, 0.0)
+    inside, around = region_of(events.tag, events.parent, events.explicit, at.tolist(), weight)
     if around is None:
-        return "\n\n".join(text for (text, *_), ok in zip(blocks, inside.tolist(), strict=True) if ok)
+        return "\n\n".join(text for (text, *_), ok in zip(blocks, (inside & ~gone).tolist(), strict=True) if ok)
+    inside, around = inside & ~gone, around & ~gone
     clusters = np.flatnonzero(content & inside)
     if not len(clusters):
         return ""
+    content |= np.isin(at, np.unique(at[clusters])) & ~linked & ~gone  # beside a cluster
+    clusters = np.flatnonzero(content & inside)
     first, last = int(clusters[0]), int(clusters[-1])
     while first and content[first - 1] and around[first - 1]:
         first -= 1
     while last + 1 < len(blocks) and content[last + 1] and around[last + 1]:
         last += 1
-    return "\n\n".join(blocks[i][0] for i in range(first, last + 1) if (inside[i] or around[i]) and links[i] < LINKS * chars[i])
+    return "\n\n".join(blocks[i][0] for i in range(first, last + 1) if (inside[i] or around[i]) and not linked[i])
+
+
+def dropped(events: _Events, at: np.ndarray, chars: np.ndarray, links: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which lines stand in a doubtful element that something else speaks against too."""
+    none = np.zeros(len(at), bool)
+    if not events.doubtful:
+        return none
+    n, parent = len(events.tag), events.parent
+    text, linked, controls, first, last, doubted = np.zeros(n), np.zeros(n), np.zeros(n), np.full(n, len(at)), np.full(n, -1), np.zeros(n, bool)
+    np.add.at(text, at, chars)
+    np.add.at(linked, at, links)
+    np.add.at(controls, events.controls, 1)
+    np.minimum.at(first, at, np.arange(len(at)))
+    np.maximum.at(last, at, np.arange(len(at)))
+    for x in range(n - 1, 0, -1):  # elements come after those around them
+        text[parent[x]], linked[parent[x]], controls[parent[x]] = text[parent[x]] + text[x], linked[parent[x]] + linked[x], controls[parent[x]] + controls[x]
+        first[parent[x]], last[parent[x]] = min(first[parent[x]], first[x]), max(last[parent[x]], last[x])
+    children: dict[int, Counter[str]] = {x: Counter() for x in events.doubtful}
+    held = dict.fromkeys(events.doubtful, 0.0)
+    for x in range(1, n):
+        doubted[x] = x in events.doubtful or doubted[parent[x]]
+        if parent[x] in children and text[x]:
+            children[parent[x]][events.tag[x]] += 1
+            held[parent[x]] += text[x]
+    sure = np.flatnonzero(content & ~doubted[at])
+    out = np.zeros(n, bool)
+    for x in range(1, n):
+        if x in events.doubtful:
+            outside = not len(sure) or last[x] < sure[0] or first[x] > sure[-1]
+            repeated = max(children[x].values(), default=0) >= REPEATED and held[x] >= SECTION * text[x]
+            quote = last[x] == first[x] and text[x] >= QUOTE
+            out[x] = outside or controls[x] > 0 or repeated or linked[x] >= 0.5 * text[x] or events.tag[x] == "aside" and not quote
+        out[x] = out[x] or out[parent[x]]
+    return out[at]
 
 
 def extracted(pages: DataFrame) -> DataFrame:

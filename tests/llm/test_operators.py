@@ -139,6 +139,51 @@ def test_html_regions():
         assert html.main_text(page) == text, page
 
 
+LONG_BLOCK = "This long paragraph goes on and on with many words about the matter at hand. " * 50
+
+
+def test_html_short_blocks_beside_long_ones():
+    short = lambda a, n: [f"{a} short line {i}." for i in range(n)]
+    page = lambda *parts: "<html><body>" + "".join(f"<p>{x}</p>" for x in parts) + "</body></html>"
+    whole = [*short("a", 12), LONG_BLOCK.strip(), *short("b", 12)]
+    assert html.main_text(page(*whole)) == "\n\n".join(whole)
+    assert html.main_text(page(*["Hi there."] * 20, LONG_BLOCK).replace("<body>", "<body><h1>T</h1>")) == "\n\n".join(["T", *["Hi there."] * 20, LONG_BLOCK.strip()])
+    linked = f"<body><p>{LONG_BLOCK}</p><a href=x><p>A paragraph in a link between two others.</p></a><p>{LONG_BLOCK}</p><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul></body>"
+    assert html.main_text(linked) == "\n\n".join([LONG_BLOCK.strip(), "A paragraph in a link between two others.", LONG_BLOCK.strip()])
+
+
+@pytest.mark.parametrize("part, kept", [
+    ('<section class="search"><p>We searched PubMed for trials of the drug.</p></section>', True), ('<section class="related"><h2>Related work</h2><p>It was done by others.</p></section>', True),
+    ('<div class="notice"><p>The parties gave notice of the terms in May.</p></div>', True), ("<menu><li>First item of the content</li></menu>", True), ("<aside><p>A quotation from the article stands here in the middle.</p></aside>", True),
+    ('<div class="comment-thread"><div><b>Ann</b><p>Nice post, thanks!</p></div><div><b>Bob</b><p>I disagree.</p></div></div>', False), ('<section id="discussion"><div><b>Ann</b> <p>Nice!</p></div><div><b>Bob</b> <p>Me too.</p></div></section>', False),
+    ('<ol class="commentlist"><li>Great!</li><li>Thanks for it</li></ol>', False), ('<div class="ad-slot-300x250"><p>Buy now the best shoes</p></div>', False), ('<div class="related"><a href=a>Other story of the day</a> <a href=b>And one more of them</a></div>', False),
+    ('<div class="search"><input name=q><p>Type what you look for here.</p></div>', False), ("<aside><h4>See also</h4><p>Something else to read in another place.</p></aside>", False), ("<menu><li><a href=a>Home page</a></li></menu>", False),
+])
+def test_html_doubtful_elements(part, kept):
+    """Within an article a name alone decides nothing that it may not mean; of what is kept, all."""
+    inner = [" ".join(re.sub("<[^>]+>", "", x).split()) for x in re.split("</(?:p|li|h2|h4|b)>", part)]
+    for page in ("<body><article><h1>T</h1><p>{0}</p>{1}<p>{0}</p></article></body>", "<body><nav><a href=x>n</a></nav><article><p>{0}</p>{1}<p>{0}</p></article></body>"):
+        found = html.main_text(page.format(LONG_BLOCK, part)).split("\n\n")
+        assert [x for x in found if x not in ("T", LONG_BLOCK.strip())] == ([x for x in inner if x] if kept else [])
+    outside = html.main_text(f"<body><article><p>{LONG_BLOCK}</p></article>{part}</body>")
+    assert outside == LONG_BLOCK.strip()
+
+
+def test_html_known_pages():
+    """Pages without article elements, made of known blocks and known surroundings."""
+    random = np.random.default_rng(5)
+    words = "the of and court state party shall provision article law right under case order".split()
+    text = lambda n: (" ".join(random.choice(words, n)) + ".").capitalize()
+    for k in range(30):
+        blocks = [text(int(random.choice([4, 8, 25, 60, 200]))) for _ in range(int(random.integers(4, 25)))]
+        blocks[len(blocks) // 2] = text(120)
+        body = "".join(f"<{t}>{x}</{t}>" for x in blocks for t in [random.choice(["p", "p", "p", "h2"])])
+        links = "".join(f'<li><a href="/{i}">{text(2)}</a></li>' for i in range(6))
+        around = (f"<nav><ul>{links}</ul></nav><div class='ad'>{text(9)}</div>", f"<div class='comments'><div><p>{text(12)}</p></div><div><p>{text(9)}</p></div></div><footer>&copy; {text(5)}</footer>")
+        page = f"<html><head><title>x</title></head><body>{around[0]}<div id='c{k}'>{body}</div>{around[1]}</body></html>"
+        assert html.main_text(page) == "\n\n".join(blocks), page
+
+
 def test_html_deep():
     page = "<div>x" * 100_000
     began = time.time()
