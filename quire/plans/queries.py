@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import spans
 from ..functions import text as t
-from ..operators import attachment, blocks, checks, layout, match, migrate, notes
+from ..operators import attachment, blocks, checks, layout, match, migrate, notes, rulings
 from ..sources import annotation_files, snapshots, source_text, web
 from ..store import cut
 from . import tables as tab
@@ -260,6 +260,29 @@ def q_reading_order(spark: SparkSession, d: str) -> DataFrame:
     return layout.reading_order(pairs, ["doc_id", "page"]).select("doc_id", "page", "idx", "ord")
 
 
+#: Lines as numbered paragraphs, in runs of forty that begin at 1, every seventh a heading; some end in pages.
+_NUMBERED = rf"""{_LINES}, r AS (SELECT doc_id, idx, CASE idx % 7 WHEN 3 THEN 'heading' ELSE 'para' END AS kind, concat(CAST(CASE WHEN idx % 11 = 5 THEN 7 ELSE idx % 40 - (idx % 40 + 3) // 7 + 1 END AS STRING), '.') AS label, CASE idx % 9 WHEN 0 THEN concat(text, ' 12-14') ELSE text END AS text FROM lines),
+ p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k, CAST(regexp_replace(label, '[^0-9]', '', 'g') AS BIGINT) AS n, length(text) AS size, CASE WHEN regexp_matches(trim(text), '\b[0-9]{{1,4}}\s*-\s*[0-9]{{1,4}}$') THEN 1 ELSE 0 END AS pages FROM r WHERE kind = 'para'),
+ c AS (SELECT a.doc_id, a.idx, count(*) FILTER (b.n = b.k - a.k + 1) AS run, avg(b.size) AS size, sum(b.pages) AS pages FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 24 WHERE a.label = '1.' GROUP BY ALL),
+ best AS (SELECT doc_id, idx FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY run DESC, size DESC, pages, idx) = 1)"""
+
+
+@query(rf"WITH {_NUMBERED} SELECT r.doc_id, CAST(coalesce(any_value(best.idx), min(r.idx)) AS BIGINT) AS ord FROM r LEFT JOIN best ON r.doc_id = best.doc_id GROUP BY r.doc_id")
+def q_numbered_body(spark: SparkSession, d: str) -> DataFrame:
+    """Where the body of numbered paragraphs begins."""
+    place = F.col("idx") % 40
+    rows = tab.lines(spark, d).withColumns({"row_type": F.when(F.col("idx") % 7 == 3, "heading").otherwise("para"), "n": F.when(F.col("idx") % 11 == 5, 7).otherwise(place - F.floor((place + 3) / 7) + 1)})
+    rows = rows.select("doc_id", F.col("idx").cast("long").alias("ord"), "row_type", F.concat(F.col("n").cast("string"), F.lit(".")).alias("label"), F.when(F.col("idx") % 9 == 0, F.concat("text", F.lit(" 12-14"))).otherwise(F.col("text")).alias("text"))
+    return rulings.body_begin(rows)
+
+
+@query()
+def q_numbered_lead(spark: SparkSession, d: str) -> DataFrame:
+    """The formula before the first numbered paragraph, which each document's twentieth line is made."""
+    text = F.when(F.col("idx") == 20, F.concat(F.lit("1. "), "text")).when(F.col("idx") % 6 == 2, F.concat(F.lit("Having regard to "), "text")).when(F.col("idx") % 6 == 5, "Makes the following Order:").otherwise(F.col("text"))
+    return rulings.lead_in(tab.lines(spark, d).select("doc_id", "idx", text.alias("text"))).select("doc_id", F.array_join("lead", "\n").alias("lead"))
+
+
 # Blocks and sources.
 
 
@@ -302,6 +325,16 @@ def q_notes_js_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return annotation_files.from_notes_js(annotation_files.render_notes_js(tab.notes_by_paragraph(spark, d))).select("para", "text", "author")
 
 
+@query(f"""WITH {_NOTES}, n AS (SELECT conv_id AS doc_id, conv_id, turn, author, text, concat('para-', CAST(conv_id AS STRING)) AS para FROM (SELECT conv_id, turn, role AS author, text FROM conversations)),
+ j AS (SELECT n.doc_id, n.para, author, text, l.doc_id IS NOT NULL AS there FROM n LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON n.conv_id = l.doc_id)
+SELECT para, author, nullif(text, '') AS text, CASE WHEN there THEN '¶' ELSE '' END AS label, CASE WHEN there THEN concat('Paragraph ', replace(para, 'para-', '')) ELSE '' END AS paragraph FROM j""")
+def q_notes_export(spark: SparkSession, d: str) -> DataFrame:
+    """Notes with the label and text of their paragraphs, written as JSON and read again."""
+    paras = tab.labelled(spark, d).select(F.col("ord").alias("doc_id"), "id", F.lit("¶").alias("label"), "text")
+    made = annotation_files.render_json(tab.notes_by_paragraph(spark, d), paras)
+    return made.select(F.inline(F.from_json("text", "array<struct<para:string,author:string,text:string,label:string,paragraph:string>>")))
+
+
 @query(rf"WITH {_NOTES} SELECT para, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, author FROM notes WHERE trim(text) <> ''")
 def q_notes_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Texts of several lines, with quotation marks, through tables and back."""

@@ -204,6 +204,14 @@ def render_text(notes: DataFrame) -> DataFrame:
     return notes.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_ord", "idx", block.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
 
 
+def render_json(notes: DataFrame, paras: DataFrame) -> DataFrame:
+    """(doc_id, text): a JSON list of notes (doc_id, para, para_ord, idx and fields) in order, each with the label and text of its paragraph in paras (doc_id, id, label, text), empty where it has none."""
+    known = paras.select("doc_id", F.col("id").alias("para"), F.col("label").alias("label"), F.col("text").alias("paragraph"))
+    rows = notes.select("doc_id", "para", "para_ord", "idx", *[F.nullif(t.plain(f), F.lit("")).alias(f) for f in ("author", "title", "text", "source")]).join(known, ["doc_id", "para"], "left")
+    note = F.to_json(F.struct("author", "title", "text", "source", "para", t.plain("label").alias("label"), t.plain("paragraph").alias("paragraph")))
+    return rows.groupBy("doc_id").agg(F.concat(F.lit("[\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_ord", "idx", note.alias("j")))), lambda x: x["j"]), ",\n"), F.lit("\n]\n")).alias("text"))
+
+
 def render_notes_js(notes: DataFrame) -> DataFrame:
     """(doc_id, text): window.NOTES = {...}, indented by two blanks, and the event that tells the page; notes (doc_id, para, para_ord, idx and fields) in order, empty fields left out."""
     quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
