@@ -8,39 +8,15 @@ stays falls, and rounds go on until every class is decided: the first independen
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..store import cut
-from . import match
-from .notes import FIELDS, SAME_CHARS
+from .notes import FIELDS, alike
 
-#: Folded characters beyond which a note is compared with others, and tenths of the longer text that a common run must have.
-LONG, TENTHS = 40, 9
-
-
-def same_run(a: Column, b: Column) -> Column:
-    """Whether two texts of at least SAME_CHARS have a common run of TENTHS tenths of the longer: one of the shorter one's few pieces of that length is in the longer."""
-    first = F.length(a) <= F.length(b)
-    low, high = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
-    need = F.ceil(F.length(high) * TENTHS / 10).cast("int")
-    pieces = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - need + 1))
-    return (F.length(low) >= F.greatest(F.lit(SAME_CHARS), need)) & F.exists(pieces, lambda i: F.contains(high, F.substring(low, i, need)))
-
-
-def alike(texts: DataFrame) -> DataFrame:
-    """(doc_id, norm, norm2): different texts (doc_id, norm, each once) of one document that say the same, each pair both ways.
-
-    A common run of nine tenths leaves at most a tenth at either end, so the eight tenths in the middle of one stand in the other.
-    """
-    long = texts.filter(F.length("norm") >= SAME_CHARS).select("doc_id", "norm")
-    tenth = F.floor(F.length("norm") / 10).cast("int")
-    middle = F.regexp_replace(F.substring(F.col("norm"), tenth + 1, F.length("norm") - 2 * tenth), "^ +| +$", "")
-    asked = long.select("doc_id", F.col("norm").alias("x"), middle.alias("norm")).filter("norm <> ''")
-    found = match.contained(asked, long.select("doc_id", F.col("norm").alias("y"), F.col("norm").alias("norm2")), ["x"], ["y"])
-    pairs = found.select("doc_id", F.col("x").alias("norm"), "norm2").filter("norm <> norm2").filter(same_run(F.col("norm"), F.col("norm2")))
-    return pairs.unionByName(pairs.select("doc_id", F.col("norm2").alias("norm"), F.col("norm").alias("norm2"))).distinct()
+#: Folded characters beyond which a note is compared with others.
+LONG = 40
 
 
 def first_independent(nodes: DataFrame, links: DataFrame) -> DataFrame:

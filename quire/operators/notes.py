@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text as t
+from ..store import cut
 from . import match
 
 FIELDS = ("author", "title", "text", "source")
 SIMILAR, SAME_RUN, SAME_CHARS = 0.55, 0.9, 60
+#: SAME_RUN in tenths.
+TENTHS = 9
 
 
 def cleaned(notes: DataFrame) -> DataFrame:
@@ -126,17 +129,36 @@ def same_text(pairs: DataFrame, a: str, b: str, fuzzy: bool = True) -> DataFrame
     return rows.withColumns({"same": same, "score": F.col("_s.score")}).drop("_x", "_y", "_s")
 
 
-def without_near_repeats(notes: DataFrame, order: str, least_chars: int = 40) -> DataFrame:
-    """notes without those of more than so many folded characters that are the same text as an earlier one of the document, by order and idx.
+def same_run(a: Column, b: Column) -> Column:
+    """Whether two texts of at least SAME_CHARS have a common run of TENTHS tenths of the longer: one of the shorter one's few pieces of that length is in the longer."""
+    first = F.length(a) <= F.length(b)
+    low, high = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
+    need = F.ceil(F.length(high) * TENTHS / 10).cast("int")
+    pieces = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - need + 1))
+    return (F.length(low) >= F.greatest(F.lit(SAME_CHARS), need)) & F.exists(pieces, lambda i: F.contains(high, F.substring(low, i, need)))
+
+
+def alike(texts: DataFrame) -> DataFrame:
+    """(doc_id, norm, norm2): different texts (doc_id, norm, each once) of one document that say the same, each pair both ways.
 
-    Pairs are found by shared rare words; a note goes if any earlier one is the same, whether that one stays or not.
+    A common run of nine tenths leaves at most a tenth at either end, so the eight tenths in the middle of one stand in the other.
     """
+    long = texts.filter(F.length("norm") >= SAME_CHARS).select("doc_id", "norm")
+    tenth = F.floor(F.length("norm") / 10).cast("int")
+    middle = F.regexp_replace(F.substring(F.col("norm"), tenth + 1, F.length("norm") - 2 * tenth), "^ +| +$", "")
+    asked = long.select("doc_id", F.col("norm").alias("x"), middle.alias("norm")).filter("norm <> ''")
+    found = match.contained(asked, long.select("doc_id", F.col("norm").alias("y"), F.col("norm").alias("norm2")), ["x"], ["y"])
+    pairs = found.select("doc_id", F.col("x").alias("norm"), "norm2").filter("norm <> norm2").filter(same_run(F.col("norm"), F.col("norm2")))
+    return pairs.unionByName(pairs.select("doc_id", F.col("norm2").alias("norm"), F.col("norm").alias("norm2"))).distinct()
+
+
+def without_near_repeats(notes: DataFrame, order: str, least_chars: int = 40) -> DataFrame:
+    """notes without those of more than so many folded characters that say the same as an earlier one of the document, by order, idx and para; whether that one stays or not."""
     rows = notes.withColumns({"_at": F.struct(order, "idx", "para"), "norm": t.folded("text")})
-    long = rows.filter(F.length("norm") > least_chars).select("doc_id", "_at", "norm")
-    early = long.select("doc_id", F.col("_at").alias("_first"), F.col("norm").alias("norm2"))
-    pairs = match.overlapping(long.withColumn("_late", F.to_json("_at")), early.withColumn("_early", F.to_json("_first")), ["_late"], ["_early"], 0.6).filter(F.col("_first") < F.col("_at"))
-    gone = same_text(pairs.select("doc_id", "_late", "norm", "norm2"), "norm", "norm2").filter("same").select("doc_id", "_late").distinct()
-    return rows.withColumn("_late", F.to_json("_at")).join(gone, ["doc_id", "_late"], "left_anti").select(*notes.columns)
+    firsts = cut(rows.filter(F.length("norm") > least_chars).groupBy("doc_id", "norm").agg(F.min("_at").alias("_first")), "firsts")
+    near = alike(firsts.select("doc_id", "norm")).join(firsts.select("doc_id", F.col("norm").alias("norm2"), F.col("_first").alias("_near")), ["doc_id", "norm2"])
+    known = firsts.join(near.groupBy("doc_id", "norm").agg(F.min("_near").alias("_near")), ["doc_id", "norm"], "left").select("doc_id", "norm", F.least("_first", "_near").alias("_first"))
+    return rows.join(known, ["doc_id", "norm"], "left").filter(~F.coalesce(F.col("_first") < F.col("_at"), F.lit(False))).select(*notes.columns)
 
 
 def merge_plan(store: DataFrame, incoming: DataFrame, fuzzy: bool = True) -> DataFrame:

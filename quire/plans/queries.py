@@ -446,7 +446,7 @@ def q_after_heading(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_attach_notes(spark: SparkSession, d: str) -> DataFrame:
     rows = tab.lines(spark, d).select("doc_id", F.col("idx").alias("ord"), F.lit("para").alias("kind"), "text")
-    keyed = blocks.keyed(rows)
+    keyed = cut(blocks.keyed(rows), "keyed")
     whole = lambda name: F.concat_ws("-", "doc_id", name)
     old = F.concat(F.lit("para-"), F.col("doc_id").cast("string"), F.lit("-"), F.regexp_replace("old_id", "^para-", ""))
     olds = blocks.positional_aliases(keyed).select(F.lit(0).alias("doc_id"), old.alias("old_id"), whole("key").alias("key"))
@@ -587,7 +587,18 @@ def q_exact_dup_notes(spark: SparkSession, d: str) -> DataFrame:
     return notes.without_exact_repeats(tab.notes(spark, d)).select("doc_id", "para", "idx")
 
 
-@query()
+def same_run(a: str, b: str) -> str:
+    """Whether two folded texts, a not the longer one, have a common run of nine tenths of the longer."""
+    need = f"CAST(ceil(length({b}) * 9 / 10) AS INTEGER)"
+    return f"length({a}) <= length({b}) AND 10 * length({a}) >= 9 * length({b}) AND len(list_filter(range(1, length({a}) - {need} + 2), lambda i: contains({b}, substr({a}, i, {need})))) > 0"
+
+
+@query(f"""WITH {_NOTES}, r AS (SELECT doc_id, para, para_ord, idx, {norm('text')} AS n FROM notes UNION ALL SELECT doc_id, para, para_ord + 1000000, idx, {norm("concat(text, ' again')")} FROM notes WHERE para_ord % 4 = 0),
+ f AS MATERIALIZED (SELECT doc_id, n, min({{'o': para_ord, 'i': idx, 'p': para}}) AS first FROM r WHERE length(n) > 40 GROUP BY ALL),
+ s AS MATERIALIZED (SELECT a.doc_id, a.n AS x, b.n AS y FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.n <> b.n AND length(a.n) >= 60 AND {same_run('a.n', 'b.n')}),
+ near AS (SELECT p.doc_id, x AS n, min(first) AS first FROM (SELECT doc_id, x, y FROM s UNION ALL SELECT doc_id, y, x FROM s) p JOIN f ON f.doc_id = p.doc_id AND f.n = p.y GROUP BY ALL)
+SELECT r.doc_id, para, para_ord, idx FROM r LEFT JOIN f ON f.doc_id = r.doc_id AND f.n = r.n LEFT JOIN near ON near.doc_id = r.doc_id AND near.n = r.n
+WHERE NOT coalesce(f.first < {{'o': para_ord, 'i': idx, 'p': para}}, false) AND NOT coalesce(near.first < {{'o': para_ord, 'i': idx, 'p': para}}, false)""")
 def q_near_dup_notes(spark: SparkSession, d: str) -> DataFrame:
     rows = tab.notes(spark, d)
     again = rows.filter("para_ord % 4 = 0").withColumns({"text": F.concat("text", F.lit(" again")), "para_ord": F.col("para_ord") + 1_000_000})

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
-from quire.operators import attachment
+from quire.operators import attachment, notes
 
 SCHEMA = "doc_id int, ord int, target string, origin string, author string, text string, clash string"
 SENTENCE = "The committee considered this provision at length in its second session and adopted it without a vote of any kind"
@@ -76,7 +76,7 @@ def test_same_run_is_the_matchers(spark):
     rng = random.Random(6)
     texts = ["".join(rng.choice("ab ") for _ in range(rng.randrange(50, 80))) for _ in range(30)]
     pairs = [(a, b) for a in texts for b in (a[: len(a) - rng.randrange(9)], "b" * rng.randrange(8) + a, a[3:] + "aa", rng.choice(texts))]
-    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", attachment.same_run(F.col("a"), F.col("b")).alias("same")).collect()
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", notes.same_run(F.col("a"), F.col("b")).alias("same")).collect()
     for r in rows:
         short, long = sorted((r["a"], r["b"]), key=len)
         run = SequenceMatcher(None, short, long, autojunk=False).find_longest_match(0, len(short), 0, len(long)).size
