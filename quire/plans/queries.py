@@ -388,9 +388,9 @@ def q_render_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Quotes and texts, folded once: the joins read both several times."""
-    p = match.normed(tab.corpus(spark, d), "text", "norm2").drop("text")
-    return cut(match.normed(tab.quotes(spark, d), "quote"), "quotes"), cut(p, "texts")
+    """Quotes and texts, folded once: the joins read both several times; a scan for few quotes reads the texts once."""
+    p, q = tab.corpus(spark, d).withColumn("norm2", t.folded("text")).drop("text"), cut(match.normed(tab.quotes(spark, d), "quote"), "quotes")
+    return q, p if match.sendable(q) else cut(p.filter("norm2 <> ''"), "texts")
 
 
 @query(f"WITH {_LINES}, b AS (SELECT item_id, {norm('text')} AS q FROM benchmark), n AS (SELECT doc_id, {norm('text')} AS p FROM documents) SELECT item_id, doc_id FROM b JOIN n ON q <> '' AND contains(p, q)")
@@ -414,8 +414,8 @@ def q_token_overlap(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH b AS (SELECT item_id, {norm('text')} AS q FROM benchmark), n AS (SELECT doc_id, {norm('text')} AS p FROM documents), c AS (SELECT item_id, count(doc_id) AS n, min(doc_id) AS first FROM b LEFT JOIN n ON q <> '' AND contains(p, q) GROUP BY item_id)
 SELECT item_id, CASE WHEN n = 0 THEN 'no_match' WHEN n = 1 THEN 'ok' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN first END AS doc_id FROM c""")
 def q_quote_status(spark: SparkSession, d: str) -> DataFrame:
-    quotes, paras = tab.quotes(spark, d), tab.corpus(spark, d)
-    held = match.contained(match.normed(quotes, "quote"), match.normed(paras, "text", "norm2"), ["quote_id"], ["id"]).join(paras.select("id", "ord"), "id")
+    quotes = tab.quotes(spark, d)
+    held = match.contained(*_folded(spark, d), ["quote_id"], ["id"]).withColumn("ord", F.col("id"))  # a document's id is its place
     found = match.decided(held.withColumns({"class": F.lit(0), "score": F.lit(1.0)}))
     all_ = quotes.select("quote_id").join(found, "quote_id", "left")
     return all_.select(F.col("quote_id").alias("item_id"), F.coalesce("status", F.lit("no_match")).alias("status"), F.col("id").alias("doc_id"))
