@@ -29,6 +29,17 @@ def missing_numbers(rows: DataFrame, number: str, step: int = 1) -> DataFrame:
     return pairs.filter(F.col("n") - F.col("_p") > step).select((F.col("_p") + step).alias("low"), (F.col("n") - step).alias("high"))
 
 
+def numbered_report(rows: DataFrame, group: str, number: str, text: str, short: int = 40, long: int = 2500) -> DataFrame:
+    """(group, paragraphs, low, high, missing, repeated, median, short, long) of rows with a number: the range of numbers, how many are missing in it or come again, the median length, and texts (not empty ones) shorter or longer than usual."""
+    n, size = F.col(number).cast("long"), F.length(t.strip(t.plain(text)))
+    some = rows.filter(n.isNotNull()).select(group, n.alias("_n"), size.alias("_size"))
+    kinds = F.count_distinct("_n")
+    return some.groupBy(group).agg(
+        F.count("*").alias("paragraphs"), F.min("_n").alias("low"), F.max("_n").alias("high"), (F.max("_n") - F.min("_n") + 1 - kinds).alias("missing"), (F.count("*") - kinds).alias("repeated"),
+        F.median("_size").alias("median"), F.count_if((F.col("_size") > 0) & (F.col("_size") < short)).alias("short"), F.count_if(F.col("_size") > long).alias("long"),
+    )
+
+
 def mid_sentence(lines: DataFrame, group: str = "doc_id") -> DataFrame:
     """Lines that begin in lower case after one without an end."""
     before = F.lag("text").over(Window.partitionBy(group).orderBy("idx"))

@@ -640,6 +640,14 @@ def q_qc_sequence(spark: SparkSession, d: str) -> DataFrame:
     return checks.missing_numbers(tab.table(spark, d, "labels"), "doc_id")
 
 
+@query(r"""SELECT source, count(*) AS paragraphs, min(n) AS low, max(n) AS high, max(n) - min(n) + 1 - count(DISTINCT n) AS missing, count(*) - count(DISTINCT n) AS repeated, CAST(median(size) AS DOUBLE) AS median,
+ count(*) FILTER (size > 0 AND size < 40) AS short, count(*) FILTER (size > 2500) AS long FROM (SELECT source, doc_id // 3 AS n, length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS size FROM documents) GROUP BY source""")
+def q_qc_report(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers, of which three documents each have one, and lengths of each source."""
+    rows = tab.table(spark, d, "documents").select("source", F.floor(F.col("doc_id") / 3).alias("n"), "text")
+    return checks.numbered_report(rows, "source", "n", "text")
+
+
 @query("SELECT source, CAST(median(n_chars) AS DOUBLE) AS median FROM documents GROUP BY source")
 def q_qc_median(spark: SparkSession, d: str) -> DataFrame:
     return tab.table(spark, d, "documents").groupBy("source").agg(F.median("n_chars").alias("median"))
