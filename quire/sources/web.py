@@ -12,11 +12,11 @@ from ..functions import text as t
 _BETWEEN = "\x1e"
 
 
-def title(html: str | Column) -> Column:
-    """The title element, or else the page-title heading."""
+def title(html: str | Column, closed: bool = False) -> Column:
+    """The title element, or else the page-title heading; closed: character references cut off before their semicolon stay as they are."""
     html = t.col(html)
-    found = F.nullif(t.without_tags(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)), F.lit(""))
-    return F.coalesce(found, t.without_tags(F.regexp_extract(html, r"""(?is)<h1[^>]*id=["']page-title["'][^>]*>(.*?)</h1>""", 1)))
+    found = F.nullif(t.without_tags(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1), closed), F.lit(""))
+    return F.coalesce(found, t.without_tags(F.regexp_extract(html, r"""(?is)<h1[^>]*id=["']page-title["'][^>]*>(.*?)</h1>""", 1), closed))
 
 
 def description(html: str | Column) -> Column:
@@ -30,10 +30,10 @@ def notes_file(html: str | Column) -> Column:
     return F.regexp_extract(t.col(html), r"""(?i)<script[^>]+src=["']([^"'?]*notes[^"'?]*)""", 1)
 
 
-def paragraphs(pages: DataFrame, pattern: str = r"(?s)<p[^>]*>(.*?)</p>") -> DataFrame:
-    """pages (page_id, html) to (page_id, idx, text): visible text of each p element that has any."""
+def paragraphs(pages: DataFrame, pattern: str = r"(?s)<p[^>]*>(.*?)</p>", closed: bool = False) -> DataFrame:
+    """pages (page_id, html) to (page_id, idx, text): visible text of each p element that has any; closed as in title()."""
     rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("idx", "body"))
-    return rows.select("page_id", "idx", t.without_tags("body").alias("text")).filter("text <> ''")
+    return rows.select("page_id", "idx", t.without_tags("body", closed).alias("text")).filter("text <> ''")
 
 
 def identified(pages: DataFrame) -> DataFrame:
