@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..store import cut
-from .notes import FIELDS, alike
+from .notes import FIELDS, SAME_CHARS, alike
 
 #: Folded characters beyond which a note is compared with others.
 LONG = 40
@@ -44,30 +44,30 @@ def settled(notes: DataFrame, by_origin: bool = False) -> DataFrame:
     without a target is absorbed if an earlier attached one says the same, else unplaced. Notes without text are attached or
     unplaced as they are. Extra columns stay.
     """
-    fields = [t.plain(f) if f in notes.columns else F.lit("") for f in FIELDS]
-    rows = cut(notes.withColumns({"_norm": t.folded("text"), "_class": F.lit("") if not by_origin else t.plain("origin")}), "notes")
-    placed = rows.filter("target is not null")
-    texts = cut(rows.filter("_norm <> ''").groupBy("doc_id", F.col("_norm").alias("norm")).agg(F.max(F.col("target").isNull()).alias("_lost")), "texts")
-    same = cut(alike(texts), "alike")
-    long = placed.filter(F.length("_norm") > LONG)
-    classes = cut(long.groupBy("doc_id", "_norm", "_class").agg(F.min("ord").alias("at")).withColumn("node", F.sha2(F.to_json(F.struct("doc_id", "_norm", "_class")), 256)), "classes")
-    of = lambda n: classes.select("doc_id", F.col("_norm").alias(n), F.col("_class").alias(f"_c_{n}"), F.col("node").alias(f"_n_{n}"), F.col("at").alias(f"_at_{n}"))
-    links = same.join(of("norm"), ["doc_id", "norm"]).join(of("norm2"), ["doc_id", "norm2"])
+    fields = F.md5(F.to_json(F.struct(*[(t.plain(f) if f in notes.columns else F.lit("")).alias(f) for f in FIELDS])))
+    rows = notes.withColumn("_norm", t.folded("text")).withColumns({"_row": F.monotonically_increasing_id(), "_n": F.length("_norm"), "_same": F.md5("_norm"), "_class": F.lit("") if not by_origin else t.plain("origin"), "_fields": fields})
+    rows = cut(rows.drop("_norm"), "notes")  # texts are named by their digests from here on
+    slim = rows.select("_row", "doc_id", "ord", "target", "_n", "_same", "_class", "_fields")
+    placed = slim.filter("target is not null")
+    texts = rows.filter(F.col("_n") >= SAME_CHARS).groupBy("doc_id", F.col("_same").alias("id")).agg(F.first("text").alias("text")).select("doc_id", "id", t.folded("text").alias("norm"))
+    same = alike(texts)
+    classes = cut(placed.filter(F.col("_n") > LONG).groupBy("doc_id", "_same", "_class").agg(F.min("ord").alias("at")).withColumn("node", F.sha2(F.to_json(F.struct("doc_id", "_same", "_class")), 256)), "classes")
+    of = lambda n: classes.select("doc_id", F.col("_same").alias(n), F.col("_class").alias(f"_c_{n}"), F.col("node").alias(f"_n_{n}"), F.col("at").alias(f"_at_{n}"))
+    links = same.join(of("id"), ["doc_id", "id"]).join(of("id2"), ["doc_id", "id2"])
     if by_origin:
-        equal = of("norm").join(of("norm2").withColumn("norm", F.col("norm2")), ["doc_id", "norm"])
-        links = links.unionByName(equal.select(*links.columns)).filter("_c_norm <> _c_norm2")
-    links = cut(links.select("doc_id", F.col("_n_norm").alias("node"), F.col("_n_norm2").alias("other"), F.col("_at_norm2").alias("at")), "links")
+        equal = of("id").join(of("id2").withColumn("id", F.col("id2")), ["doc_id", "id"])
+        links = links.unionByName(equal.select(*links.columns)).filter("_c_id <> _c_id2")
+    links = cut(links.select("doc_id", F.col("_n_id").alias("node"), F.col("_n_id2").alias("other"), F.col("_at_id2").alias("at")), "links")
     stay = cut(first_independent(classes.select("node", F.struct("doc_id", "at").alias("at")), links.select("node", "other")), "classes-stay")
     until = links.join(stay.withColumnRenamed("node", "other"), "other", "left_semi").groupBy("node").agg(F.min("at").alias("_until"))  # what is said from there on is said already
-    known = classes.join(until, "node", "left").select("doc_id", "_norm", "_class", "at", "_until")
-    marked = placed.join(known, ["doc_id", "_norm", "_class"], "left")
+    known = classes.join(until, "node", "left").select("doc_id", "_same", "_class", "at", "_until")
+    marked = placed.join(known, ["doc_id", "_same", "_class"], "left")
     again = F.col("ord") >= F.col("_until") if by_origin else (F.col("ord") > F.col("at")) | (F.col("ord") >= F.col("_until"))
     marked = marked.withColumn("_said", F.coalesce(again, F.lit(False))).drop("at", "_until")
-    first = F.row_number().over(Window.partitionBy("doc_id", "target", *fields, "_said").orderBy("ord")) == 1
-    judged = cut(marked.withColumn("outcome", F.when(F.col("_said") | ~first, "duplicate").otherwise("attached")), "judged")
-    there = judged.filter("outcome = 'attached' and _norm <> ''").groupBy("doc_id", F.col("_norm").alias("norm")).agg(F.min("ord").alias("_said_at"))
-    near = same.join(there.withColumnRenamed("norm", "norm2"), ["doc_id", "norm2"]).select("doc_id", "norm", "_said_at")
-    there = there.unionByName(near).groupBy("doc_id", F.col("norm").alias("_norm")).agg(F.min("_said_at").alias("_said_at"))
-    lost = rows.filter("target is null").join(there, ["doc_id", "_norm"], "left").withColumn("outcome", F.when(F.col("_said_at") < F.col("ord"), "absorbed").otherwise("unplaced"))
-    names = [*notes.columns, "outcome"]
-    return judged.select(*names).unionByName(lost.select(*names))
+    first = F.row_number().over(Window.partitionBy("doc_id", "target", "_fields", "_said").orderBy("ord")) == 1
+    judged = cut(marked.withColumn("outcome", F.when(F.col("_said") | ~first, "duplicate").otherwise("attached")).select("_row", "doc_id", "ord", "_n", "_same", "outcome"), "judged")
+    there = judged.filter("outcome = 'attached' and _n > 0").groupBy("doc_id", "_same").agg(F.min("ord").alias("_said_at"))
+    near = same.join(there.withColumnRenamed("_same", "id2"), ["doc_id", "id2"]).select("doc_id", F.col("id").alias("_same"), "_said_at")
+    there = there.unionByName(near).groupBy("doc_id", "_same").agg(F.min("_said_at").alias("_said_at"))
+    lost = slim.filter("target is null").join(there, ["doc_id", "_same"], "left").select("_row", F.when(F.col("_said_at") < F.col("ord"), "absorbed").otherwise("unplaced").alias("outcome"))
+    return rows.join(judged.select("_row", "outcome").unionByName(lost), "_row").select(*notes.columns, "outcome")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text as t
 from ..store import cut
-from . import match
 
 FIELDS = ("author", "title", "text", "source")
 SIMILAR, SAME_RUN, SAME_CHARS = 0.55, 0.9, 60
 #: SAME_RUN in tenths.
 TENTHS = 9
+#: Characters of the pieces by which texts that say the same are looked up; at most the middle of a text of SAME_CHARS less half of its places.
+PIECE = 24
 
 
 def cleaned(notes: DataFrame) -> DataFrame:
@@ -138,27 +141,48 @@ def same_run(a: Column, b: Column) -> Column:
     return (F.length(low) >= F.greatest(F.lit(SAME_CHARS), need)) & F.exists(pieces, lambda i: F.contains(high, F.substring(low, i, need)))
 
 
+def _pieces(norm: pd.Series) -> pd.DataFrame:
+    """Of folded texts of SAME_CHARS at least: own, the piece of PIECE characters with the least hash in the middle eight tenths, and held, the pieces with the least hash of any stretch as long as the shortest middle of a text that may say the same."""
+    own, held = [], []
+    for text in norm:
+        codes = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
+        n, tenth, least = len(codes) - PIECE + 1, len(codes) // 10, max(SAME_CHARS, -(-len(codes) * TENTHS // 10))
+        hashes = np.zeros(n, np.uint64)
+        for j in range(PIECE):
+            hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        width = -(-8 * least // 10) - PIECE + 1  # over half of n: every stretch has the pieces from n - width to width
+        left, right = np.minimum.accumulate(hashes[: n - width][::-1])[::-1], np.minimum.accumulate(hashes[width:])
+        middle = hashes[n - width : width].min()
+        stretches = np.minimum(middle, np.minimum(np.append(left, middle), np.insert(right, 0, middle)))
+        own.append(hashes[tenth : len(codes) - tenth - PIECE + 1].min().view(np.int64))
+        held.append(np.unique(stretches).view(np.int64))
+    return pd.DataFrame({"own": np.array(own, np.int64), "held": held})
+
+
 def alike(texts: DataFrame) -> DataFrame:
-    """(doc_id, norm, norm2): different texts (doc_id, norm, each once) of one document that say the same, each pair both ways.
+    """(doc_id, id, id2): different texts (doc_id, id, norm; each text once, ids short) of one document that say the same, each pair both ways.
 
-    A common run of nine tenths leaves at most a tenth at either end, so the eight tenths in the middle of one stand in the other.
+    A common run of nine tenths leaves at most a tenth at either end, so the middle of one stands in the other, and with it the
+    piece of the least hash, which is the least of a stretch of the other too. Only ids and hashes travel until a pair is compared.
     """
-    long = texts.filter(F.length("norm") >= SAME_CHARS).select("doc_id", "norm")
-    tenth = F.floor(F.length("norm") / 10).cast("int")
-    middle = F.regexp_replace(F.substring(F.col("norm"), tenth + 1, F.length("norm") - 2 * tenth), "^ +| +$", "")
-    asked = long.select("doc_id", F.col("norm").alias("x"), middle.alias("norm")).filter("norm <> ''")
-    found = match.contained(asked, long.select("doc_id", F.col("norm").alias("y"), F.col("norm").alias("norm2")), ["x"], ["y"])
-    pairs = found.select("doc_id", F.col("x").alias("norm"), "norm2").filter("norm <> norm2").filter(same_run(F.col("norm"), F.col("norm2")))
-    return pairs.unionByName(pairs.select("doc_id", F.col("norm2").alias("norm"), F.col("norm").alias("norm2"))).distinct()
+    long = cut(texts.filter(F.length("norm") >= SAME_CHARS).select("doc_id", "id", "norm"), "alike-texts")
+    found = long.select("doc_id", "id", F.length("norm").alias("n"), F.pandas_udf(_pieces, "own long, held array<long>")("norm").alias("p"))
+    found = cut(found.select("doc_id", "id", "n", "p.own", "p.held"), "alike-pieces")
+    held = found.select("doc_id", F.col("id").alias("id2"), F.col("n").alias("n2"), F.explode("held").alias("own"))
+    pairs = found.drop("held").join(held, ["doc_id", "own"]).filter("(n < n2 or (n = n2 and id < id2)) and 10 * n >= 9 * n2").select("doc_id", "id", "id2").distinct()
+    both = pairs.join(long, ["doc_id", "id"]).join(long.select("doc_id", F.col("id").alias("id2"), F.col("norm").alias("norm2")), ["doc_id", "id2"])
+    pairs = cut(both.filter(same_run(F.col("norm"), F.col("norm2"))).select("doc_id", "id", "id2"), "alike-pairs")
+    return pairs.unionByName(pairs.select("doc_id", F.col("id2").alias("id"), F.col("id").alias("id2")))
 
 
 def without_near_repeats(notes: DataFrame, order: str, least_chars: int = 40) -> DataFrame:
     """notes without those of more than so many folded characters that say the same as an earlier one of the document, by order, idx and para; whether that one stays or not."""
-    rows = notes.withColumns({"_at": F.struct(order, "idx", "para"), "norm": t.folded("text")})
-    firsts = cut(rows.filter(F.length("norm") > least_chars).groupBy("doc_id", "norm").agg(F.min("_at").alias("_first")), "firsts")
-    near = alike(firsts.select("doc_id", "norm")).join(firsts.select("doc_id", F.col("norm").alias("norm2"), F.col("_first").alias("_near")), ["doc_id", "norm2"])
-    known = firsts.join(near.groupBy("doc_id", "norm").agg(F.min("_near").alias("_near")), ["doc_id", "norm"], "left").select("doc_id", "norm", F.least("_first", "_near").alias("_first"))
-    return rows.join(known, ["doc_id", "norm"], "left").filter(~F.coalesce(F.col("_first") < F.col("_at"), F.lit(False))).select(*notes.columns)
+    rows = notes.withColumn("norm", t.folded("text")).withColumns({"_at": F.struct(order, "idx", "para"), "id": F.when(F.length("norm") > least_chars, F.md5("norm"))})
+    firsts = cut(rows.filter("id is not null").groupBy("doc_id", "id").agg(F.min("_at").alias("_first"), F.first("norm").alias("norm")), "firsts")
+    near = alike(firsts).join(firsts.select("doc_id", F.col("id").alias("id2"), F.col("_first").alias("_near")), ["doc_id", "id2"])
+    known = firsts.drop("norm").join(near.groupBy("doc_id", "id").agg(F.min("_near").alias("_near")), ["doc_id", "id"], "left").select("doc_id", "id", F.least("_first", "_near").alias("_first"))
+    return rows.drop("norm").join(known, ["doc_id", "id"], "left").filter(~F.coalesce(F.col("_first") < F.col("_at"), F.lit(False))).select(*notes.columns)
 
 
 def merge_plan(store: DataFrame, incoming: DataFrame, fuzzy: bool = True) -> DataFrame:
