@@ -5,8 +5,11 @@ All windows are within a document or page; documents are dealt out by doc_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,17 +225,46 @@ def column_bands(x0: np.ndarray, x1: np.ndarray, width: float, most: int = 3) ->
 
 
 def columns(lines: DataFrame, width: float) -> DataFrame:
-    """lines with col, the column from 0: the band that holds x0, or else the nearest. A page is one group."""
-    schema = lines.drop("col").withColumn("col", F.lit(0)).schema
-    names = schema.names
-
-    def page(x: pd.DataFrame) -> pd.DataFrame:
-        bands = column_bands(x["x0"].to_numpy(float), x["x1"].to_numpy(float), width)
-        centre = ((x["x0"] + x["x1"]) / 2).to_numpy(float)
-        away = np.stack([np.where((x["x0"] >= p) & (x["x0"] < q), -1.0, np.minimum(abs(centre - p), abs(centre - q))) for p, q in bands])
-        return x.assign(col=away.argmin(axis=0).astype("int32"))[names]
-
-    return lines.drop("col").groupBy("doc_id", "page").applyInPandas(page, schema)
+    """lines with col, the column from 0: the band that holds x0, or else the nearest. A page is in one task, which has many pages, and holds one of them beyond a batch."""
+    rows = lines.drop("col")
+    names, schema = rows.columns, rows.withColumn("col", F.lit(0)).schema
+    rows = rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page")
+
+    def placed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        x0, x1 = (np.concatenate([b.column(names.index(c)).to_numpy(zero_copy_only=False) for b in held]).astype(float) for c in ("x0", "x1"))
+        keys = pd.concat([b.select(["doc_id", "page"]).to_pandas() for b in held], ignore_index=True)
+        same = ((keys == keys.shift()) | (keys.isna() & keys.shift().isna())).all(axis=1).to_numpy()
+        same[:1] = False
+        begins = np.append(np.flatnonzero(~same), len(x0))
+        col = np.zeros(len(x0), np.int32)
+        for s, e in zip(begins[:-1], begins[1:], strict=True):
+            bands = column_bands(x0[s:e], x1[s:e], width)
+            if len(bands) > 1:
+                centre = (x0[s:e] + x1[s:e]) / 2
+                col[s:e] = np.stack([np.where((x0[s:e] >= p) & (x0[s:e] < q), -1.0, np.minimum(abs(centre - p), abs(centre - q))) for p, q in bands]).argmin(axis=0)
+        whole = pa.Table.from_batches(held).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(whole.column(n).combine_chunks() if whole.column(n).num_chunks != 1 else whole.column(n).chunk(0) for n in names), pa.array(col)], [*names, "col"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [batch.column(names.index(c)) for c in ("doc_id", "page")]
+            last = [c[-1].as_py() for c in key]
+            start = batch.num_rows - 1  # where the batch's last page begins
+            while start and [c[start - 1].as_py() for c in key] == last:
+                start -= 1
+            if start == 0 and held and [held[-1].column(names.index(c))[-1].as_py() for c in ("doc_id", "page")] == last:
+                held.append(batch)
+                continue
+            if held or start:
+                yield placed([*held, *([batch.slice(0, start)] if start else [])])
+            held = [batch.slice(start)]
+        if held:
+            yield placed(held)
+
+    return rows.mapInArrow(run, schema)
 
 
 def compounds(lines: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
-from quire.operators import match, notes
+from quire.operators import layout, match, notes
 from quire.sources import web
 
 
@@ -51,3 +52,21 @@ def test_folding_needs_no_pattern_in_the_jvm(spark):
     assert "regexp_replace" not in rows._jdf.queryExecution().executedPlan().toString().lower()
     assert [r["k"] for r in spark.createDataFrame([("12 ab 3c d4 5",), ("1 2 ab 3 c",)], "x string").select(t.furniture_keys("x")["counted"].alias("k")).collect()] == ["# ab 3c d4 #", None]
     assert rows.select(F.length("n")).first()[0] > 0
+
+
+def test_columns_of_many_pages_over_small_batches(spark):
+    draw = random.Random(5)
+    rows = [(d if d else None, p, i, *((60.0, 60.0 + draw.randint(50, 220)) if i % 2 else (310.0, 310.0 + draw.randint(50, 220)))) for d in range(4) for p in range(3) for i in range(draw.choice([1, 3, 8, 30]))]
+    frame = spark.createDataFrame(rows, "doc_id int, page int, idx int, x0 double, x1 double")
+    want = {}
+    for d, p in {(r[0], r[1]) for r in rows}:
+        page = [r for r in rows if r[:2] == (d, p)]
+        bands = layout.column_bands(np.array([r[3] for r in page]), np.array([r[4] for r in page]), 595.0)
+        want |= {r[:3]: next(k for k, (a, b) in enumerate(bands) if a <= r[3] < b) for r in page}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = layout.columns(frame, 595.0)
+        assert {(r["doc_id"], r["page"], r["idx"]): r["col"] for r in found.collect()} == want and 1 in want.values()
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
