@@ -120,16 +120,19 @@ def without_exact_repeats(notes: DataFrame) -> DataFrame:
 
 def same_text(pairs: DataFrame, a: str, b: str, fuzzy: bool = True) -> DataFrame:
     """pairs with same: whether two texts are one note (equal when folded, or long and with a common run of nine tenths of the longer) and score, their similarity if it is at least SIMILAR, else perhaps 0. Without fuzzy only equal texts are the same, and the score is 1 or 0."""
-    x, y = t.folded(a), t.folded(b)
+    return _same_folded(pairs.withColumns({"_x": t.folded(a), "_y": t.folded(b)}), fuzzy).drop("_x", "_y")
+
+
+def _same_folded(rows: DataFrame, fuzzy: bool) -> DataFrame:
+    """same_text() of rows with the folded texts _x and _y."""
     if not fuzzy:
-        same = (x == y) & (x != "")
-        return pairs.withColumns({"same": same, "score": same.cast("double")})
-    rows = pairs.withColumns({"_x": x, "_y": y})
+        same = (F.col("_x") == F.col("_y")) & (F.col("_x") != "")
+        return rows.withColumns({"same": same, "score": same.cast("double")})
     ratio, run = sim.ratio_bound(F.col("_x"), F.col("_y")), sim.run_bound(t.words("_x"), F.col("_y"))
     rows = rows.withColumn("_s", sim.similarity(F.when(sim.may_reach(SIMILAR, ratio, run, F.col("_x"), F.col("_y")), F.col("_x")), "_y", SIMILAR, SAME_CHARS, SAME_RUN))
     low, high = F.least(F.length("_x"), F.length("_y")), F.greatest(F.length("_x"), F.length("_y"))
     same = ((F.col("_x") == F.col("_y")) & (F.col("_x") != "")) | ((low >= SAME_CHARS) & (F.col("_s.run") >= SAME_RUN * high))
-    return rows.withColumns({"same": same, "score": F.col("_s.score")}).drop("_x", "_y", "_s")
+    return rows.withColumns({"same": same, "score": F.col("_s.score")}).drop("_s")
 
 
 def same_run(a: Column, b: Column) -> Column:
@@ -195,10 +198,14 @@ def merge_plan(store: DataFrame, incoming: DataFrame, fuzzy: bool = True) -> Dat
     author = lambda x: t.plain(f"{x}.author")
     on = lambda: (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.para") == F.col("b.para")) & (author("a") == author("b"))
     key = [F.col("a.doc_id").alias("doc_id"), F.col("a.para").alias("para"), F.col("a.idx").alias("idx")]
-    inner = rows.alias("a").join(rows.alias("b"), on() & (F.col("b.idx") < F.col("a.idx"))).select(*key, F.col("a.text").alias("_a"), F.col("b.text").alias("_b"))
-    repeated = same_text(inner, "_a", "_b", fuzzy).filter("same").select("doc_id", "para", "idx").distinct().withColumn("_repeated", F.lit(True))
-    pairs = rows.alias("a").join(cleaned(store).alias("b"), on()).select(*key, F.col("a.text").alias("_a"), F.col("b.text").alias("_b"), F.col("b.idx").alias("existing"))
-    judged = same_text(pairs, "_a", "_b", fuzzy).groupBy("doc_id", "para", "idx").agg(F.min(F.when(F.col("same"), F.col("existing"))).alias("_twin"), F.min_by(F.when(F.col("score").between(SIMILAR, 0.999999999), F.struct("existing", "score")), F.when(F.col("score").between(SIMILAR, 0.999999999), F.col("existing"))).alias("_clash"))
+    both = [F.col("a._norm").alias("_x"), F.col("b._norm").alias("_y")]
+    named = lambda notes: notes.select("doc_id", "para", "idx", "author", t.folded("text").alias("_norm"))  # noqa: E731 - each text is folded once, not in every pair
+    ours = named(rows)
+    inner = ours.alias("a").join(ours.alias("b"), on() & (F.col("b.idx") < F.col("a.idx"))).select(*key, *both)
+    same = (F.col("_x") == F.col("_y")) & (F.col("_x") != "")
+    repeated = inner.filter(same | same_run(F.col("_x"), F.col("_y")) if fuzzy else same).select("doc_id", "para", "idx").distinct().withColumn("_repeated", F.lit(True))
+    pairs = ours.alias("a").join(named(cleaned(store)).alias("b"), on()).select(*key, *both, F.col("b.idx").alias("existing"))
+    judged = _same_folded(pairs, fuzzy).groupBy("doc_id", "para", "idx").agg(F.min(F.when(F.col("same"), F.col("existing"))).alias("_twin"), F.min_by(F.when(F.col("score").between(SIMILAR, 0.999999999), F.struct("existing", "score")), F.when(F.col("score").between(SIMILAR, 0.999999999), F.col("existing"))).alias("_clash"))
     out = rows.join(repeated, ["doc_id", "para", "idx"], "left").join(judged, ["doc_id", "para", "idx"], "left")
     kind = F.when(F.col("_repeated"), "repeated").when(F.col("_twin").isNotNull(), "duplicate").when(F.col("_clash").isNotNull(), "conflict").otherwise("new")
     return out.withColumns({"kind": kind, "existing": F.when(kind == "duplicate", F.col("_twin")).when(kind == "conflict", F.col("_clash.existing")), "similarity": F.when(kind == "conflict", F.col("_clash.score"))}).drop("_repeated", "_twin", "_clash")
