@@ -54,7 +54,8 @@ def body_size(lines: DataFrame) -> DataFrame:
 def furniture(lines: DataFrame, height: Column, group: str = "doc_id", page: str = "page", share: float = 0.5) -> DataFrame:
     """(group, band, key, pages): folded lines, as they are or with numbers as #, that the top or bottom bands of half the pages repeat."""
     band = F.when(F.col("y0") <= HEADER_BAND * height, "header").when(F.col("y1") >= (1 - FOOTER_BAND) * height, "footer")
-    keyed = lines.withColumn("band", band).withColumn("keys", t.furniture_keys("text"))
+    several = lines.groupBy(group).agg((F.min(page) < F.max(page)).alias("_several")).filter("_several").select(group)  # nothing repeats on a single page
+    keyed = lines.withColumn("band", band).filter("band is not null").join(several, group, "left_semi").withColumn("keys", t.furniture_keys("text"))
     return repeated(keyed.filter("band is not null").select(group, page, "band", "keys"), lines, group, page, share)
 
 
@@ -73,20 +74,19 @@ def drop_furniture(lines: DataFrame, found: DataFrame, height: Column, width: Co
     from its neighbour, from box to box, than ISOLATED times the document's usual step from line to line, of which equally
     frequent ones the first seen counts. A document's first line stays, unless it goes for another reason.
     """
-    keys = t.furniture_keys("text")
-    known = found.select("doc_id", F.col("key").alias("_exact")).distinct().withColumn("_known", F.lit(True))
-    rows = lines.withColumns({"_exact": keys["exact"], "_counted": keys["counted"]}).join(known, ["doc_id", "_exact"], "left")
-    rows = rows.join(known.select("doc_id", F.col("_exact").alias("_counted"), F.col("_known").alias("_known2")), ["doc_id", "_counted"], "left")
+    known = found.groupBy("doc_id").agg(F.collect_set("key").alias("_known"))  # few: each is on half of a document's pages
     in_head, in_foot = F.col("y0") <= HEADER_BAND * height, F.col("y1") >= (1 - FOOTER_BAND) * height
-    gone = F.coalesce("_known", F.lit(False)) | F.coalesce("_known2", F.lit(False)) | ((in_head | in_foot) & (t.is_page_number("text") | t.is_browser_line("text")))
+    keys = t.furniture_keys(F.when(F.col("_known").isNotNull(), F.col("text")))  # only where something is repeated
+    gone = F.coalesce(F.array_contains("_known", keys["exact"]), F.lit(False)) | F.coalesce(F.array_contains("_known", keys["counted"]), F.lit(False)) | ((in_head | in_foot) & (t.is_page_number("text") | t.is_browser_line("text")))
     seen = gaps(lines, ["doc_id", "page"]).withColumn("_seen", F.col("page") * F.lit(1 << 32).cast("long") + F.col("idx"))
     spacing = modal(seen, ["doc_id"], "gap", first_seen="_seen").withColumnRenamed("gap", "_spacing")
     page = Window.partitionBy("doc_id", "page")
     by = page.orderBy("idx")
-    rows = rows.join(spacing, "doc_id", "left").withColumns({
-        "_gone": gone, "_first": F.row_number().over(by) == 1, "_last": F.lead("idx").over(by).isNull(), "_n": F.count("*").over(page),
+    # Lines are dealt by document once, for both joins and all windows; keys come last, as a UDF forgets how rows are dealt.
+    rows = lines.join(known, "doc_id", "left").join(spacing, "doc_id", "left").withColumns({
+        "_first": F.row_number().over(by) == 1, "_last": F.lead("idx").over(by).isNull(), "_n": F.count("*").over(page),
         "_below": F.lead("y0").over(by) - F.col("y1"), "_above": F.col("y0") - F.lag("y1").over(by), "_start": F.min("page").over(Window.partitionBy("doc_id")) == F.col("page"),
-    })
+    }).withColumn("_gone", gone)
     narrow = ((F.col("x1") - F.col("x0")) <= NARROW_LINE * width) & (F.col("_n") >= 3) & F.col("_spacing").isNotNull()
     far = ISOLATED * F.col("_spacing")
     alone = narrow & ((F.col("_first") & ~F.col("_start") & in_head & (F.col("_below") > far)) | (F.col("_last") & in_foot & (F.col("_above") > far)))
