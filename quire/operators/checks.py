@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..store import cut
 
 
 def missing(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,26 +62,28 @@ def sampled_pages(rows: DataFrame, group: str, page: str, samples: int = 8) -> D
 
 def report(blocks: DataFrame, pages: DataFrame, notes: DataFrame) -> DataFrame:
     """(doc_id, name, status, detail) of the checks of each document's page (doc_id, html) against its blocks and notes."""
-    paras = blocks.filter("kind = 'para'").select("doc_id", "id")
-    on_page = pages.select("doc_id", F.explode(F.regexp_extract_all("html", F.lit('id="(para-[^"]+)"'), F.lit(1))).alias("id"))
-    buttons = pages.select("doc_id", F.explode(F.regexp_extract_all("html", F.lit('data-para="(para-[^"]+)"'), F.lit(1))).alias("id"))
-    noted = notes.select("doc_id", F.col("para").alias("id"))
-
-    def found(name: str, wrong: DataFrame, bad: str = "fail") -> DataFrame:
-        n = wrong.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-        out = pages.select("doc_id").join(n, "doc_id", "left")
-        return out.select("doc_id", F.lit(name).alias("name"), F.when(F.col("n").isNull(), "ok").otherwise(bad).alias("status"), F.when(F.col("n").isNotNull(), F.format_string("%d, first %s", "n", "first")).otherwise("").alias("detail"))
-
-    parts = [
-        found("paragraphs on the page", missing(paras, on_page, ["doc_id", "id"])),
-        found("ids unique", repeated(on_page, ["doc_id", "id"])),
-        found("notes have paragraphs", missing(noted, on_page, ["doc_id", "id"])),
-        found("paragraphs clickable", missing(on_page, buttons, ["doc_id", "id"]).unionByName(missing(buttons, on_page, ["doc_id", "id"]))),
-        found("notes have text", notes.filter(t.strip(t.plain("text")) == "").select("doc_id", F.col("para").alias("id")), "warn"),
-        found("page complete", pages.filter(~F.col("html").contains("</html>")).select("doc_id", F.lit("").alias("id"))),
-        found("notes file loaded", pages.filter(~F.col("html").rlike(r'(?i)<script[^>]+src="[^"]*notes[^"]*"')).select("doc_id", F.lit("").alias("id"))),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    there = lambda name: F.regexp_extract_all("html", F.lit(f'{name}="(para-[^"]+)"'), F.lit(1))
+    complete, loaded = F.col("html").contains("</html>"), F.col("html").rlike(r'(?i)<script[^>]+src="[^"]*notes[^"]*"')
+    read = cut(pages.select("doc_id", there("id").alias("ids"), there("data-para").alias("buttons"), (~complete).alias("open"), (~loaded).alias("unloaded")), "pages")  # pages are made and read once
+    kinds = ("para", "shown", "button", "noted", "silent")
+    rows = lambda found, id_, **of: found.select("doc_id", id_.alias("id"), *[of.get(k, F.lit(0)).alias(k) for k in kinds])
+    one = F.lit(1)
+    all_ = rows(blocks.filter("kind = 'para'"), F.col("id"), para=one).unionByName(rows(read, F.explode("ids"), shown=one)).unionByName(rows(read, F.explode("buttons"), button=one))
+    all_ = all_.unionByName(rows(notes, F.col("para"), noted=one, silent=F.when(t.strip(t.plain("text")) == "", 1).otherwise(0)))
+    by_id = all_.groupBy("doc_id", "id").agg(*[F.sum(k).alias(k) for k in kinds])
+    none = F.col("shown") == 0
+    wrong = {
+        "paragraphs on the page": F.when(none, F.col("para")).otherwise(0), "ids unique": F.when(F.col("shown") > 1, 1).otherwise(0), "notes have paragraphs": F.when(none, F.col("noted")).otherwise(0),
+        "paragraphs clickable": F.when(F.col("button") == 0, F.col("shown")).otherwise(0) + F.when(none, F.col("button")).otherwise(0), "notes have text": F.col("silent"),
+    }
+    by_doc = by_id.groupBy("doc_id").agg(*[F.struct(F.sum(n).alias("n"), F.min(F.when(n > 0, F.col("id"))).alias("first")).alias(name) for name, n in wrong.items()])
+    whole = {"page complete": "open", "notes file loaded": "unloaded"}
+    by_page = read.groupBy("doc_id").agg(*[F.struct(F.count_if(c).alias("n"), F.lit("").alias("first")).alias(name) for name, c in whole.items()])
+
+    def verdict(name: str) -> Column:
+        bad = F.coalesce(F.col(f"`{name}`.n"), F.lit(0)) > 0
+        detail = F.when(bad, F.format_string("%d, first %s", F.col(f"`{name}`.n"), F.col(f"`{name}`.first"))).otherwise("")
+        return F.struct(F.lit(name).alias("name"), F.when(bad, "warn" if name == "notes have text" else "fail").otherwise("ok").alias("status"), detail.alias("detail"))
+
+    out = read.select("doc_id").join(by_doc, "doc_id", "left").join(by_page, "doc_id", "left")
+    return out.select("doc_id", F.inline(F.array(*[verdict(name) for name in (*wrong, *whole)])))
