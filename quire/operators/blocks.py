@@ -16,11 +16,15 @@ QUOTE_LIMIT, RECITAL_LENGTH, RECITAL_BLOCKS = 8000, 120, 8
 BLOCKS = "kind string, text string, label string, level int, ord int"
 
 
-def keyed(blocks: DataFrame, group: str = "doc_id") -> DataFrame:
-    """blocks (group, ord, kind, text) with key, the hash of the text, and -2, -3 ... for its repeats in order; and id."""
-    base = F.when(F.col("kind") == "heading", t.content_key("text", heading=True)).otherwise(t.content_key("text"))
+def keyed(blocks: DataFrame, group: str = "doc_id", together: bool = False) -> DataFrame:
+    """blocks (group, ord, kind, text) with key, the hash of the text, and -2, -3 ... for its repeats in order; and id.
+
+    together: rows are dealt by group, for what groups by it next; only for groups that one task holds anyway.
+    """
+    base = t.content_key(F.concat(F.when(F.col("kind") == "heading", "heading:").otherwise(""), t.plain("text")))  # folded once, whatever the kind
     n = F.row_number().over(Window.partitionBy(group, "_base").orderBy("ord"))
-    out = blocks.withColumn("_base", base).withColumn("_n", n)
+    out = blocks.withColumn("_base", base)
+    out = (out.repartition(group) if together else out).withColumn("_n", n)
     out = out.withColumn("key", F.when(F.col("_n") > 1, F.concat("_base", F.lit("-"), F.col("_n").cast("string"))).otherwise(F.col("_base")))
     return out.withColumn("id", F.concat(F.lit("para-"), "key")).drop("_base", "_n")
 

@@ -21,9 +21,10 @@ def read(spark, path: str) -> DataFrame:
 
 def _lines(docs: DataFrame) -> DataFrame:
     text = F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    rows = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "raw")).withColumn("line", t.strip("raw"))
-    dash = F.min(F.when(F.col("line") == "---", F.col("line_no"))).over(Window.partitionBy("doc_id"))
-    return rows.withColumn("dash", dash)
+    lines = F.split(text, "\n")
+    dash = F.array_min(F.transform(lines, lambda x, i: F.when(x.contains("---") & (t.strip(x) == "---"), i)))
+    split = docs.select("doc_id", F.inline(F.array(F.struct(lines.alias("lines"), dash.alias("dash")))))  # generated, so that no filter of lines looks for the dash again
+    return split.select("doc_id", "dash", F.posexplode("lines").alias("line_no", "raw")).select("doc_id", "line_no", "raw", t.strip("raw").alias("line"), "dash")
 
 
 def parse(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -43,7 +44,9 @@ def parse(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     marked = (F.col("kind") == "para") & F.col("rest").rlike(MARKER)
     order = Window.partitionBy("doc_id").orderBy("line_no")
     number = F.sum(F.when(F.col("kind") == "para", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    key = F.when(F.col("kind") == "heading", t.content_key("rest", heading=True)).otherwise(F.coalesce("given", number.cast("string")))
+    head_key = t.content_key(F.when(F.col("kind") == "heading", F.concat(F.lit("heading:"), "rest")))
+    rows = rows.withColumn("_head", head_key)
+    key = F.when(F.col("kind") == "heading", F.col("_head")).otherwise(F.coalesce("given", number.cast("string")))
     label = F.when(F.col("kind") == "heading", "").when(marked, F.regexp_extract("rest", MARKER, 1)).otherwise("¶")
     blocks = rows.select(
         "doc_id", F.row_number().over(order).alias("ord"), "kind", F.when(marked, t.strip(F.regexp_extract("rest", MARKER, 2))).otherwise(F.col("rest")).alias("text"),
@@ -85,7 +88,7 @@ def from_documents(docs: DataFrame) -> DataFrame:
     """Each line of a text as a paragraph block, keyed."""
     from ..operators.layout import lines_of
 
-    rows = lines_of(docs).withColumn("m", t.marker(t.strip("text")))
-    head = t.is_structural_heading("text")
+    rows = lines_of(docs).select("doc_id", "idx", "text", F.inline(F.array(F.struct(t.is_structural_heading("text").alias("head"), t.marker(t.strip("text")).alias("m")))))  # generated: evaluated once
+    head = F.col("head")
     blocks = rows.select("doc_id", F.col("idx").alias("ord"), F.when(head, "heading").otherwise("para").alias("kind"), F.when(head, t.strip("text")).otherwise(F.col("m.rest")).alias("text"), F.when(head, "").otherwise(F.col("m.label")).alias("label"), F.when(head, t.heading_level("text")).otherwise(0).alias("level"))
-    return keyed(blocks.filter("text <> ''"))
+    return keyed(blocks.filter("text <> ''"), together=True)
