@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a single file that a task has at most, about.
+TASK_BYTES = 16 * 2**20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -33,8 +36,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, read from files; if that is a single one, which may be one piece to read, over as many tasks as run at once."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+    """df, read from files; if that is a single one, which may be one piece to read, over as many tasks as run at once, and more where they would have over TASK_BYTES of the file each."""
+    files, spark = df.inputFiles(), df.sparkSession
+    if len(files) != 1:
+        return df
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(files[0]))
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
 
 
 def release() -> None:
