@@ -43,37 +43,45 @@ def split_recitals(blocks: DataFrame, group: str = "doc_id") -> DataFrame:
     able = (F.col("kind") == "para") & (F.col("label") == "¶") & (F.length("text") > RECITAL_LENGTH)
     turn = F.sum(F.when(able, 1).otherwise(0)).over(Window.partitionBy(group).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
     parts = F.when(F.col("_able") & (F.col("_turn") <= RECITAL_BLOCKS), F.split("text", r"(?<=[,;])\s+(?=" + t.RECITAL[1:] + ")")).otherwise(F.array("text"))
-    out = blocks.withColumns({"_able": able, "_turn": turn}).select(*[c for c in blocks.columns if c != "text"], F.posexplode(parts).alias("_part", "text"))
-    return out.withColumn("ord", F.row_number().over(Window.partitionBy(group).orderBy("ord", "_part"))).drop("_part").select(*blocks.columns)
+    by = Window.partitionBy(group).orderBy("ord")
+    out = blocks.withColumns({"_able": able, "_turn": turn}).withColumn("_parts", parts)
+    out = out.withColumn("_before", F.coalesce(F.sum(F.size("_parts")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # no second sort
+    out = out.select(*[c for c in blocks.columns if c != "text"], "_before", F.posexplode("_parts").alias("_part", "text"))
+    return out.withColumn("ord", (F.col("_before") + F.col("_part") + 1).cast("int")).select(*blocks.columns)
 
 
 def boundaries(lines: DataFrame) -> DataFrame:
-    """lines (doc_id, page, idx, col, text, x0, y0, x1, y1, size, bold, indent) with what the assembler asks of each: marker, heading, quotes."""
-    body = layout.body_size(lines).withColumnRenamed("size", "body")
-    gap = layout.modal(layout.gaps(lines, ["doc_id", "page", "col"]), ["doc_id"], "gap").withColumnRenamed("gap", "spacing")
-    box = lines.groupBy("doc_id", "page").agg(F.min("x0").alias("left"), F.max("x1").alias("right"))
-    out = lines.join(body, "doc_id", "left").join(gap, "doc_id", "left").join(box, ["doc_id", "page"])
-    s, size, base, bold = t.strip("text"), F.col("size"), F.col("body"), F.coalesce("bold", F.lit(False))
+    """lines (doc_id, page, idx, col, text, x0, y0, x1, y1, size, bold, indent) with what the assembler asks of each: marker (its rest only where there is one), heading, quotes."""
+    by, page, whole = Window.partitionBy("doc_id").orderBy("page", "col", "idx"), Window.partitionBy("doc_id", "page"), Window.partitionBy("doc_id")
+    beside = F.lag("page").over(by).eqNullSafe(F.col("page")) & F.lag("col").over(by).eqNullSafe(F.col("col"))
+    out = layout.with_modal(lines, ["doc_id"], F.bround("size", 1), "body", F.greatest(F.lit(1), F.length("text")))
+    out = out.withColumn("gap", layout.as_gap(F.when(beside, F.col("y0") - F.lag("y0").over(by)))).withColumns({"left": F.min("x0").over(page), "right": F.max("x1").over(page), "_s": t.stripped("text")})
+    s, said, unmarked = F.col("_s"), F.col("_said"), F.struct(F.lit("¶").alias("label"), F.lit(None).cast("string").alias("rest"))
+    out = out.withColumns({"_said": t.without_closers(s), "_n": F.length(s)})
+    # What only the text says comes before the last window and the rest after it: in one step the code made of them would be too long for the JVM to compile.
+    out = out.withColumns({
+        "marked": t.has_marker("text"), "bare": F.col("_n").isNotNull() & (F.col("_n") <= 8) & t.is_bare_marker(s), "structural": F.coalesce(F.col("_n") <= 60, F.lit(True)) & t.is_heading_line(t.plain(s)), "quotes": t.quote_balance("text"), "recital": s.rlike(t.RECITAL),
+        "stops": t.ends_in(said, ".;!?"), "ends": t.ends_in(said, ".;:!?"), "pauses": t.ends_in(said, ".,;:!?"), "lists": t.ends_in(s, ",;"), "opens": s.rlike(f"^[{t.OPENING}]"),
+    }).withColumn("mark", F.when(F.col("marked"), t.marker("text")).otherwise(unmarked))
+    out = out.withColumn("spacing", F.mode("gap", True).over(whole)).drop("gap").filter("doc_id is not null and page is not null")
+    n, size, base, bold = F.col("_n"), F.col("size"), F.col("body"), F.coalesce("bold", F.lit(False))
     wide = F.col("right") - F.col("left")
     set_apart = (F.abs("indent") <= 2) | ((wide > 0) & (F.abs((F.col("x0") - F.col("left")) - (F.col("right") - F.col("x1"))) < F.greatest(F.lit(6.0), wide * 0.12)))
     like_label = ~s.rlike(r"[,;:!?]\s*$") & ~s.contains(",")
     letters = F.regexp_replace(s, r"[^\p{L}]", "")
     capitals = F.length(F.regexp_replace(letters, r"[^\p{Lu}]", "")) / F.greatest(F.lit(1), F.length(letters))
-    short = (F.length(s) <= 80) & ~s.rlike(t.SENTENCE_END)
+    short = (n <= 80) & ~s.rlike(t.SENTENCE_END)
     large = size >= base * 1.18
     level = (
-        F.when((F.length(s) == 0) | (F.length(s) > 200), 0)
+        F.when((n == 0) | (n > 200), 0)
         .when(s.rlike(t.HEADING) & (size >= base * 0.95), t.heading_level(s))
         .when(short & s.rlike(r"^[IVXLCDM]{1,7}\.\s+.+$") & (bold | (size > base * 1.05)), 3)
         .when(short & s.rlike(r"^[A-Z]\.\s+.{0,70}$") & bold & (size > base * 1.02), 3)
-        .when((F.length(s) <= 90) & (large | (bold & (size >= base * 0.98))) & like_label & set_apart, F.when(large, 2).otherwise(3))
-        .when((F.length(s) <= 90) & (F.length(letters) >= 4) & like_label & (capitals >= 0.85) & set_apart, 2)
+        .when((n <= 90) & (large | (bold & (size >= base * 0.98))) & like_label & set_apart, F.when(large, 2).otherwise(3))
+        .when((n <= 90) & (F.length(letters) >= 4) & like_label & (capitals >= 0.85) & set_apart, 2)
         .otherwise(0)
     )
-    return out.withColumns({
-        "level": level.cast("int"), "mark": t.marker("text"), "marked": t.has_marker("text"), "bare": t.is_bare_marker(s), "structural": t.is_structural_heading("text"), "quotes": t.quote_balance("text"),
-        "stops": s.rlike(t.SENTENCE_STOP), "ends": s.rlike(t.SENTENCE_END), "pauses": s.rlike(t.ANY_END), "lists": s.rlike("[,;]$"), "opens": s.rlike(f"^[{t.OPENING}]"), "recital": s.rlike(t.RECITAL),
-    }).drop("left", "right")
+    return out.withColumn("level", level.cast("int")).drop("left", "right", "_s", "_said", "_n")
 
 
 def begins_paragraph(by: WindowSpec) -> Column:
@@ -100,13 +108,19 @@ _BLOCK = "struct<kind:string,label:string,level:int,lines:array<string>>"
 def folded_lines(rows: Column) -> Column:
     """Blocks of a stretch of lines, in order: what is new depends on what the block before it is, and on the quotation that it may have left open."""
 
+    def begun(r: Column) -> Column:
+        head = r["level"] > 0
+        return F.struct(F.when(head, "heading").otherwise("para").alias("kind"), F.when(head, "").otherwise(r["label"]).alias("label"), F.when(head, r["level"]).otherwise(0).cast("int").alias("level"), F.array(first_text(r)).alias("lines"))
+
+    def first_text(r: Column) -> Column:
+        return F.when(r["level"] > 0, t.strip(r["text"])).otherwise(F.coalesce(r["first"], r["text"]))
+
     def step(s: Column, r: Column) -> Column:
         last = F.try_element_at(s["blocks"], F.lit(-1))
         quoted = (s["quotes"] > 0) & (s["size"] < QUOTE_LIMIT)
         new = r["hard"] | last.isNull() | (last["kind"] == "heading") | (~quoted & r["soft"])
-        text = F.when(~new, r["text"]).when(r["level"] > 0, t.strip(r["text"])).otherwise(r["first"])
-        head = new & (r["level"] > 0)
-        made = F.struct(F.when(head, "heading").otherwise("para").alias("kind"), F.when(head, "").otherwise(r["label"]).alias("label"), F.when(head, r["level"]).otherwise(0).cast("int").alias("level"), F.array(text).alias("lines"))
+        text = F.when(new, first_text(r)).otherwise(r["text"])
+        head, made = new & (r["level"] > 0), begun(r)
         longer = F.struct(last["kind"].alias("kind"), last["label"].alias("label"), last["level"].alias("level"), F.concat(last["lines"], F.array(r["text"])).alias("lines"))
         blocks = F.when(new, F.concat(s["blocks"], F.array(made))).otherwise(F.concat(F.slice(s["blocks"], F.lit(1), F.greatest(F.lit(0), F.size(s["blocks"]) - 1)), F.array(longer)))
         return F.struct(
@@ -115,7 +129,8 @@ def folded_lines(rows: Column) -> Column:
         )
 
     zero = F.struct(F.array().cast(f"array<{_BLOCK}>").alias("blocks"), F.lit(0).alias("quotes"), F.lit(0).alias("size"))
-    return F.aggregate(rows, zero, step, lambda s: s["blocks"])
+    alone = F.array(begun(rows[0])).cast(f"array<{_BLOCK}>")  # most stretches are of one line
+    return F.when(F.size(rows) == 1, alone).otherwise(F.aggregate(rows, zero, step, lambda s: s["blocks"]))
 
 
 def assembled(lines: DataFrame) -> DataFrame:
@@ -133,9 +148,9 @@ def assembled(lines: DataFrame) -> DataFrame:
     pending = F.coalesce("pending", F.lit("")) != ""
     rows = rows.filter(~F.col("bare")).select(
         "doc_id", "page", "col", "idx", (F.col("hard") | pending).alias("hard"), "soft", F.col("quotes").cast("int").alias("quotes"), "text", F.when(pending, 0).otherwise(F.col("level")).alias("level"),
-        F.when(pending, F.col("pending")).otherwise(F.col("mark.label")).alias("label"), F.when(F.col("marked"), F.col("mark.rest")).otherwise(F.col("text")).alias("first"),
+        F.when(pending, F.col("pending")).otherwise(F.col("mark.label")).alias("label"), F.when(F.col("marked"), F.col("mark.rest")).alias("first"),
     )
-    least = F.least(F.length("first"), F.length(t.strip("text")))  # what the line adds to its block's length at least
+    least = F.least(F.length(F.coalesce("first", "text")), F.length(t.stripped("text")))  # what the line adds to its block's length at least
     rows = rows.withColumn("_sum", F.sum(least).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", least)
     opened = F.max(F.when(F.col("quotes") > 0, F.col("_sum"))).over(before)
     free = opened.isNull() | (opened <= F.col("_sum") - F.col("_n") - QUOTE_LIMIT)
@@ -145,8 +160,9 @@ def assembled(lines: DataFrame) -> DataFrame:
     raw = found.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("_stretch", "_k")).alias("ord"), "b.*")
     whole = raw.join(layout.compounds(lines), "doc_id", "left")
     text = t.joined_lines(F.col("lines"), F.coalesce("compounds", F.array().cast("array<string>")))
-    blocks = whole.select("doc_id", "ord", "kind", text.alias("text"), "label", "level").filter((F.col("kind") == "heading") | F.col("text").rlike(r"[\p{L}\p{N}]"))
-    return sections(keyed(split_recitals(blocks)))
+    said = F.exists("lines", lambda x: t.plain(x).rlike(r"[\p{L}\p{N}]"))  # joining takes hyphens and blanks only
+    blocks = whole.filter((F.col("kind") == "heading") | said).select("doc_id", "ord", "kind", text.alias("text"), "label", "level")
+    return sections(keyed(split_recitals(blocks), together=True))
 
 
 def assembled_word(paragraphs: DataFrame) -> DataFrame:

@@ -39,10 +39,21 @@ def modal(rows: DataFrame, keys: list[str], value: str, weight: Column | None =
     return counts.groupBy(*keys).agg(F.max_by(value, F.struct("_w", -F.col("_first"))).alias(value))
 
 
+def with_modal(rows: DataFrame, keys: list[str], value: Column, name: str, weight: Column) -> DataFrame:
+    """rows with the value that modal() finds for their keys by weight, by windows: rows that are dealt by the keys stay where they are."""
+    weighed = rows.withColumn("_v", value).withColumn("_w", F.sum(weight).over(Window.partitionBy(*keys, "_v")))
+    best = F.max(F.when(F.col("_v").isNotNull(), F.struct(F.col("_w").alias("w"), (-F.col("_v")).alias("v")))).over(Window.partitionBy(*keys))
+    return weighed.withColumn(name, -best["v"]).drop("_v", "_w")
+
+
 def gaps(lines: DataFrame, keys: list[str], top: str = "y0", order: str = "idx") -> DataFrame:
     """lines with gap: the rounded distance from the line before, where it is above 0 and below 200."""
-    step = F.bround(F.col(top) - F.lag(top).over(Window.partitionBy(*keys).orderBy(order)), 0)
-    return lines.withColumn("gap", F.when((step > 0) & (step < 200), step))
+    return lines.withColumn("gap", as_gap(F.col(top) - F.lag(top).over(Window.partitionBy(*keys).orderBy(order))))
+
+
+def as_gap(step: Column) -> Column:
+    step = F.bround(step, 0)
+    return F.when((step > 0) & (step < 200), step)
 
 
 def body_size(lines: DataFrame) -> DataFrame:
@@ -269,5 +280,7 @@ def columns(lines: DataFrame, width: float) -> DataFrame:
 
 def compounds(lines: DataFrame) -> DataFrame:
     """(doc_id, compounds): the hyphenated words that stand within a line of the document, lower-case."""
-    found = lines.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(t.COMPOUND), F.lit(0))).alias("word"))
+    able = F.contains("text", F.lit("-"))
+    hyphened = F.when(able, F.col("text"))  # tested here too, as Spark puts the search for words into a filter of its own
+    found = lines.filter(able).select("doc_id", F.explode(F.regexp_extract_all(F.lower(hyphened), F.lit(t.COMPOUND), F.lit(0))).alias("word"))
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("word")).alias("compounds"))
